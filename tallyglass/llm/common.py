@@ -41,13 +41,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS
 ) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` with batches of at most ``rows`` rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)
 
 
 def fold(doc_id: Column) -> Column:
     """0 to 4 from the CRC-32 of the id's text; 0 marks the held-out fold, NULL ids count as it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
+
+
+def binary_rows(rows) -> pa.Array:
+    """A 2-d array of bytes as a binary Arrow array, one value a row."""
+    import numpy as np
+
+    n, width = rows.shape
+    offsets = np.arange(0, (n + 1) * width, width, dtype=np.int32) if width else np.zeros(n + 1, dtype=np.int32)
+    data = np.ascontiguousarray(rows)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import chat, langid, packing, quality, rules, sharding
+from tallyglass.llm import chat, langid, neardup, packing, quality, rules, sharding
 from tallyglass.llm.common import read
 
 #: The conversation that holds every template's control strings, added to the table by op1.
@@ -43,12 +43,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality_rules.{c}").alias(c) for c in names])
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_language_id, op4_packing, op5_quality_classifier, op6_quality_rules, op8_sharding)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_language_id, op4_packing, op5_quality_classifier, op6_quality_rules,
+                                     op7_minhash_near_dedup, op8_sharding)}
 
 
 OP1_SQL = r"""
@@ -109,5 +114,36 @@ FROM all_
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+-- linked sets share one of the first n - ceil(0.8 n) + 1 shingles in any common order
+p AS (
+  SELECT doc_id, n, g FROM (
+    SELECT x.*, row_number() OVER (PARTITION BY doc_id ORDER BY c, x.g) AS r
+    FROM x JOIN (SELECT g, count(*) AS c FROM x GROUP BY g) AS f ON x.g = f.g)
+  WHERE r <= n - (80 * n + 99) // 100 + 1),
+cand AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p AS a JOIN p AS b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+pair AS (
+  SELECT a, b FROM cand JOIN s AS sa ON sa.doc_id = a JOIN s AS sb ON sb.doc_id = b
+  WHERE 100 * len(list_intersect(sa.s, sb.s)) >=
+    80 * (len(sa.s) + len(sb.s) - len(list_intersect(sa.s, sb.s)))),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT a AS doc_id, a AS r FROM link UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a),
+comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c, s.doc_id) AS component_id,
+  s.doc_id = coalesce(c, s.doc_id) AS kept
+FROM s LEFT JOIN comp ON comp.doc_id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op6_quality_rules": OP6_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL}
