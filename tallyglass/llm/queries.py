@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import chat, langid, neardup, packing, quality, rules, sharding
+from tallyglass.llm import chat, fingerprints, langid, neardup, packing, quality, rules, sharding, spiece, tokencounts
 from tallyglass.llm.common import read
 
 #: The conversation that holds every template's control strings, added to the table by op1.
@@ -23,6 +23,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(trap)))
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -51,9 +55,23 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.digest_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: In the order of the operators' numbers.
+QUERIES = (
+    op1_chat_formatting, op2_document_fingerprints, op3_language_id, op4_packing, op5_quality_classifier,
+    op6_quality_rules, op7_minhash_near_dedup, op8_sharding, op9_sentencepiece, op10_token_counts,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_language_id, op4_packing, op5_quality_classifier, op6_quality_rules,
-                                     op7_minhash_near_dedup, op8_sharding)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP1_SQL = r"""
