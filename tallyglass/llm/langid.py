@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fold, map_batches
+from tallyglass.llm.common import bounded_batches, fold, map_batches
 
 UNKNOWN = "und"
 BITS = 13
@@ -182,6 +183,19 @@ def identify(docs: DataFrame, model: Hierarchy, doc_id: str = "doc_id", text: st
     return map_batches(src, predict, f"doc_id {dict(src.dtypes)['doc_id']}, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and lang_score beside its own columns (which they replace if named so)."""
+
+    @F.pandas_udf("lang_pred string, lang_score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
+
+    bounded_batches(docs.sparkSession)
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    made = docs.select(*own, predict(F.col(text)).alias("_made"))
+    return made.select(*own, "_made.lang_pred", "_made.lang_score")
+
+
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Fit on the rows outside the held-out fold and predict all rows: doc_id, held_out, lang_pred, score."""
     model = fit(docs, fold(F.col(doc_id)) != 0, doc_id, text, lang)

@@ -137,4 +137,5 @@ def quality_rules(
         "lines_removed", "line_chars", "kept_chars", "clean_text",
     )
     carried = [F.col(f"_in.`{c}`").alias(c) for c in docs.columns if c != "quality_rules"]
-    return df.select(*carried, verdict.alias("quality_rules"))
+    # a generator keeps a caller's filter on the verdict from being pushed down, which would evaluate all this twice
+    return df.select(*carried, F.explode(F.array(verdict)).alias("quality_rules"))
