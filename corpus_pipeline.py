@@ -1,16 +1,61 @@
-"""From documents to packed training sequences, stage by stage."""
+"""From documents to packed training sequences, stage by stage.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame
+that is written and read again as the next one's ``docs``. All but the last return the columns of
+``documents``. No SQL states every stage (language ID is fitted, packing is planned), so ``ORACLE_SQL``
+is None and the tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyglass.llm import langid, neardup, packing, rules
+from tallyglass.llm.common import stored
 
-STAGES: list = []
+#: Language ID rejects what has no letters and what no learned language explains better than a guess.
+MIN_LANG_SCORE = 0.05
 ORACLE_SQL = None
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line-first rules keep, with their texts as they were."""
+    judged = rules.quality_rules(docs).where("quality_rules.kept")
+    return judged.select(*[c for c in docs.columns if c != "quality_rules"])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a learned language."""
+    model = langid.fit(docs, langid.fold(F.col("doc_id")) != 0)
+    wanted = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANG_SCORE)
+    return langid.with_language(docs, model).where(wanted).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates (five words, 0.8), once."""
+    verdict = neardup.near_duplicates(docs)
+    kept = verdict.where("kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document goes."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
+    """The last stage's rows for the documents in ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
