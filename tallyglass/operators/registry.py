@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +12,9 @@ from pyspark.sql.window import Window
 from tallyglass.functions import lexicon as L
 from tallyglass.functions.text import alias_key, squeezed, tag_key
 
+#: Vocabulary forms that are matched in one pass over the texts.
+BLOCK_FORMS = 200_000
+
 
 def product_registry(posts: DataFrame, market: str, tags: str, seen_at: str, link: str) -> DataFrame:
     """Per market and tag: n_posts, n_total (posts of the market), first_seen, last_seen, permalinks
@@ -117,29 +123,45 @@ def containment_pairs(rows: DataFrame, piece: str, name: str) -> DataFrame:
     return a.join(b, "piece").where(inside).groupBy("inner", "outer").agg(F.count("*").alias("n_pieces"))
 
 
-def vocabulary_hits(texts: DataFrame, vocabulary: DataFrame, id: str, text: str, word: int = 3) -> DataFrame:
+def vocabulary_hits(texts: DataFrame, vocabulary: DataFrame, id: str, text: str, block: int = BLOCK_FORMS) -> DataFrame:
     """(id, canonical) for every vocabulary form that a text contains.
 
-    A form meets only the texts that hold its rarest inner run of ``word`` whole words (forms of
-    fewer words use all their inner words but the first and last, which may be part of a longer
-    word); forms without such words are compared with all texts, and there are few of them.
+    Texts are read once per block of at most about ``block`` forms and matched by an automaton over
+    all forms of the block, in time proportional to the text; no text is compared with single forms.
     """
-    src = texts.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    src = texts.select(F.col(id).alias("id"), F.col(text).alias("text")).where("text is not null")
     forms = vocabulary.select("canonical", "form").where("form <> ''").distinct()
-    words = F.split("form", " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    keyed = forms.withColumn("key", F.array_join(F.slice(inner, 1, word), " ")).withColumn("n", F.least(F.size(inner), F.lit(word)))
-    found = None
-    for n in range(1, word + 1):
-        own = keyed.where(F.col("n") == n).drop("n")
-        parts = F.split("text", " ")
-        at = F.sequence(F.lit(1), F.greatest(F.size(parts) - (n - 1), F.lit(1)))
-        grams = F.array_distinct(F.transform(at, lambda k, n=n: F.array_join(F.slice(parts, k, F.lit(n)), " ")))
-        hit = src.withColumn("key", F.explode(grams)).join(own, "key").where(F.contains(F.col("text"), F.col("form")))
-        found = hit.select("id", "canonical") if found is None else found.unionByName(hit.select("id", "canonical"))
-    bare = keyed.where(F.col("n") == 0)
-    rest = src.join(bare, F.contains(F.col("text"), F.col("form"))).select("id", "canonical")
-    return found.unionByName(rest).distinct()
+    blocks = max(1, -(-forms.count() // block))
+    kinds = f"id {dict(src.dtypes)['id']}, canonical {dict(forms.dtypes)['canonical']}"
+    found: DataFrame | None = None
+    for k in range(blocks):
+        own = forms.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == k).collect() if blocks > 1 else forms.collect()
+        by_form: dict[str, list] = {}
+        for r in own:
+            by_form.setdefault(r["form"], []).append(r["canonical"])
+        hits = src.mapInPandas(_matcher(by_form), kinds)
+        found = hits if found is None else found.unionByName(hits)
+    return found.distinct()
+
+
+def _matcher(by_form: dict[str, list]):
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for form, names in by_form.items():
+            automaton.add_word(form, names)
+        if by_form:
+            automaton.make_automaton()
+        for f in frames:
+            ids, names = [], []
+            for i, t in zip(f["id"], f["text"]):
+                for name in {n for _, own in automaton.iter(t) for n in own} if by_form else ():
+                    ids.append(i)
+                    names.append(name)
+            yield pd.DataFrame({"id": ids, "canonical": names})
+
+    return match
 
 
 def capped_vocabulary(names: DataFrame, key: str, name: str, cap: int = L.VOCABULARY_CAP) -> DataFrame:
