@@ -235,7 +235,8 @@ def confirmed_links(members: DataFrame, docs: DataFrame, words: int, percent: in
         if len(ids) > 1:
             yield close()
 
-    texts = members.join(docs, members["id"] == docs["doc_id"])
+    # by shuffle at every size: what is moved then grows with the texts, and only members are held in memory
+    texts = docs.join(members.hint("shuffle_hash"), members["id"] == docs["doc_id"])
     texts = texts.select("region", "block", "id", "h1", "h2", "asked", "text").repartition("region", "block")
     return map_batches(texts.sortWithinPartitions("region", "block", "id"), link, "a long, b long", rows=256)
 
