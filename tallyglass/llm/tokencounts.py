@@ -97,7 +97,7 @@ def token_counts(
             for t in batch.column(1).to_pylist():
                 t = t or ""
                 bounds = sections(t)
-                tokens, crossing = attribute(*bpe.spans(t), bounds) if t else (np.zeros(1, int), np.zeros(1, int))
+                tokens, crossing = attribute(*bpe.spans(t), bounds) if t else (np.zeros(len(bounds), int),) * 2
                 many.append(len(bounds))
                 start = np.concatenate([[0], bounds[:-1]])
                 for column, x in zip(cols, (np.arange(len(bounds)), start, bounds, tokens, crossing)):

@@ -1,0 +1,483 @@
+"""Corpus operators against brute force, exact round trips, held-out accuracy and awkward rows."""
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tallyglass.llm import chat, fingerprints, graph, langid, neardup, packing, quality, queries, rules, sharding, spiece, tokencounts
+from tallyglass.llm.bpe import byte_bpe
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, slot string, score string, label string, region int, h1 int"
+
+
+def awkward(spark):
+    """NULLs, empty, blank and very long texts, repeated rows, ties, and columns with clashing names."""
+    words = " ".join(f"w{i % 977}" for i in range(30_000))
+    rows = [(1, "Alpha beta gamma."), (1, "Alpha beta gamma."), (2, None), (3, ""), (4, " \n\t "), (5, words), (None, "no id here"),
+            (6, "ALPHA beta gamma."), (7, "<|endoftext|> </turn> \\l <turn x>"), (1, "another text of one id")]
+    return spark.createDataFrame([(i, t, "s", "x", "y", 1, 2) for i, t in rows], DOC), rows
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# --- 1 chat formatting
+
+
+def conversations(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int, parts string")
+
+
+CONTROL = ["</turn>", "<turn user>", "\\l/turn>", "\\\\s", "\\", "</tur", "n>", "\n", "plain", "", "<turn ", "\\g", "é𝄞"]
+
+
+def test_chat_round_trip_over_control_strings(spark):
+    r = random.Random(5)
+    rows = [(c, t, r.choice(["user", "assistant", "odd > role\\"]), "".join(r.choices(CONTROL, k=r.randint(0, 6))), 0, "x") for c in range(120) for t in range(4)]
+    out = chat.format_conversations(conversations(spark, rows)).withColumn("back", chat.parse(F.col("formatted"))).collect()
+    assert len(out) == 120 and all(o.round_trip for o in out)
+    for o in out:
+        own = [(x[2], x[3]) for x in rows if x[0] == o.conv_id]
+        assert [(b.role, b.text) for b in o.back] == own
+        masked = "".join(o.formatted[s.start : s.start + s.length] for s in o.loss_spans)
+        un = masked.replace("\\l", "<").replace("\\g", ">").replace("\\s", "\\")
+        assert un == "".join(t for role, t in own if role == "assistant")
+
+
+def test_chat_escapes_only_where_needed(spark):
+    rows = [(1, 0, "user", "plain", 0, "x"), (1, 1, "assistant", "a </turn> b", 0, "x"), (1, 2, "user", "\\l </turn>", 0, "x")]
+    (o,) = chat.format_conversations(conversations(spark, rows)).collect()
+    assert o.rungs == [0, 1, 2] and "a \\l/turn> b" in o.formatted
+
+
+def test_chat_awkward_rows(spark):
+    rows = [(1, 1, None, None, 0, "x"), (1, None, "user", "first", 0, "x"), (None, 0, "assistant", "x" * 100_000, 0, "x"), (1, 1, None, None, 0, "x")]
+    out = {o.conv_id: o for o in chat.digests(chat.format_conversations(conversations(spark, rows))).collect()}
+    assert out[1].n_turns == 3 and out[1].turns_sha256 == hashlib.sha256(b"user\nfirst\n" + b"\n\n" * 2).hexdigest()
+    assert out[None].loss_chars == 100_000
+    assert chat.format_conversations(conversations(spark, [])).count() == 0
+
+
+def test_chat_query_has_the_trap(spark):
+    (o,) = queries.op1_chat_formatting(spark, SF).where("conv_id = -7").collect()
+    t = queries.TRAP_TEXT
+    assert o.turns_sha256 == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
+    assert (o.loss_chars, o.loss_sha256) == (len(t), hashlib.sha256(t.encode()).hexdigest())
+
+
+# --- 2 fingerprints
+
+
+def brute_syncmers(text, k=fingerprints.K, s=fingerprints.S):
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    h = fingerprints._hashed(c, None, s).tolist()
+    w = k - s + 1
+    return [i for i in range(len(c) - k + 1) if min(h[i : i + w]) in (h[i], h[i + w - 1])]
+
+
+def test_syncmers_are_closed_and_context_free():
+    r = random.Random(1)
+    text = "".join(r.choices("abcdefg é𝄞", k=700))
+    at, h = fingerprints.syncmers(text)
+    assert at.tolist() == brute_syncmers(text)
+    inner = text[200:500]
+    at2, h2 = fingerprints.syncmers(inner)
+    assert {(i + 200, x) for i, x in zip(at2.tolist(), h2.tolist())} <= set(zip(at.tolist(), h.tolist()))
+
+
+def test_likeness_bounds():
+    r = random.Random(2)
+    a = "".join(r.choices("abcdefgh ", k=3000))
+    fa = fingerprints.fingerprint(a)
+    assert fingerprints.likeness(fa, fa) == 1.0
+    assert fingerprints.likeness(fa, fingerprints.fingerprint("".join(r.choices("abcdefgh ", k=3000)))) < 0.1
+    assert 0.3 < fingerprints.likeness(fa, fingerprints.fingerprint(a[:2000] + "z" * 1000)) < 1
+    assert fingerprints.fingerprint("") == "" and len(base64.b64decode(fingerprints.fingerprint("ab"))) == 8
+
+
+def test_fingerprints_next_document(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "GROUP_ROWS", 7)  # many groups, so that heads are lent
+    docs = documents(spark)
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    out = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    assert len(out) == len(rows)
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        e = fingerprints.edited(t, nxt)
+        assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert out[i].fingerprint == fingerprints.fingerprint(t) and out[i].edited_fingerprint == fingerprints.fingerprint(e)
+        assert out[i].near_next == fingerprints.likeness(fingerprints.fingerprint(t), fingerprints.fingerprint(nxt))
+
+
+def test_fingerprints_awkward(spark):
+    df, rows = awkward(spark)
+    out = fingerprints.fingerprints(df).collect()
+    assert sorted(str(o.doc_id) for o in out) == sorted(str(i) for i, _ in rows)
+    assert fingerprints.fingerprints(empty(spark)).count() == 0
+    (one,) = fingerprints.fingerprints(df.where("doc_id = 5")).collect()
+    assert one.near_next == 1.0
+
+
+# --- 3 and 5 classifiers
+
+
+def test_language_id_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(out) > 100 and sum(o.lang == o.lang_pred for o in out) / len(out) > 0.97
+    assert all(0 <= o.score <= 1 for o in out)
+
+
+def test_language_id_awkward(spark):
+    df, rows = awkward(spark)
+    model = langid.fit(documents(spark), F.lit(True))
+    out = langid.identify(df, model).collect()
+    assert len(out) == len(rows)
+    assert all(o.lang_pred == "und" and o.score == 0 for o in out if o.doc_id in (2, 3, 4))
+    assert langid.identify(empty(spark), model).count() == 0
+    none = langid.fit(documents(spark).limit(0), F.lit(True))
+    assert none.predict("some text") == ("und", 0.0)
+    assert model.predict("12 34 %%") == ("und", 0.0)
+
+
+def test_svm_separates():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(200, 8)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, -1.0)
+    w = langid.train_svm(x, y)
+    assert (np.sign((x * w[:-1]).sum(axis=1) + w[-1]) == y).mean() > 0.97
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = queries.op5_quality_classifier(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    assert len(out) > 500 and sum(o.predicted == o.quality for o in out) / len(out) > 0.98
+
+
+def test_quality_awkward(spark):
+    df, rows = awkward(spark)
+    model = quality.fit(documents(spark), spark.read.parquet(f"{SF}/labels.parquet"))
+    out = quality.score(df, model).collect()
+    assert len(out) == len(rows) and all(0 <= o.score <= 1 for o in out)
+    assert len({o.score for o in out if o.doc_id in (2, 3, 4)}) == 1
+    none = quality.fit(documents(spark), spark.read.parquet(f"{SF}/labels.parquet").limit(0))
+    assert none.score("x") == 0.5 and quality.score(empty(spark), model).count() == 0
+
+
+# --- 4 packing
+
+
+def test_chunked_bpe_equals_the_tokenizer():
+    bpe, r = byte_bpe(), random.Random(3)
+    parts = [" ", "  ", "\n", "\t", "a", "The", "'s", "12", "%%", "é", "\u00a0", "\u3000", "𝄞", "<|endoftext|>", ".", "\r", "\x1c"]
+    for _ in range(3000):
+        t = "".join(r.choices(parts, k=r.randint(0, 9)))
+        ids = bpe.slow.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == ids, repr(t)
+
+
+def test_cut():
+    assert packing.cut(1024) == [(0, 1024)] and packing.cut(2050) == [(0, 2), (2, 1024), (1026, 1024)] and packing.cut(2048) == [(0, 1024), (1024, 1024)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_places_every_piece_once(seed):
+    r = np.random.default_rng(seed)
+    counts = np.zeros(1025, dtype=np.int64)
+    for n in r.integers(1, 1025, size=r.integers(1, 400)):
+        counts[n] += int(r.integers(1, 30))
+    for bins in (packing.plan(counts), packing._plan(counts, 1024, 16, 6)):
+        held = np.zeros(1025, dtype=np.int64)
+        for b in bins:
+            assert sum(b.held) + b.room == 1024 and b.room >= 0 and b.count > 0
+            for n in b.held:
+                held[n] += b.count
+        assert (held == counts).all()
+    least = -(-int((counts * np.arange(1025)).sum()) // 1024)
+    alone = sum(b.count for b in packing.best_fit(counts.copy(), [], 1024))
+    assert least <= sum(b.count for b in packing.plan(counts)) <= max(alone * 1.01 + 2, least)
+
+
+def check_packed(out, texts):
+    bpe = byte_bpe()
+    by_sequence = {}
+    for o in out:
+        by_sequence.setdefault(o.sequence_id, []).append((o.offset, o.length))
+    for own in by_sequence.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    want = []
+    for key, t in texts:
+        raw = bpe.encode(t or "") + b"\x02\0\0\0"
+        want += [(str(key), k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(packing.cut(len(raw) // 4))]
+    assert sorted((str(o.doc_id), o.piece, o.start, o.length, o.ids_crc32) for o in out) == sorted(want)
+
+
+def test_packing_against_brute_force(spark):
+    docs = documents(spark)
+    check_packed(queries.op4_packing(spark, SF).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    df, rows = awkward(spark)
+    check_packed(packing.pack_documents(df).collect(), rows)
+    assert packing.pack_documents(empty(spark)).count() == 0
+
+
+# --- 6 quality rules
+
+
+def test_rules_awkward(spark):
+    df, rows = awkward(spark)
+    out = rules.quality_rules(df.withColumn("quality_rules", F.lit("old"))).select("doc_id", "text", "slot", "quality_rules.*").collect()
+    assert len(out) == len(rows)
+    for o in out:
+        words = (o.text or "").split()
+        assert o.n_words == len(words) and o.word_chars == sum(map(len, words))
+        grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        hit = {p for i, g in enumerate(grams) if grams.count(g) > 1 for p in (i, i + 1, i + 2)} if len(words) < 5000 else None
+        assert hit is None or o.n_repeat_words == len(hit)
+    assert rules.quality_rules(empty(spark)).count() == 0
+
+
+def test_rules_judge_lines(spark):
+    prose = "This is a sentence of some words that ends well. " * 3
+    clean = "\n".join(f"{prose}Line number {i} says something of its own about item {i * 7}." for i in range(6))
+    menu = "\n".join("Home | Shop | About | Contact." for _ in range(40))
+    shout = "\n".join(" ".join(f"WORD{i}!!" for i in range(k, k + 9)) for k in range(0, 90, 9))
+    df = spark.createDataFrame([(1, clean), (2, clean + "\n" + menu), (3, shout), (4, clean + "\nAll rights reserved. Cookie policy.")], "doc_id long, text string")
+    out = {r.doc_id: r.v for r in rules.quality_rules(df, max_repeat_percent=100).select("doc_id", F.col("quality_rules").alias("v")).collect()}
+    assert out[1].kept and out[1].lines_removed == 0 and out[1].clean_text == clean
+    assert not out[2].kept and not out[3].kept
+    assert out[4].kept and out[4].lines_removed == 1 and out[4].clean_text == clean
+
+
+# --- 7 near duplicates
+
+
+def brute_components(rows, words, percent=80):
+    sets = []
+    for _, t in rows:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        n = min(words, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    return {rows[i][0]: (len(sets[i]), min(rows[j][0] for j in range(len(rows)) if label[j] == label[i])) for i in range(len(rows))}
+
+
+def copies(seed, groups=12, size=9):
+    r, rows = random.Random(seed), []
+    for _ in range(groups):
+        base = [f"v{r.randint(0, 4000)}" for _ in range(r.randint(4, 160))]
+        for _ in range(r.randint(1, size)):
+            own = list(base)
+            for _ in range(int(len(own) * r.choice([0, 0.02, 0.05, 0.08]))):
+                own[r.randrange(len(own))] = f"v{r.randint(0, 4000)}"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates_against_brute_force(spark, words):
+    rows = copies(words)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words).collect()
+    want = brute_components(rows, words)
+    assert {o.doc_id: (o.n_shingles, o.component_id) for o in out} == want
+    assert all(o.kept == (o.doc_id == o.component_id) for o in out)
+
+
+def test_large_regions_are_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 6)
+    rows = copies(11, groups=3, size=40) + [(1000 + i, t) for i, (_, t) in enumerate(copies(12))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {o.doc_id: (o.n_shingles, o.component_id) for o in out} == brute_components(rows, 2)
+
+
+def test_near_duplicates_awkward(spark):
+    df, rows = awkward(spark)
+    out = neardup.near_duplicates(df, 2).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for o in out:
+        by.setdefault(o.doc_id, []).append(o)
+    assert by[6][0].component_id == 1 and not by[6][0].kept
+    assert all(by[i][0].n_shingles == 0 and by[i][0].kept for i in (2, 3, 4))
+    assert by[None][0].component_id is None and by[None][0].kept
+    assert neardup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_block_links_find_every_component():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        sets = [np.unique(r.integers(0, 60, r.integers(1, 30))).astype(np.uint64) for _ in range(25)]
+        ids = np.arange(25)
+        a, b = neardup.linked_in_block(ids, sets, 50)
+        def label(pairs):
+            own = list(range(25))
+            for i, j in pairs:
+                own = [own[j] if x == own[i] else x for x in own]
+            return {frozenset(k for k in range(25) if own[k] == x) for x in own}
+        all_pairs = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 50 * len(np.union1d(sets[i], sets[j]))]
+        assert label(zip(a, b)) == label(all_pairs)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200), (300, 299)]
+    out = {r.id: r.label for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert all(out[i] == 0 for i in range(41)) and out[101] == 100 and out[300] == 299 and 200 not in out
+
+
+# --- 8 sharding
+
+
+def test_sharding_is_even_and_gapless(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = sharding.shard_documents(docs).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    load, places = {}, {}
+    for o in out:
+        assert o.size == len(texts[o.doc_id].encode()) + 1 and o.text_crc32 == zlib.crc32(texts[o.doc_id].encode())
+        load[o.shard] = load.get(o.shard, 0) + o.size
+        places.setdefault(o.shard, []).append(o.slot)
+    assert sorted(load) == list(range(16)) and max(load.values()) - min(load.values()) <= 0.01 * max(load.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and len(out) == len(texts)
+
+
+def test_slot_maps(spark, tmp_path):
+    r = np.random.default_rng(1)
+    w = r.integers(0, 1000, 256)
+    first = sharding.SlotMap.initial(256, 8)
+    second = first.rebalanced(w)
+    third = second.grown(w)
+    load = np.bincount(second.shards, weights=w)
+    assert load.max() - load.min() <= 3 and second.version == 2
+    assert all(b in (a, 8) for a, b in zip(second.shards, third.shards)) and 8 in third.shards
+    assert {k for k, _, _ in third.moves} == {k for k in range(256) if second.shards[k] != third.shards[k]}
+    for m in (first, second, third):
+        m.save(spark, str(tmp_path / "map"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map")).shards == third.shards
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 2).shards == second.shards
+
+
+def test_sharding_awkward(spark):
+    df, rows = awkward(spark)
+    out = sharding.shard_documents(df, n_shards=2, n_slots=8).collect()
+    assert len(out) == len(rows) and all(o.size == 1 and o.text_crc32 == 0 for o in out if o.doc_id in (2, 3))
+    for s in (0, 1):
+        own = sorted(o.slot for o in out if o.shard == s)
+        assert own == list(range(len(own)))
+    assert sharding.shard_documents(empty(spark)).count() == 0
+
+
+# --- 9 sentence pieces
+
+
+def library(rows):
+    """The sentencepiece library over the same pieces, told that they are a unigram model."""
+    import public_tokenizers
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(public_tokenizers.path(spiece.VOCABULARY), "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = 1
+    for piece, (_, score, _) in zip(model.pieces, rows):
+        piece.score = score
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+def test_pieces_equal_the_library(spark):
+    # its scores are 32-bit: a score of -1e9 in a path hides all others, so the lowest are raised for both
+    rows = [(p, max(s, -40000.0), k) for p, s, k in spiece.load()]
+    ours, theirs = spiece.Unigram(rows), library(rows)
+    texts = [r.text for r in documents(spark).collect()] + ["  a  b ", "", "x", "日本 語𝄞", " lead", "trail ", "a\n\nb\t", "▁"]
+    for t in texts:
+        ids = ours.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(t), t[:80]
+        assert ours.decode(ids) == t.replace("▁", " ")
+
+
+def test_trie_finds_all_prefixes():
+    r = random.Random(0)
+    keys = sorted({"".join(r.choices("abcé𝄞", k=r.randint(1, 5))).encode() for _ in range(400)})
+    trie = spiece.DoubleArrayTrie(keys, list(range(len(keys))))
+    for _ in range(300):
+        t = "".join(r.choices("abcé𝄞", k=8)).encode()
+        assert trie.prefixes(t) == [(n, keys.index(t[:n])) for n in range(1, len(t) + 1) if t[:n] in keys]
+
+
+def test_viterbi_is_optimal():
+    rows = [("<unk>", 0.0, 2), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.0, 1), ("ba", -4.2, 1), ("aba", -5.1, 1), ("▁", -1.0, 1)]
+    model, r = spiece.Unigram(rows), random.Random(1)
+    score = {p: s for p, s, k in rows if k == 1}
+    def best(t):
+        return max((score[t[:n]] + best(t[n:]) for n in range(1, len(t) + 1) if t[:n] in score), default=0.0 if not t else float("-inf"))
+    for _ in range(50):
+        t = "".join(r.choices("ab", k=7))
+        ids = np.frombuffer(model.viterbi(t), "<u4")
+        assert "".join(rows[i][0] for i in ids) == t and abs(sum(rows[i][1] for i in ids) - best(t)) < 1e-9
+    assert np.frombuffer(model.viterbi("axa"), "<u4").tolist() == [1, 0, 1]  # no byte pieces here
+
+
+def test_pieces_awkward(spark):
+    df, rows = awkward(spark)
+    out = spiece.encode_documents(df).collect()
+    assert sorted((str(o.doc_id), o.decoded) for o in out) == sorted((str(i), t or "") for i, t in rows)
+    assert spiece.digest_documents(empty(spark)).count() == 0
+    assert all(o.round_trip for o in queries.op9_sentencepiece(spark, SF).collect())
+
+
+# --- 10 token counts
+
+
+def test_offsets_equal_the_tokenizer(spark):
+    bpe = tokencounts.offset_bpe()
+    for t in [r.text for r in documents(spark).limit(60).collect()] + ["é𝄞 日本 x", "a\n\n b", "  lead", "<|endoftext|> x"]:
+        starts, ends = bpe.spans(t)
+        assert len(starts) == len(bpe.slow.encode(t, add_special_tokens=False).ids)
+        raw, at = t.encode(), 0
+        for i, (s, e) in zip(bpe.slow.encode(t, add_special_tokens=False).ids, zip(starts, ends)):
+            width = int(bpe.width[i])
+            assert (s, e) == (len(raw[:at].decode(errors="ignore")), len(raw[: at + width].decode(errors="replace")))
+            at += width
+
+
+def test_crossing_tokens_go_to_the_larger_part():
+    starts, ends = np.array([0, 2, 6, 9]), np.array([2, 6, 9, 12])
+    tokens, crossing = tokencounts.attribute(starts, ends, np.array([4, 7, 12]))  # 2-6 ties: first; 6-9: one and two
+    assert tokens.tolist() == [2, 0, 2] and crossing.tolist() == [1, 0, 1]
+
+
+def test_token_counts_add_up(spark):
+    bpe = byte_bpe()
+    df, rows = awkward(spark)
+    out = tokencounts.token_counts(df).collect()
+    want = sum(len(bpe.encode(t or "")) // 4 for _, t in rows)
+    assert sum(o.n_tokens for o in out) == want
+    assert {str(o.doc_id) for o in out} == {str(i) for i, _ in rows}
+    halves = tokencounts.token_counts(df, sections=lambda t: np.array([len(t) // 2, len(t)])).collect()
+    assert sum(o.n_tokens for o in halves) == want and sum(o.n_crossing for o in halves) > 0
+    assert tokencounts.token_counts(empty(spark)).count() == 0
+
+
+def test_field_counts(spark):
+    df = spark.createDataFrame([(1, "a title", "some body text", None)], "k int, title string, body string, note string")
+    out = {o.field: o.n_tokens for o in tokencounts.field_counts(df, ["title", "body", "note"], "k").collect()}
+    assert sum(out.values()) == len(byte_bpe().encode("a title\nsome body text\n")) // 4 and out["note"] == 0
