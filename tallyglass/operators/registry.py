@@ -159,7 +159,7 @@ def _matcher(by_form: dict[str, list]):
                 for name in {n for _, own in automaton.iter(t) for n in own} if by_form else ():
                     ids.append(i)
                     names.append(name)
-            yield pd.DataFrame({"id": ids, "canonical": names})
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "canonical": pd.Series(names, dtype=object)})
 
     return match
 

@@ -156,8 +156,8 @@ def order_view(spark, sf):
 
 @query(r"""WITH u AS (SELECT page_id, split_part(trim(url), '#', 1) AS u FROM pages),
   h AS (SELECT page_id, u, regexp_extract(u, '^https?://([^/?]+)', 1) AS host FROM u WHERE regexp_matches(u, '^https?://[^/?]+'))
-  SELECT 'http://' || host AS url, count(DISTINCT u) AS n_pieces, count(DISTINCT u) FILTER (WHERE page_id % 2 = 0) AS n_posts,
-    count(DISTINCT u) FILTER (WHERE page_id % 2 = 1) AS n_comments, min(page_id) AS first FROM h GROUP BY host""")
+  SELECT 'http://' || host AS url, count(*) AS n_pieces, count(*) FILTER (WHERE odd = 0) AS n_posts, count(*) FILTER (WHERE odd = 1) AS n_comments, min(first) AS first
+  FROM (SELECT host, u, max(page_id % 2) AS odd, min(page_id) AS first FROM h GROUP BY host, u) GROUP BY host""")
 def evidence_groups(spark, sf):
     """Addresses by host; odd pages stand for comments."""
     clean = numbers.clean_url(F.col("url"))
@@ -335,7 +335,7 @@ def _nation_kb(spark, sf):
     return n
 
 
-@query("""SELECT c_custkey, n_name AS market, CASE WHEN n_name IS NULL THEN 0.0 ELSE 0.95 END AS confidence, n_name IS NULL AS abstained
+@query("""SELECT c_custkey, n_name AS market, CASE WHEN n_name IS NULL THEN 0.0::DOUBLE ELSE 0.95::DOUBLE END AS confidence, n_name IS NULL AS abstained
   FROM customer LEFT JOIN nation ON c_custkey % 3 <> 0 AND c_nationkey = n_nationkey""")
 def entity_link(spark, sf):
     """Nations as markets, mentioned in changed letter case and spacing by two customers of three."""

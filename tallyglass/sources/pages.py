@@ -45,7 +45,7 @@ class _Text(HTMLParser):
         if self.in_title:
             self.title.append(data)
         elif not self.hidden:
-            self.out.append(data)
+            self.out.append(data.replace("\n", " "))
 
 
 def html_text(html: str | None) -> tuple[str, str]:
