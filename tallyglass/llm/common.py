@@ -66,3 +66,9 @@ def binary_rows(rows) -> pa.Array:
     offsets = np.arange(0, (n + 1) * width, width, dtype=np.int32) if width else np.zeros(n + 1, dtype=np.int32)
     data = np.ascontiguousarray(rows)
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``stored`` wrote for this application; frames that read it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyglass/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

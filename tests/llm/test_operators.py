@@ -481,3 +481,13 @@ def test_field_counts(spark):
     df = spark.createDataFrame([(1, "a title", "some body text", None)], "k int, title string, body string, note string")
     out = {o.field: o.n_tokens for o in tokencounts.field_counts(df, ["title", "body", "note"], "k").collect()}
     assert sum(out.values()) == len(byte_bpe().encode("a title\nsome body text\n")) // 4 and out["note"] == 0
+
+
+def test_stored_tables_can_be_released(spark):
+    from tallyglass.llm.common import release, shared_dir, stored
+
+    df = stored(spark.range(5).toDF("k"), "numbers")
+    assert df.count() == 5 and shared_dir(spark) in df.inputFiles()[0]
+    release(spark)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound|FAILED_READ_FILE"):
+        df.select(F.sum("k")).collect()
