@@ -84,13 +84,11 @@ def criterion_stats(long: DataFrame, platform: str = "platform", criterion: str
     known = long.where(F.col("value").isin(*SENTIMENT_COUNTS)).select(
         F.col(criterion).alias("criterion"), F.col(platform).alias("platform"), "value"
     )
-    counts = ", ".join(f"cast(count_if(value = '{s}') as bigint) as {s}" for s in SENTIMENT_COUNTS)
-    known.createOrReplaceTempView("_criterion_rows")
-    stats = known.sparkSession.sql(
-        f"select criterion, platform, grouping(platform) as is_total, {counts}, count(*) as n, "
-        "count(distinct platform) as n_sources, min(platform) as any_source from _criterion_rows "
-        "group by grouping sets ((criterion, platform), (criterion))"
-    )
+    c, p = F.col("criterion"), F.col("platform")
+    stats = known.groupingSets([[c, p], [c]], c, p).agg(
+        F.grouping("platform").alias("is_total"), *[count_if(F.col("value") == s).alias(s) for s in SENTIMENT_COUNTS],
+        F.count("*").alias("n"), F.count_distinct("platform").alias("n_sources"), F.min("platform").alias("any_source"),
+    )
     total = F.col("is_total") == 1
     return stats.select(
         "criterion", "platform", F.col("is_total").cast("int").alias("is_total"), *SENTIMENT_COUNTS, "n",

@@ -44,6 +44,21 @@ def choose_tau(sweep: DataFrame, min_precision: float = 0.90) -> DataFrame:
     return rated.orderBy(*order).limit(1)
 
 
+def calibrated(holdout: DataFrame, score: str, truth: str, tau: float, margin: float = 0.05, min_negatives: int = 10) -> DataFrame:
+    """One row for a threshold on held-out rows: counts, ratios, the keep-all baseline, and ``usable``:
+    F1 better than the baseline by the margin, fewer false positives, and enough negatives to tell."""
+    got = with_ratios(confusion(holdout, F.col(score) >= tau, F.col(truth)))
+    base = with_ratios(confusion(holdout, F.lit(True), F.col(truth))).select(F.col("f1").alias("base_f1"), F.col("fp").alias("base_fp"))
+    both = got.crossJoin(F.broadcast(base))  # one row each
+    usable = (F.col("f1") >= F.col("base_f1") + margin) & (F.col("fp") < F.col("base_fp")) & (F.col("fp") + F.col("tn") >= min_negatives)
+    return both.withColumn("usable", usable)
+
+
+def passes(rates: DataFrame, least: float = 1.0) -> bool:
+    """Whether every suite's pass rate (n, n_passed) is high enough; a suite without cases does not pass."""
+    return not rates.where((F.col("n") == 0) | (F.col("n_passed") < least * F.col("n"))).limit(1).count()
+
+
 def axis_report(df: DataFrame, bucket: str, truth: str) -> DataFrame:
     """Per bucket: n and how many are wanted; wasted calls are the rest."""
     return df.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"), count_if(F.col(truth)).alias("n_wanted"))
@@ -103,11 +118,10 @@ def ledger_summary(calls: DataFrame) -> DataFrame:
 
 def manifest(runs: DataFrame, kind: str, key: str, item_at: str, scraped: str, cost: str) -> DataFrame:
     """Per kind and key, and per kind (key NULL): n_items, oldest, newest, last_scrape, cost."""
-    runs.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(item_at).alias("at"), F.col(scraped).alias("scraped"),
-                F.col(cost).alias("cost")).createOrReplaceTempView("_manifest_rows")
-    return runs.sparkSession.sql(
-        "select kind, key, count(*) as n_items, min(at) as oldest, max(at) as newest, max(scraped) as last_scrape, sum(cost) as cost "
-        "from _manifest_rows group by grouping sets ((kind, key), (kind))"
+    rows = runs.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.col(item_at).alias("at"), F.col(scraped).alias("scraped"), F.col(cost).alias("cost"))
+    k, v = F.col("kind"), F.col("key")
+    return rows.groupingSets([[k, v], [k]], k, v).agg(
+        F.count("*").alias("n_items"), F.min("at").alias("oldest"), F.max("at").alias("newest"), F.max("scraped").alias("last_scrape"), F.sum("cost").alias("cost")
     )
 
 

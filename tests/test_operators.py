@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from tallyglass.functions import lexicon as L
 from tallyglass.operators import consolidate, evaluate, gate, hooks, linking, maintenance, merge, registry, retrieval, threads
-from tallyglass.sources import pages, rawlog, social
+from tallyglass.sources import dimensions, pages, rawlog, social
 from tallyglass.streaming import incremental, windows
+from tallyglass.streaming.budget import budget_stream
 
 KB = "market string, market_word string, handle string, handles_alt array<string>, aliases array<string>, choseong string, choseong_aliases array<string>"
 
@@ -384,3 +385,47 @@ def test_evaluation(spark):
     assert {(x.id, x.M, x.E) for x in evaluate.gold_with_rulings(gold, rulings).collect()} == {("a", 1, 0), ("b", 1, 0), ("c", 1, 1)}
     weak = evaluate.weak_labels(spark.createDataFrame([("좋음",), ("좋음",), ("완장",), ("?",)], "text string"), "text", [("완장", False), ("좋", True)])
     assert sorted(str(x.keep) for x in weak.collect()) == ["False", "None", "True"]
+
+
+def test_calibration_guards(spark):
+    rows = [(0.1, False)] * 12 + [(0.9, True)] * 6 + [(0.2, True)]
+    df = spark.createDataFrame(rows, "score double, keep boolean")
+    (r,) = evaluate.calibrated(df, "score", "keep", 0.5).collect()
+    assert (r.tp, r.fp, r.fn, r.tn, r.usable) == (6, 0, 1, 12, True)
+    assert not evaluate.calibrated(df, "score", "keep", 0.0).first().usable
+    rates = spark.createDataFrame([(15, 15)], "n int, n_passed int")
+    assert evaluate.passes(rates) and not evaluate.passes(spark.createDataFrame([(15, 14)], "n int, n_passed int"))
+
+
+def test_dimension_files(spark, tmp_path):
+    p = tmp_path / "overlay.json"
+    dimensions.record(p, "m", "p", "scent", " 레몬 ", None, "t1")
+    dimensions.record(p, "m", "p", "base", None, "x", "t2", unknown=True)
+    got = {r.field: (r.value, r.unknown) for r in dimensions.overlay(spark, p).collect()}
+    assert got == {"scent": ("레몬", False), "base": (None, True)}
+    (tmp_path / "bad.json").write_text("{")
+    assert dimensions.markers(tmp_path / "bad.json") == L.PROMO_MARKERS and dimensions.markers(tmp_path / "none.json", ["a"]) == ["a"]
+    (tmp_path / "m.json").write_text('{"markers": ["_note", "b"]}')
+    assert dimensions.markers(tmp_path / "m.json") == ["b"]
+    (tmp_path / "kb.json").write_text(json.dumps({"markets": [{"market": "가", "market_word": "가", "handle": "h"}]}))
+    (k,) = dimensions.knowledge_base(spark, tmp_path / "kb.json").collect()
+    assert k.handle == "h" and k.aliases == []
+    assert dimensions.registry(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_budget_stream_equals_the_batch_gate(spark, tmp_path):
+    r = random.Random(3)
+    runs, rows = {}, []
+    for run in range(12):
+        batches = [(b, [(p, r.random() < 0.5, r.randint(0, 2)) for p in range(r.randint(1, 6))]) for b in range(6)]
+        runs[str(run)] = sequential_gate(batches, 4)[0]
+        rows += [(str(run), b, p, k, float(s)) for b, items in batches for p, k, s in items]
+    kind = "run string, batch long, pos long, keep boolean, score double"
+    for half in (0, 1):  # batches arrive in two files, in order
+        own = [x for x in rows if (x[1] >= 3) == half]
+        spark.createDataFrame(own, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = budget_stream(stream, 4).writeStream.format("memory").queryName("taken").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("taken").collect()
+    assert {run: {(x.batch, x.pos) for x in got if x.run == run} for run in runs} == runs
