@@ -30,7 +30,7 @@ END_ID = 2
 #: plan of the fewest sequences is taken: fewer large lengths round up less, more of them are optimised together.
 GROUPS, SMALL_PARTS = 128, (2, 3)
 #: Pieces of one length that are ranked in one task, about; and the most salts.
-RANKED_TOGETHER, MOST_SALTS = 500_000, 1024
+RANKED_TOGETHER, MOST_SALTS = 500_000, 256
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
