@@ -25,28 +25,30 @@ class OffsetBpe(ByteBpe):
 
     def __init__(self, vocabulary: str = VOCABULARY):
         super().__init__(vocabulary)
-        self.first, self.rest = (_Chunks(lead, lambda c: self._spans(c, self.fast.encode_ordinary(c))) for lead in ("", " "))
-
-    def _spans(self, chunk: str, ids: list[int]) -> tuple[int, int, bytes, bytes]:
-        """Tokens, code points, starts and ends (32-bit) of a chunk."""
-        raw, ends = chunk.encode(), np.cumsum(self.width[ids])
-        starts, last = np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends - 1
-        if len(raw) != len(chunk):
-            char = np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80) - 1
-            starts, last = char[starts], char[last]
-        return len(ids), len(chunk), starts.astype("<i4").tobytes(), (last + 1).astype("<i4").tobytes()
+        self.widths = self.width.tolist()  # no token has more than 255 bytes
+        self.first, self.rest = _Chunks("", self._chunk_widths), _Chunks(" ", self._chunk_widths)
+
+    def _chunk_widths(self, chunk: str) -> bytes:
+        return bytes([self.widths[i] for i in self.fast.encode_ordinary(chunk)])
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of all tokens of a whole text, in code points."""
+        """Starts and ends of all tokens of a whole text, in code points.
+
+        Tokens follow each other byte for byte, so their byte offsets are running sums of their widths.
+        """
         if UNSAFE.search(text) or any(s in text for s in self.special):
-            parts = [self._spans(text, self.slow.encode(text, add_special_tokens=False).ids)]
+            widths = bytes([self.widths[i] for i in self.slow.encode(text, add_special_tokens=False).ids])
         else:
             head, *tail = text.split(" ")
-            parts = [self.first[head], *map(self.rest.__getitem__, tail)]
-        tokens, chars, starts, ends = zip(*parts)
-        chars = np.array(chars)
-        base = np.repeat(np.cumsum(chars) - chars, tokens)
-        return tuple(np.frombuffer(b"".join(x), dtype="<i4") + base for x in (starts, ends))
+            widths = self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        width = np.frombuffer(widths, dtype=np.uint8)
+        ends = np.cumsum(width, dtype=np.int64)
+        starts, last = ends - width, ends - 1
+        raw = text.encode()
+        if len(raw) != len(text):
+            char = np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80) - 1  # of each byte
+            starts, last = char[starts], char[last]
+        return starts, last + 1
 
 
 @lru_cache(maxsize=2)
