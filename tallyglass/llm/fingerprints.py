@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from tallyglass.llm.common import map_batches
 
 K, S, ANCHORS = 20, 5, 64
-#: Rows that are put in order together, about; and the most groups of them, whose heads are broadcast.
-GROUP_ROWS, MOST_GROUPS = 512, 4096
+#: Rows that are put in order together, about; the most groups of them, whose heads are broadcast; and the ids
+#: per group that its bounds are estimated from. Bounds only balance the groups: every row is in exactly one.
+GROUP_ROWS, MOST_GROUPS, BOUND_IDS = 512, 16384, 64
 
 _P = np.uint32(0x01000193)
 
@@ -101,9 +102,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     src = docs.select(F.col(doc_id).alias("doc_id"), ids.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    groups = min(MOST_GROUPS, max(1, src.count() // GROUP_ROWS))
+    n = src.count()
+    groups = min(MOST_GROUPS, max(1, n // GROUP_ROWS))
     at = [i / groups for i in range(1, groups)]
-    found = src.agg(F.percentile_approx("key", at, 10 * MOST_GROUPS)).first()[0] if at else []
+    scale = 1 << 20
+    some = src.where(F.pmod(F.xxhash64("key"), F.lit(scale)) <= scale * BOUND_IDS * groups // max(n, 1))
+    found = some.agg(F.percentile_approx("key", at, 10 * groups)).first()[0] if at else []
     bounds = np.unique(np.array(found or [], dtype=np.int64))
 
     @F.pandas_udf("int")
