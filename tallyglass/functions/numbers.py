@@ -89,9 +89,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """V2: scaled to unit length, safe for zero vectors."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / (n + 1e-12))
+    """V2: scaled to unit length, safe for zero vectors.
+
+    The norm is bound as the one element of an array, so that it is not found again for each dimension.
+    """
+    scaled = F.transform(F.array(norm(a) + 1e-12), lambda n: F.transform(a, lambda x: x.cast("double") / n))
+    return F.get(scaled, F.lit(0))
 
 
 def probability(weights: list[float], bias: float, x: Column) -> Column:
