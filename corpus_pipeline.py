@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tallyglass.llm import langid, neardup, packing, rules
 from tallyglass.llm.common import stored
 
-#: Language ID rejects what has no letters and what no learned language explains better than a guess.
+#: Language ID rejects what has no letters, what a cycle of duels leaves without a winner (this score; without a
+#: cycle it is 0.25 or more), and what the winner explains worse than its own texts (``langid.profile``).
 MIN_LANG_SCORE = 0.05
 ORACLE_SQL = None
 
@@ -28,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a learned language."""
     model = langid.fit(docs, langid.fold(F.col("doc_id")) != 0)
-    wanted = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANG_SCORE)
+    wanted = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANG_SCORE) & F.col("lang_known")
     return langid.with_language(docs, model).where(wanted).select(*docs.columns)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +24,9 @@ UNKNOWN = "und"
 BITS = 13
 #: The classifier is fitted on at most this many labelled rows of each of at most this many languages.
 TRAIN_PER_LANG, MOST_LANGS = 300, 64
+#: A text is in none of the learned languages if its language explains it worse than the median training row by more
+#: than FLOOR_SPREADS times what that row is ahead of the FLOOR_QUANTILE; not judged with fewer rows than FLOOR_ROWS.
+FLOOR_QUANTILE, FLOOR_SPREADS, FLOOR_ROWS, UNSEEN = 0.02, 3.0, 20, 1e-6
 #: Families of common languages; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nl", "no", "sv"),
@@ -82,6 +85,8 @@ class Hierarchy:
 
     families: dict[str, list[str]]
     between: dict[tuple[str, str], np.ndarray]
+    #: Of each language with enough rows: log shares of the n-grams, and the least mean of them that a text needs.
+    profiles: dict[str, tuple[np.ndarray, float]] = field(default_factory=dict)
 
     def _choose(self, names: list[str], x: np.ndarray) -> tuple[str, float]:
         """The name with the most one-versus-one wins (margins break ties) and its weakest probability."""
@@ -100,12 +105,27 @@ class Hierarchy:
         return best, float(sure[best])
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language and score as of ``predict``, and whether that language explains the text as its own."""
         if not self.families or not has_letter(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, False
         x = features(text)
         family, p = self._choose(sorted(self.families), x)
         lang, q = self._choose(self.families[family], x)
-        return lang, p * q
+        shares, floor = self.profiles.get(lang, (x, -np.inf))
+        return lang, p * q, bool((x * shares).sum() >= floor * x.sum())
+
+
+def profile(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Log n-gram shares of a language's rows, and the floor: each half of the rows is explained by the other."""
+    shares = x / x.sum(axis=1, keepdims=True)
+    halves = shares[0::2], shares[1::2]
+    means = np.concatenate([a @ np.log(b.mean(axis=0) + UNSEEN) for a, b in (halves, halves[::-1])])
+    middle = float(np.median(means))
+    floor = middle - FLOOR_SPREADS * (middle - float(np.quantile(means, FLOOR_QUANTILE)))
+    return np.log(shares.mean(axis=0) + UNSEEN), floor
 
 
 def train(samples: list[tuple[str, np.ndarray]]) -> Hierarchy:
@@ -123,7 +143,8 @@ def train(samples: list[tuple[str, np.ndarray]]) -> Hierarchy:
         for a, b in combinations(names, 2):
             at = (labels == a) | (labels == b)
             between[a, b] = train_svm(x[at], np.where(labels[at] == a, 1.0, -1.0))
-    return Hierarchy(families, between)
+    own_rows = {lang: x[langs == lang] for lang in np.unique(langs).tolist()}
+    return Hierarchy(families, between, {lang: profile(v) for lang, v in own_rows.items() if len(v) >= FLOOR_ROWS})
 
 
 def fit(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Hierarchy:
@@ -184,16 +205,20 @@ def identify(docs: DataFrame, model: Hierarchy, doc_id: str = "doc_id", text: st
 
 
 def with_language(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score beside its own columns (which they replace if named so)."""
+    """``docs`` with lang_pred, lang_score and lang_known beside its own columns (which they replace if named so).
+
+    lang_known is false for ``und`` and for a text that its nearest language explains worse than its own texts.
+    """
+    names = ["lang_pred", "lang_score", "lang_known"]
 
-    @F.pandas_udf("lang_pred string, lang_score double")
+    @F.pandas_udf("lang_pred string, lang_score double, lang_known boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
+        return pd.DataFrame([model.judge(t) for t in texts], columns=names)
 
     bounded_batches(docs.sparkSession)
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     made = docs.select(*own, predict(F.col(text)).alias("_made"))
-    return made.select(*own, "_made.lang_pred", "_made.lang_score")
+    return made.select(*own, *[f"_made.{c}" for c in names])
 
 
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -43,3 +43,22 @@ def test_stages_take_awkward_and_empty_tables(spark, k):
     assert stage(spark, df.limit(0), SF).count() == 0
     if k == 2:  # repeated rows once, the near copy gone, everything without a twin kept
         assert sorted(str(o.doc_id) for o in out) == sorted(["1", "1", "2", "3", "4", "5", "7", "None"])
+
+
+UNLEARNED = [
+    "La mattina il sole sorge sopra le colline e i contadini escono di casa per lavorare nei campi. Nel villaggio le donne "
+    "comprano il pane fresco e parlano delle notizie del giorno. Quando arriva la sera tutti si ritrovano nella piazza, dove "
+    "i bambini giocano e gli anziani raccontano storie di tempi lontani.",
+    "Rano slonce wschodzi nad wzgorzami i rolnicy wychodza z domu do pracy na polach. We wsi kobiety kupuja swiezy chleb i "
+    "rozmawiaja o wiadomosciach dnia. Kiedy nadchodzi wieczor, wszyscy spotykaja sie na rynku, gdzie dzieci sie bawia.",
+    "xq zvk wpt jrrg qqlm fzzd bvx kkwq ptrx mnvz lqj hgf dsz xcv bnm qwt zxk vbr plk jhg trw qsd fgh zxc vbn mlk poi uyt.",
+]
+
+
+def test_language_id_rejects_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = corpus_pipeline.quality_rules(spark, docs, SF).select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(UNLEARNED)], docs.schema)
+    left = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(planted), SF).select("doc_id").collect()}
+    assert not any(i < 0 for i in left)
+    assert len(left) >= 0.99 * docs.count()
