@@ -21,9 +21,11 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep, with their texts as they were."""
+    """Documents that the line-first rules keep, without the lines that fail; n_chars is that of what is left."""
     judged = rules.quality_rules(docs).where("quality_rules.kept")
-    return judged.select(*[c for c in docs.columns if c != "quality_rules"])
+    clean = F.col("quality_rules.clean_text")
+    made = {"text": clean, "n_chars": F.length(clean).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return judged.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c != "quality_rules"])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,12 @@ def test_language_id_rejects_unlearned_languages(spark):
     left = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(planted), SF).select("doc_id").collect()}
     assert not any(i < 0 for i in left)
     assert len(left) >= 0.99 * docs.count()
+
+
+def test_quality_rules_pass_on_the_clean_text(spark):
+    prose = "\n".join(" ".join(f"w{k}x{j}" for j in range(8)) + "." for k in range(12))
+    text = f"Home | News | About | Contact\n{prose}\nAll rights reserved."
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    (out,) = corpus_pipeline.quality_rules(spark, docs, SF).collect()
+    assert out.text == prose and out.n_chars == len(prose)
+    assert corpus_pipeline.quality_rules(spark, docs, SF).schema["n_chars"] == docs.schema["n_chars"]
