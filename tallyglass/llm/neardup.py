@@ -2,10 +2,10 @@
 
 * A document's set: hashes of its distinct word shingles. Documents with equal sets are one class,
   and only one member of a class goes on.
-* The forest: TREES orders of the signature's values. In each, signatures are sorted, and every one
-  looks at its next NEIGHBOURS: a neighbour that shares the first HEAD values is a candidate. How
-  deep a candidate's prefix really is depends on how crowded its region is, as the nearest share most.
-  Candidates whose whole signatures are too unlike are left out.
+* The forest: TREES orders of the signature's values. In each, signatures are sorted, and those that
+  share the first HEAD values are candidates of each other, however many they are: every one looks at
+  its next NEIGHBOURS, and where that leaves rows of a head uncovered, each is held against all others
+  that are not connected to it yet. Candidates whose whole signatures are too unlike are left out.
 * Candidates form regions (connected components). Within a region all pairs that are not yet known
   to belong together are compared on full sets, so the forest has to find a path, not every pair.
   Large regions are dealt into blocks several times; what is still apart then is compared with
@@ -45,6 +45,7 @@ _ORDERS = np.array(
         for own in np.arange(TREES * HEAD).reshape(TREES, HEAD)
     ]
 )
+_ONES = np.uint64(0x1111111111111111)
 _SAME_HALVES = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], dtype=np.uint8)
 
 
@@ -114,6 +115,53 @@ def signed_documents(docs: DataFrame, words: int, doc_id: str, text: str) -> Dat
     return map_batches(src, sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
+def candidates(head: np.ndarray, ids: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with one head and like signatures: all pairs of a head are connected or unlike."""
+    chain = np.zeros(len(ids), dtype=np.int64)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], ids[:0])]
+    for g in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
+        at = np.flatnonzero((head[:-g] == head[g:]) & ((chain[:-g] != chain[g:]) | (g == 1)))
+        same = _SAME_HALVES[halves[at] ^ halves[at + g]].sum(axis=1, dtype=np.int32)
+        at = at[same >= EQUAL_HALVES]
+        out.append((ids[at], ids[at + g]))
+        if g == 1:  # rows of one chain are connected already
+            broken = np.ones(len(ids), dtype=bool)
+            broken[at + 1] = False
+            chain = np.cumsum(broken)
+    edge = np.flatnonzero(np.diff(head)) + 1
+    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)]):
+        if hi - lo > NEIGHBOURS + 1:
+            a, b = crowded(halves[lo:hi], chain[lo:hi])
+            out.append((ids[lo + a], ids[lo + b]))
+    return tuple(np.concatenate([x[k] for x in out]) for k in (0, 1))
+
+
+def crowded(halves: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the like rows of one head, from the chains that connect some of them already.
+
+    A row is held against all that are not connected to it and were not held against others before,
+    one after another, until every row that was not is in the largest component.
+    """
+    words = np.ascontiguousarray(halves).view(np.uint64)
+    _, label = np.unique(label, return_inverse=True)
+    size, todo, out = np.bincount(label), np.ones(len(label), dtype=bool), []
+    while (left := todo & (label != size.argmax())).any():
+        i = int(left.argmax())
+        todo[i] = False
+        at = np.flatnonzero(todo & (label != label[i]))
+        x = words[at] ^ words[i]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        unlike = np.bitwise_count(x & _ONES).sum(axis=1, dtype=np.int32)
+        for j in at[VALUES - unlike >= EQUAL_HALVES].tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                size[label[i]] += size[label[j]]
+                size[label[j]], label[label == label[j]] = 0, label[i]
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def forest_edges(classes: DataFrame) -> DataFrame:
     """Candidate edges (a, b) between class ids from all orders; groups of like signatures become chains."""
 
@@ -136,35 +184,30 @@ def forest_edges(classes: DataFrame) -> DataFrame:
             )
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        def links(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+            a, b = candidates(*(np.concatenate(x) for x in zip(*parts)))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        kept: list[list[np.ndarray]] = []  # rows of heads that may go on
         for batch in batches:
+            if not batch.num_rows:
+                continue
             tree, k1, ids = (batch.column(i).to_numpy() for i in (0, 1, 3))
             halves = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, VALUES // 2)
-            region = (tree.astype(np.int64) << 33) + (k1 >> 32)  # order and the first HEAD values
-            own = [region, ids, halves]
-            if kept is not None:
-                own = [np.concatenate(x) for x in zip(kept, own)]
-            kept = [x[-NEIGHBOURS:] for x in own]
-            region, ids, halves = own
-            chain = np.zeros(len(ids), dtype=np.int64)
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            for g in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
-                at = np.flatnonzero((region[:-g] == region[g:]) & ((chain[:-g] != chain[g:]) | (g == 1)))
-                same = _SAME_HALVES[halves[at] ^ halves[at + g]].sum(axis=1, dtype=np.int32)
-                at = at[same >= EQUAL_HALVES]
-                out.append((ids[at], ids[at + g]))
-                if g == 1:  # rows of one chain are connected already
-                    broken = np.ones(len(ids), dtype=bool)
-                    broken[at + 1] = False
-                    chain = np.cumsum(broken)
-            if out:
-                a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            head = (tree.astype(np.int64) << 33) + (k1 >> 32)  # order and the first HEAD values
+            cut = int(np.searchsorted(head, head[-1]))  # heads ascend: the last one may go on
+            if cut or (kept and kept[-1][0][-1] != head[-1]):
+                yield links([*kept, [head[:cut], ids[:cut], halves[:cut]]])
+                kept = []
+            kept.append([head[cut:], ids[cut:], halves[cut:]])
+        if kept:
+            yield links(kept)
 
     rows = map_batches(classes.select("id", "sig"), to_orders, "tree int, k1 long, k2 long, id long, halves binary")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "tree", "k1", "k2", "id").sortWithinPartitions("tree", "k1", "k2", "id")
+    # by heads, so that none is cut in two
+    ordered = rows.repartitionByRange(n, "tree", F.shiftright("k1", 32)).sortWithinPartitions("tree", "k1", "k2", "id")
     return map_batches(ordered, neighbours, "a long, b long", rows=8192).distinct()
 
 

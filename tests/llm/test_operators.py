@@ -309,6 +309,48 @@ def test_large_regions_are_dealt_into_blocks(spark, monkeypatch):
     assert {o.doc_id: (o.n_shingles, o.component_id) for o in out} == brute_components(rows, 2)
 
 
+def test_forest_finds_pairs_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TREES", 8)  # only the orders whose heads are crowded
+    monkeypatch.setattr(neardup, "_ORDERS", neardup._ORDERS[:8])
+    r, n, pairs, fixed = np.random.default_rng(3), 1500, 300, 32
+    sig = 17 * r.integers(0, 4, (n, neardup.VALUES))  # any two rows: 0.44 alike, and one head in 8 orders
+    sig[:, :fixed] = 1
+    for k in range(pairs):  # rows k and pairs + k: 0.8
+        other = fixed + r.permutation(neardup.VALUES - fixed)[:26]
+        sig[pairs + k] = sig[k]
+        sig[pairs + k, other] = (sig[k, other] + 17 * r.integers(1, 4, 26)) % 68
+    rows = [(i, bytearray(v.tobytes())) for i, v in enumerate(sig.astype(np.uint8))]
+    label = list(range(n))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for e in neardup.forest_edges(spark.createDataFrame(rows, "id long, sig binary")).collect():
+        label[root(e.a)] = root(e.b)
+    assert sum(root(k) != root(pairs + k) for k in range(pairs)) == 0
+    assert len({root(i) for i in range(n)}) > n // 2  # not just one region of all
+
+
+def test_crowded_heads_are_covered():
+    r = np.random.default_rng(4)
+    for seed in range(20):
+        base = r.integers(0, 256, (5, neardup.VALUES // 2))
+        halves = base[r.integers(0, 5, 60)].copy()
+        for row in halves:
+            row[r.permutation(neardup.VALUES // 2)[: r.integers(0, 24)]] = r.integers(0, 256)
+        halves = halves.astype(np.uint8)
+        a, b = neardup.crowded(halves, np.arange(60))
+        same = neardup._SAME_HALVES[halves[:, None] ^ halves[None]].sum(axis=2) >= neardup.EQUAL_HALVES
+        assert all(same[i, j] for i, j in zip(a, b))
+        reach, made = np.eye(60, dtype=bool) | same, np.eye(60, dtype=bool)
+        made[a, b] = made[b, a] = True
+        for _ in range(6):
+            reach, made = reach @ reach, made @ made
+        assert (reach == made).all()
+
+
 def test_near_duplicates_awkward(spark):
     df, rows = awkward(spark)
     out = neardup.near_duplicates(df, 2).collect()
