@@ -2,7 +2,7 @@
 
 A k-mer of code points is a closed syncmer if the smallest hash among its s-mers is its first or its
 last: whether it is chosen depends on the k-mer alone, so equal passages have equal anchors whatever
-stands around them. A fingerprint is a bottom sketch of the anchors: the ANCHORS smallest anchor
+stands around them. A fingerprint holds all of them, so it grows with the text: the distinct anchor
 hashes with the positions at which they first occur. Two fingerprints are matched by position:
 shared anchors count only along the longest run in which they keep their order.
 """
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from tallyglass.llm.common import map_batches
 
-K, S, ANCHORS = 20, 5, 64
+K, S = 20, 5
+#: Bytes of fingerprints in one batch that is sent back, about.
+BATCH_BYTES = 16 << 20
 #: Rows that are put in order together, about; the most groups of them, whose heads are broadcast; and the ids
 #: per group that its bounds are estimated from. Bounds only balance the groups: every row is in exactly one.
 GROUP_ROWS, MOST_GROUPS, BOUND_IDS = 512, 16384, 64
@@ -64,21 +66,24 @@ def fingerprint(text: str) -> str:
     """Base64 of the anchors: little-endian pairs (hash, position) by ascending hash; empty for an empty text."""
     at, h = syncmers(text)
     h, first = np.unique(h, return_index=True)
-    pairs = np.stack([h[:ANCHORS], at[first[:ANCHORS]].astype(np.uint32)], axis=1)
+    pairs = np.stack([h, at[first].astype(np.uint32)], axis=1)
     return base64.b64encode(pairs.astype("<u4").tobytes()).decode()
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: of the smallest anchors of both together, the share that both have in the same order."""
+    """0 to 1: of the anchors of both together, the share that both have in the same order."""
     if a == b:
         return 1.0
-    x, y = (dict(np.frombuffer(base64.b64decode(f), "<u4").reshape(-1, 2).tolist()) for f in (a, b))
-    union = sorted(x.keys() | y.keys())[:ANCHORS]
+    x, y = (np.frombuffer(base64.b64decode(f), "<u4").reshape(-1, 2) for f in (a, b))
+    _, i, j = np.intersect1d(x[:, 0], y[:, 0], assume_unique=True, return_indices=True)
     run: list[int] = []
-    for _, p in sorted((x[h], y[h]) for h in union if h in x and h in y):
-        at = bisect.bisect_left(run, p)
-        run[at : at + 1] = [p]
-    return len(run) / len(union) if union else 1.0
+    for p in y[j[np.argsort(x[i, 1], kind="stable")], 1].tolist():
+        if not run or p > run[-1]:
+            run.append(p)
+        else:
+            run[bisect.bisect_left(run, p)] = p
+    union = len(x) + len(y) - len(i)
+    return len(run) / union if union else 1.0
 
 
 def edited(text: str, donor: str) -> str:
@@ -133,7 +138,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
         waiting = None  # the row whose next is not known yet
+
+        def flushed(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (id_type, *types))], names)
+
         for batch in batches:
+            id_type, held = batch.column(2).type, 0
             out: list[list] = [[] for _ in names]
             for group, lent, key, t in zip(*(c.to_pylist() for c in batch.columns)):
                 own = None
@@ -146,11 +156,14 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                             likeness(w_print, e_print), likeness(w_print, own))
                     for column, value in zip(out, made):
                         column.append(value)
+                    held += len(w_print) + len(e_print)
+                    if held > BATCH_BYTES:
+                        yield flushed(out)
+                        out, held = [[] for _ in names], 0
                     waiting = None
                 if not lent:
                     waiting = (group, key, t, own if own is not None else fingerprint(t))
-            cols = [pa.array(c, x) for c, x in zip(out, (batch.column(2).type, *types))]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield flushed(out)
 
     schema = (
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

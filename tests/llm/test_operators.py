@@ -105,6 +105,16 @@ def test_likeness_bounds():
     assert fingerprints.fingerprint("") == "" and len(base64.b64decode(fingerprints.fingerprint("ab"))) == 8
 
 
+def test_fingerprints_keep_all_anchors():
+    r = random.Random(6)
+    long, passage = ("".join(r.choices("abcdefgh ", k=n)) for n in (200_000, 400))
+    other = "".join(r.choices("abcdefgh ", k=200_000)) + passage
+    prints = [{h for h, _ in np.frombuffer(base64.b64decode(fingerprints.fingerprint(t)), "<u4").reshape(-1, 2).tolist()} for t in (long[:90_000] + passage + long[90_000:], other, passage)]
+    assert prints[2] and prints[2] <= prints[0] & prints[1]  # context-free, whatever the length
+    fewer = long[:100_000] + "".join(r.choices("abcdefgh ", k=2000)) + long[102_000:]
+    assert fingerprints.likeness(fingerprints.fingerprint(long), fingerprints.fingerprint(fewer)) == pytest.approx(0.98, abs=0.005)
+
+
 def test_fingerprints_next_document(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "GROUP_ROWS", 7)  # many groups, so that heads are lent
     docs = documents(spark)
