@@ -14,6 +14,8 @@ WORD_GAP = "[ \\t\\n\\x0B\\f\\r]+"
 MIN_KEPT_PERCENT = 60
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Sentence ends of all scripts in ``langid.FAMILIES``, and full-width ones: danda, double danda, Arabic and Urdu marks.
+SENTENCE_ENDS = "[.!?…。।॥۔؟！？．｡]"
 #: Lines that hold one of these are site furniture, not prose.
 BOILERPLATE = (
     "all rights reserved|cookie policy|privacy policy|terms of (use|service)|enable javascript"
@@ -44,7 +46,7 @@ def _pairs(xs: Column, f) -> Column:
 def line_fails(line: Column) -> Column:
     """True for a line that breaks a punctuation, navigation or boilerplate rule.
 
-    * punctuation: no letter or digit followed anywhere by a sentence end, more than one doubled
+    * punctuation: none of ``SENTENCE_ENDS``, more than one doubled
       ``!``/``?`` run in ten characters' worth of words, or symbols beyond ``SYMBOL_PERCENT``;
     * navigation: ``MENU_COUNT`` or more menu marks;
     * boilerplate: one of ``BOILERPLATE`` in any letter case.
@@ -56,7 +58,7 @@ def line_fails(line: Column) -> Column:
     return (
         (100 * symbols > SYMBOL_PERCENT * n)
         | (40 * shouts > n)
-        | ~line.rlike("[.!?…。]")
+        | ~line.rlike(SENTENCE_ENDS)
         | (menu >= MENU_COUNT)
         | F.lower(line).rlike(BOILERPLATE)
     )

@@ -275,6 +275,13 @@ def test_rules_judge_lines(spark):
 # --- 7 near duplicates
 
 
+@pytest.mark.parametrize("end", "।॥۔؟！？")
+def test_rules_keep_sentences_of_all_scripts(spark, end):
+    text = "\n".join(" ".join(f"शब्द{k}x{j}" for j in range(8)) + end for k in range(12))
+    (o,) = rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert o.quality_rules.kept and o.quality_rules.lines_removed == 0
+
+
 def brute_components(rows, words, percent=80):
     sets = []
     for _, t in rows:
