@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 #: White space that separates words in every operator here: U+0020 and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
-#: Rows in one Arrow batch: long texts must not meet in one batch by thousands.
+#: Rows that a batch function sees at once; the bytes of an Arrow batch are bounded by the session.
 BATCH_ROWS = 512
+#: Local folders of applications without ``spark.checkpoint.dir``, which only local masters get.
+_local: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,12 +23,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a new local folder; a cluster cannot share one, so there
+    it is an error. The session's settings are left as they are.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="tallyglass-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known
+    if known:
+        return known
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tallyglass-")
+    return _local[context.applicationId]
+
+
+def own_dir(spark: SparkSession) -> str:
+    """Where the tables of this application go."""
+    return f"{shared_dir(spark)}/tallyglass/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -35,22 +50,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, survives lost executors, and keeps an expensive step from running twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyglass/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Limit the rows of an Arrow batch for what is planned from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS
 ) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``rows`` rows."""
-    bounded_batches(df.sparkSession, rows)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` whose function gets slices of at most ``rows`` rows, whatever the session's batches hold."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(batch.slice(lo, rows) for batch in batches for lo in range(0, max(batch.num_rows, 1), rows))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def fold(doc_id: Column) -> Column:
@@ -70,5 +83,5 @@ def binary_rows(rows) -> pa.Array:
 
 def release(spark: SparkSession) -> None:
     """Delete what ``stored`` wrote for this application; frames that read it are of no use afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tallyglass/{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

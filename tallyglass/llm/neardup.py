@@ -2,51 +2,68 @@
 
 * A document's set: hashes of its distinct word shingles. Documents with equal sets are one class,
   and only one member of a class goes on.
-* The forest: TREES orders of the signature's values. In each, signatures are sorted, and those that
-  share the first HEAD values are candidates of each other, however many they are: every one looks at
-  its next NEIGHBOURS, and where that leaves rows of a head uncovered, each is held against all others
-  that are not connected to it yet. Candidates whose whole signatures are too unlike are left out.
-* Candidates form regions (connected components). Within a region all pairs that are not yet known
-  to belong together are compared on full sets, so the forest has to find a path, not every pair.
-  Large regions are dealt into blocks several times; what is still apart then is compared with
-  every block.
+* The forest: sorted orders of the signature's values. In an order, classes whose longest common
+  prefix reaches a depth are a region, and the rows of a region are candidates of each other if the
+  whole signatures are alike. The depth adapts to the region: one of more than REGION rows is not
+  compared at this depth, its rows go on to the next of LEVELS, whose longer prefixes part them over
+  more orders.
+* First every row of a region gets one edge, to the row of the smallest id that it is like, and
+  regions beyond REGION are sorted on, so that long common prefixes meet in runs of RUN rows. These
+  edges are confirmed on full sets, and what is linked gets one label. Only regions that still hold
+  several labels, and like pairs that no edge stands for, are looked at again: all like pairs between
+  labels, the most alike first, until none is left that was not confirmed or refused.
+* So near copies in any number become one label from a few edges a row, unlike documents in any
+  number part by depth, and a pair that is like is never left out for being one of many.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm.common import binary_rows, map_batches, stored
 from tallyglass.llm.graph import components
 
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Values of a signature; orders; values of an order's key; values that candidates share at least.
-VALUES, TREES, LEVELS, HEAD = 128, 32, 16, 4
-NEIGHBOURS = 6
-#: Candidates need this many equal half-bytes of VALUES: 4.5 standard errors below the threshold 0.8.
-EQUAL_HALVES = 84
-#: A region beyond this many classes, or shingles in all, is dealt into blocks of about half of that, DEALS times.
-BLOCK_CLASSES, BLOCK_SHINGLES, DEALS = 4000, 2_000_000, 3
+#: Values of a signature.
+VALUES = 256
+#: (depth, orders): of two sets at 0.8 all orders of a level miss 1 in 10,000 or fewer; the first level 1 in 10 million.
+LEVELS = ((4, 32), (8, 96), (12, 256), (16, 512))
+#: The most rows of a region that are compared at its depth.
+REGION = 512
+#: Rows that are compared in runs, and the orders in which regions beyond REGION are cut into runs.
+RUN, RUN_ORDERS = 256, 4
+#: Edges of one row to other labels that are tried first, and the factor by which they grow.
+FIRST_TRIED, MORE_TRIED = 32, 16
+#: Signatures of candidates may agree in this many standard errors less than at the threshold: 3 in a million miss.
+SPREADS = 4.5
+#: Bits of the filter on ids that keeps most texts out of the shuffle; at most 1/64 of them are rows of a broadcast.
+FILTER_BITS = 1 << 26
 CACHED_WORDS = 500_000
 
 _rng = np.random.default_rng(20240607)
-_A = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
-#: The values that each order sorts by: the heads of all orders are disjoint.
+_A = _rng.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32)
+_DEEPEST, _MOST_ORDERS = LEVELS[-1]
+#: The values that each order sorts by; the first four of the orders of the first level are disjoint.
 _ORDERS = np.array(
     [
-        [*own, *_rng.permutation(np.setdiff1d(np.arange(VALUES), own))[: LEVELS - HEAD]]
-        for own in np.arange(TREES * HEAD).reshape(TREES, HEAD)
-    ]
+        [*own, *_rng.permutation(np.setdiff1d(np.arange(VALUES), own))[: _DEEPEST - len(own)]]
+        for own in ([*range(4 * t, 4 * t + 4)] if t < LEVELS[0][1] else [] for t in range(_MOST_ORDERS))
+    ],
+    dtype=np.int64,
 )
+#: The lowest bits of a region's key are the number of its order.
+_ORDER_BITS = np.uint64(_MOST_ORDERS - 1)
 _ONES = np.uint64(0x1111111111111111)
-_SAME_HALVES = np.array([(x >> 4 == 0) + (x & 15 == 0) for x in range(256)], dtype=np.uint8)
+#: Regions of up to this many rows are compared together.
+_SMALL = 9
 
 
 class _Words(dict):
@@ -87,14 +104,21 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
 
 def signature(own: np.ndarray) -> np.ndarray:
     """One byte of the minimum of each of VALUES hash functions over a non-empty set."""
-    least = np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for lo in range(0, len(own), 1024):
-        np.minimum(least, (own[lo : lo + 1024, None] * _A + _B).min(axis=0), out=least)
-    return ((least >> np.uint64(13)) & np.uint64(255)).astype(np.uint8)
+    half = (own >> np.uint64(32)).astype(np.uint32)
+    least = np.full(VALUES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for lo in range(0, len(half), 512):
+        np.minimum(least, (half[lo : lo + 512, None] * _A + _B).min(axis=0), out=least)
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
+def set_name(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8")
+    return int(h1), int(h2)
 
 
 def signed_documents(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (128 bits that name the set; NULL for an empty one), sig."""
+    """doc_id, n_shingles, h1, h2 (the set's name; NULL for an empty one), sig."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,12 +126,11 @@ def signed_documents(docs: DataFrame, words: int, doc_id: str, text: str) -> Dat
             for t in batch.column(1).to_pylist():
                 own = shingles(t, words)
                 sizes.append(len(own))
-                names.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8") if len(own) else (None, None))
+                names.append(set_name(own) if len(own) else (None, None))
                 sigs.append(signature(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()),
-                 *(pa.array([None if n[k] is None else int(n[k]) for n in names], pa.int64()) for k in (0, 1)),
-                 pa.array(sigs, pa.binary())],
+                 *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)), pa.array(sigs, pa.binary())],
                 ["doc_id", "n_shingles", "h1", "h2", "sig"],
             )
 
@@ -115,173 +138,348 @@ def signed_documents(docs: DataFrame, words: int, doc_id: str, text: str) -> Dat
     return map_batches(src, sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
-def candidates(head: np.ndarray, ids: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with one head and like signatures: all pairs of a head are connected or unlike."""
-    chain = np.zeros(len(ids), dtype=np.int64)
-    out: list[tuple[np.ndarray, np.ndarray]] = [(ids[:0], ids[:0])]
-    for g in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
-        at = np.flatnonzero((head[:-g] == head[g:]) & ((chain[:-g] != chain[g:]) | (g == 1)))
-        same = _SAME_HALVES[halves[at] ^ halves[at + g]].sum(axis=1, dtype=np.int32)
-        at = at[same >= EQUAL_HALVES]
-        out.append((ids[at], ids[at + g]))
-        if g == 1:  # rows of one chain are connected already
-            broken = np.ones(len(ids), dtype=bool)
-            broken[at + 1] = False
-            chain = np.cumsum(broken)
-    edge = np.flatnonzero(np.diff(head)) + 1
-    for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)]):
-        if hi - lo > NEIGHBOURS + 1:
-            a, b = crowded(halves[lo:hi], chain[lo:hi])
-            out.append((ids[lo + a], ids[lo + b]))
-    return tuple(np.concatenate([x[k] for x in out]) for k in (0, 1))
-
-
-def crowded(halves: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect the like rows of one head, from the chains that connect some of them already.
-
-    A row is held against all that are not connected to it and were not held against others before,
-    one after another, until every row that was not is in the largest component.
-    """
-    words = np.ascontiguousarray(halves).view(np.uint64)
-    _, label = np.unique(label, return_inverse=True)
-    size, todo, out = np.bincount(label), np.ones(len(label), dtype=bool), []
-    while (left := todo & (label != size.argmax())).any():
-        i = int(left.argmax())
-        todo[i] = False
-        at = np.flatnonzero(todo & (label != label[i]))
-        x = words[at] ^ words[i]
-        x |= x >> np.uint64(1)
-        x |= x >> np.uint64(2)
-        unlike = np.bitwise_count(x & _ONES).sum(axis=1, dtype=np.int32)
-        for j in at[VALUES - unlike >= EQUAL_HALVES].tolist():
-            if label[j] != label[i]:
-                out.append((i, j))
-                size[label[i]] += size[label[j]]
-                size[label[j]], label[label == label[j]] = 0, label[i]
-    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def forest_edges(classes: DataFrame) -> DataFrame:
-    """Candidate edges (a, b) between class ids from all orders; groups of like signatures become chains."""
-
-    def to_orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# --- regions
+
+
+def _values(column: pa.Array, width: int = VALUES) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+
+
+def region_keys(sig: np.ndarray, depth: int, orders: int) -> np.ndarray:
+    """Of each row and order, a 64-bit key of the first ``depth`` values and the order's number."""
+    h = np.zeros((len(sig), orders), dtype=np.uint64)
+    for k in range(depth):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, _ORDERS[:orders, k]] + np.uint64(k + 1))
+    return ((h & ~_ORDER_BITS) | np.arange(orders, dtype=np.uint64)).view(np.int64)
+
+
+def companies(classes: DataFrame, depth: int, orders: int) -> DataFrame:
+    """(key, cid, rows) of every region of two rows or more at a depth; ``rows`` is the region's size."""
+
+    def to_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = region_keys(_values(batch.column(1)), depth, orders)
+            ids = np.repeat(batch.column(0).to_numpy(), orders)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "cid"])
+
+    keys = map_batches(classes.select("cid", "sig"), to_keys, "key long, cid long")
+    rows = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    return keys.join(rows, "key")
+
+
+def with_halves(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the set's size and the signature at four bits a value, for comparisons."""
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(n, VALUES)
-            keys = np.ascontiguousarray(sig[:, _ORDERS]).view(">u8").astype(np.uint64)  # n x TREES x 2
-            keys = (keys ^ np.uint64(1 << 63)).view(np.int64).reshape(n * TREES, 2)
-            halves = np.repeat((sig[:, 0::2] << 4) | (sig[:, 1::2] & 15), TREES, axis=0)
+            v = _values(batch.column(2)) & 15
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)),
-                    pa.array(keys[:, 0]),
-                    pa.array(keys[:, 1]),
-                    pa.array(np.repeat(batch.column(0).to_numpy(), TREES)),
-                    binary_rows(halves),
-                ],
-                ["tree", "k1", "k2", "id", "halves"],
+                [batch.column(0), batch.column(1), binary_rows((v[:, 0::2] << 4) | v[:, 1::2])], ["cid", "size", "halves"]
             )
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-            a, b = candidates(*(np.concatenate(x) for x in zip(*parts)))
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    own = map_batches(classes.select("cid", F.col("n").alias("size"), "sig"), halve, "cid long, size long, halves binary")
+    return rows.join(own.hint("merge"), "cid")
+
+
+def least_equal(percent: int) -> int:
+    """Half-bytes that the signatures of candidates must have in common."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return math.floor(VALUES * p - SPREADS * math.sqrt(VALUES * p * (1 - p)))
+
+
+def equal_halves(x: np.ndarray) -> np.ndarray:
+    """Equal half-bytes of two signatures from their exclusive or, along the last axis."""
+    x = x | (x >> np.uint64(1))
+    x |= x >> np.uint64(2)
+    return VALUES - np.bitwise_count(x & _ONES).sum(axis=-1, dtype=np.int32)
+
+
+class Alike:
+    """Whether rows (size, signature) can be linked: sizes exactly, signatures within SPREADS."""
+
+    def __init__(self, size: np.ndarray, words: np.ndarray, percent: int):
+        self.size, self.words, self.percent, self.least = size, words, percent, least_equal(percent)
+
+    def __call__(self, i, j) -> tuple[np.ndarray, np.ndarray]:
+        """(like, equal half-bytes) of rows i and j (one of them may be a single row)."""
+        same = equal_halves(self.words[i] ^ self.words[j])
+        low, high = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        return (same >= self.least) & (100 * low >= self.percent * high), same
+
+
+def first_edges(key: np.ndarray, ids: np.ndarray, alike: Alike) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by (key, id): edges (a, b) of each b to the first a < b that it is like, and the
+    keys of regions that hold like pairs besides."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.repeat(hi - lo <= _SMALL, hi - lo)
+    for g in range(1, _SMALL):
+        at = np.flatnonzero((key[:-g] == key[g:]) & small[:-g])
+        if not len(at):
+            break
+        at = at[alike(at, at + g)[0]]
+        a.append(at)
+        b.append(at + g)
+    order = np.lexsort((np.concatenate(a), np.concatenate(b)))
+    a, b = np.concatenate(a)[order], np.concatenate(b)[order]
+    new = np.ones(len(b), dtype=bool)
+    new[1:] = b[1:] != b[:-1]
+    first, second, left = [a[new]], [b[new]], [key[b[~new]]]
+    for start, end in zip(lo[hi - lo > _SMALL].tolist(), hi[hi - lo > _SMALL].tolist()):
+        for i in range(start + 1, end):
+            found = start + np.flatnonzero(alike(slice(start, i), i)[0])
+            first.append(found[:1])
+            second.append(np.full(len(found[:1]), i))
+            if len(found) > 1:
+                left.append(key[start : start + 1])
+    return ids[np.concatenate(first)], ids[np.concatenate(second)], np.unique(np.concatenate(left))
+
+
+def whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by their first column, cut so that no value of it is split.
+
+    The last column holds signatures; it comes as rows of unsigned 64-bit words.
+    """
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
+        columns.append(np.ascontiguousarray(_values(batch.columns[-1], VALUES // 2)).view(np.uint64))
+        key = columns[0]
+        if held and held[-1][0][-1] != key[0]:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+        changes = np.flatnonzero(key[1:] != key[:-1])
+        if len(changes):
+            cut = int(changes[-1]) + 1
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in columns])]
+            held, columns = [], [c[cut:] for c in columns]
+        held.append(columns)
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+_FOUND = "a long, b long, left long"
 
-        kept: list[list[np.ndarray]] = []  # rows of heads that may go on
+
+def _found(a: np.ndarray, b: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
+    """Edges, and keys of regions that hold more of them."""
+    none = [pa.nulls(n, pa.int64()) for n in (len(a), len(left))]
+    columns = [pa.concat_arrays([pa.array(x, pa.int64()), none[1]]) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([none[0], pa.array(left, pa.int64())])], ["a", "b", "left"])
+
+
+def edges_of_regions(company: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """First edges of the regions of up to REGION rows, and the keys of those with like pairs besides."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, size, words in whole_regions(batches):
+            yield _found(*first_edges(key, ids, Alike(size, words, percent)))
+
+    rows = with_halves(company.where(F.col("rows") <= REGION).select("key", "cid"), classes)
+    rows = rows.select("key", "cid", "size", "halves").repartition("key").sortWithinPartitions("key", "cid")
+    return map_batches(rows, compare, _FOUND, rows=8192)
+
+
+def edges_of_runs(company: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """First edges within runs of RUN rows of the regions beyond REGION, sorted on in RUN_ORDERS orders."""
+
+    def sort_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tree, k1, ids = (batch.column(i).to_numpy() for i in (0, 1, 3))
-            halves = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, VALUES // 2)
-            head = (tree.astype(np.int64) << 33) + (k1 >> 32)  # order and the first HEAD values
-            cut = int(np.searchsorted(head, head[-1]))  # heads ascend: the last one may go on
-            if cut or (kept and kept[-1][0][-1] != head[-1]):
-                yield links([*kept, [head[:cut], ids[:cut], halves[:cut]]])
-                kept = []
-            kept.append([head[cut:], ids[cut:], halves[cut:]])
-        if kept:
-            yield links(kept)
-
-    rows = map_batches(classes.select("id", "sig"), to_orders, "tree int, k1 long, k2 long, id long, halves binary")
+            key = batch.column(0).to_numpy()
+            order = _ORDERS[(key.view(np.uint64) & _ORDER_BITS).astype(np.int64)]
+            sig = np.take_along_axis(_values(batch.column(3)), order, axis=1)
+            v = _values(batch.column(3)) & 15
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), binary_rows(sig), binary_rows((v[:, 0::2] << 4) | v[:, 1::2])],
+                ["key", "cid", "size", "prefix", "halves"],
+            )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # slices of RUN rows
+            key, ids, size = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            words = np.ascontiguousarray(_values(batch.column(3), VALUES // 2)).view(np.uint64)
+            order = np.lexsort((ids, key))
+            a, b, _ = first_edges(key[order], ids[order], Alike(size[order], words[order], percent))
+            yield _found(a, b, key[:0])
+
+    order = F.col("key").bitwiseAND(F.lit(int(_ORDER_BITS)))
+    rows = company.where((F.col("rows") > REGION) & (order < RUN_ORDERS)).select("key", "cid")
+    rows = rows.join(classes.select("cid", F.col("n").alias("size"), "sig").hint("merge"), "cid").select("key", "cid", "size", "sig")
+    rows = map_batches(rows, sort_key, "key long, cid long, size long, prefix binary, halves binary")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # by heads, so that none is cut in two
-    ordered = rows.repartitionByRange(n, "tree", F.shiftright("k1", 32)).sortWithinPartitions("tree", "k1", "k2", "id")
-    return map_batches(ordered, neighbours, "a long, b long", rows=8192).distinct()
+    rows = rows.repartitionByRange(n, "key", "prefix", "cid").sortWithinPartitions("key", "prefix", "cid")
+    return map_batches(rows.select("key", "cid", "size", "halves"), compare, _FOUND, rows=RUN)
 
 
-def linked_in_block(ids: np.ndarray, sets: list[np.ndarray], percent: int, asked: np.ndarray | None = None):
-    """Edges that connect what belongs together in a block: exact, but not every pair inside a component.
+def mixed_regions(company: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cid, label, rows, strays, main) of the regions that hold several labels.
 
-    A class is compared with all others of the block, one after another, until every class not yet
-    compared is in the largest component; pairs inside that are connected already. With ``asked``,
-    only those classes are compared with all others.
+    ``main`` is the label of most of a region's rows, ``strays`` the number of the others.
     """
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(n), sizes)
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(dense, kind="stable")
-    post, many = owner[order], np.bincount(dense)
-    first = np.concatenate([[0], np.cumsum(many)])
-    label, done = np.arange(n), np.zeros(n, dtype=bool)
-    out_a, out_b = [], []
-    while True:
-        open_ = ~done
-        if asked is not None:
-            open_ &= asked
-        else:
-            open_ &= label != np.bincount(label).argmax()
-        if not open_.any():
-            break
-        i = int(np.flatnonzero(open_)[0])
-        done[i] = True
-        own = dense[start[i] : start[i + 1]]
-        lens = many[own]
-        at = np.repeat(first[own] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        common = np.bincount(post[at], minlength=n)
-        linked = np.flatnonzero(100 * common >= percent * (sizes[i] + sizes - common))
-        other = np.unique(label[linked])
-        if len(other) > 1:
-            for k in other[other != label[i]]:
-                out_a.append(ids[i])
-                out_b.append(ids[linked[label[linked] == k][0]])
-            label[np.isin(label, other)] = other[0]
-    return out_a, out_b
-
-
-def confirmed_links(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) on full sets between the members (region, block, id, h1, h2, asked) of each block."""
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, asked = None, [], [], []
-
-        def close() -> pa.RecordBatch:
-            some = np.array(asked)
-            a, b = linked_in_block(np.array(ids), sets, percent, some if some.any() else None)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    named = company.select("key", "cid").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
+    named = named.select("key", "cid", F.coalesce("label", "cid").alias("label"))
+    per_label = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+    per = per_label.groupBy("key").agg(
+        F.sum("c").alias("rows"), (F.sum("c") - F.max("c")).alias("strays"), F.max_by("label", F.struct("c", "label")).alias("main")
+    )
+    return named.join(per.where("strays > 0"), "key")
+
+
+def crowded() -> Column:
+    """Regions of ``mixed_regions`` that are not compared at their depth."""
+    return (F.col("rows") > REGION) & (F.col("strays") > REGION)
 
+
+def cells(mixed: DataFrame, last: bool) -> DataFrame:
+    """(cell, cid, label, asked): what is compared in one task, ``asked`` rows with all of a cell.
+
+    A region of up to REGION rows is one cell. In a larger one with fewer strays, the rows of the main
+    label are dealt into cells and each stray asks in all of them. Others are left to the next level;
+    at the last one each pair of their blocks is a cell.
+    """
+    blocks = F.ceil(F.col("rows") / REGION).cast("int")
+    own = F.pmod(F.xxhash64("cid", F.lit(3)), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    stray = F.col("label") != F.col("main")
+    to = F.when(F.col("rows") <= REGION, F.array(F.lit(0))).when(~crowded(), F.when(stray, every).otherwise(F.array(own)))
+    if last:
+        pairs = F.transform(every, lambda j: (F.least(own, j) * blocks + F.greatest(own, j)).cast("int"))
+        to = to.otherwise(pairs)
+    rows = mixed if last else mixed.where(~crowded())
+    asked = (F.col("rows") <= REGION) | stray | crowded()
+    cell = F.when(F.col("rows") <= REGION, F.col("key")).otherwise(F.xxhash64("key", "block"))
+    rows = rows.select("key", "cid", "label", "rows", asked.alias("asked"), F.explode(to).alias("block"))
+    return rows.select(cell.alias("cell"), "cid", "label", "asked")
+
+
+def pairs_of_cell(ids: np.ndarray, label: np.ndarray, asked: np.ndarray, alike: Alike, most: int) -> tuple[list, list, bool]:
+    """Like pairs of an asked row with rows of other labels, the ``most`` most alike of each; whether there are more."""
+    out_a, out_b, more = [], [], False
+    at = np.arange(len(ids))
+    for i in np.flatnonzero(asked).tolist():
+        others = at[(label != label[i]) & (~asked | (at < i))]
+        like, same = alike(others, i)
+        found = others[like]
+        if len(found) > most:
+            more = True
+            found = found[np.argsort(-same[like], kind="stable")[:most]]
+        out_a.append(np.minimum(ids[found], ids[i]))
+        out_b.append(np.maximum(ids[found], ids[i]))
+    return out_a, out_b, more
+
+
+def pairs_of_cells(cells: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
+    """Like pairs between labels of each cell, and the cells that hold more."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, label, asked, size, words in whole_regions(batches):
+            edge = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            a, b, left = [key[:0]], [key[:0]], []
+            for lo, hi in zip(edge, edge[1:]):
+                own = slice(lo, hi)
+                found = pairs_of_cell(ids[own], label[own], asked[own], Alike(size[own], words[own], percent), most)
+                a += found[0]
+                b += found[1]
+                if found[2]:
+                    left.append(int(key[lo]))
+            yield _found(np.concatenate(a), np.concatenate(b), np.array(left, dtype=np.int64))
+
+    rows = with_halves(cells, classes).select("cell", "cid", "label", "asked", "size", "halves")
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "cid")
+    return map_batches(rows, compare, _FOUND, rows=8192)
+
+
+# --- confirmation on full sets
+
+
+def full_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(cid, own): the whole sets of ``members`` (cid, id, h1, h2), from the texts of ``docs`` (doc_id, text).
+
+    Texts are shuffled to their members; a filter of FILTER_BITS bits, whose size does not grow with
+    the input, keeps most other texts where they are.
+    """
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for region, block, i, h1, h2, ask, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (region, block):
-                    if len(ids) > 1:
-                        yield close()
-                    key, ids, sets, asked = (region, block), [], [], []
-                own = shingles(text, words)
-                if tuple(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8")) != (h1, h2) or ids[-1:] == [i]:
-                    continue  # another row of the same doc_id
-                ids.append(i)
-                sets.append(own)
-                asked.append(ask)
-        if len(ids) > 1:
-            yield close()
+            cids, sets = [], []
+            for cid, h1, h2, t in zip(*(c.to_pylist() for c in batch.columns)):
+                own = shingles(t, words)
+                if set_name(own) == (h1, h2):  # else another row of the same doc_id
+                    cids.append(cid)
+                    sets.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "own"])
+
+    def placed(df: DataFrame, id: str) -> DataFrame:
+        at = df.withColumn("_h", F.pmod(F.xxhash64(id), F.lit(FILTER_BITS)))
+        return at.withColumn("_w", F.shiftright("_h", 6)).withColumn("_bit", F.expr("shiftleft(1L, cast(_h & 63 as int))"))
 
+    bits = placed(members, "id").groupBy("_w").agg(F.bit_or("_bit").alias("_bits"))  # FILTER_BITS / 64 rows at most
+    some = placed(docs, "doc_id").join(F.broadcast(bits), "_w").where("_bits & _bit <> 0").select("doc_id", "text")
     # by shuffle at every size: what is moved then grows with the texts, and only members are held in memory
-    texts = docs.join(members.hint("shuffle_hash"), members["id"] == docs["doc_id"])
-    texts = texts.select("region", "block", "id", "h1", "h2", "asked", "text").repartition("region", "block")
-    return map_batches(texts.sortWithinPartitions("region", "block", "id"), link, "a long, b long", rows=256)
+    texts = some.join(members.hint("shuffle_hash"), members["id"] == some["doc_id"]).select("cid", "h1", "h2", "text")
+    return map_batches(texts, to_sets, "cid long, own binary").dropDuplicates(["cid"])
+
+
+def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The edges (a, b) whose full sets have ``percent`` of their union in common. Two sets meet at a time."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                fine.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    ends = edges.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    members = stored(ends.join(classes.select("cid", "id", "h1", "h2"), "cid"), "members")
+    sets = stored(full_sets(docs, members, words), "sets")
+    x, y = (sets.select(F.col("cid").alias(end), F.col("own").alias(f"own_{end}")).hint("merge") for end in ("a", "b"))
+    both = edges.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b")
+    return map_batches(both, check, "a long, b long", rows=64)
+
+
+def linked_labels(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, label) for every class that is linked with another; label is the smallest cid of its component."""
+    depth, orders = LEVELS[0]
+    company = stored(companies(classes, depth, orders), "company")
+    found = edges_of_regions(company, classes, percent)
+    if not company.where(F.col("rows") > REGION).isEmpty():
+        found = found.unionByName(edges_of_runs(company, classes, percent))
+    found = stored(found, "first")
+    tried = stored(found.where("a is not null").select("a", "b").distinct(), "edges")
+    labels = components(confirmed(tried, classes, docs, words, percent))
+    again = found.where("left is not null").select(F.col("left").alias("key")).distinct()
+    left = company.join(again, "key", "left_semi").unionByName(company.where(F.col("rows") > REGION))
+    for k, (depth, orders) in enumerate(LEVELS):
+        last = k == len(LEVELS) - 1
+        most = FIRST_TRIED
+        while True:
+            mixed = stored(mixed_regions(left, labels), "mixed")
+            if mixed.isEmpty():
+                return labels
+            found = stored(pairs_of_cells(cells(mixed, last), classes, percent, most), "pairs")
+            new = found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+            new = stored(new, "edges")
+            if not new.isEmpty():
+                links = stored(confirmed(new, classes, docs, words, percent), "links")
+                tried = tried.unionByName(new)
+                if not links.isEmpty():
+                    stars = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+                    labels = components(links.unionByName(stars))
+            if found.where("left is not null").isEmpty():
+                break
+            most *= MORE_TRIED
+        crowd = mixed.where(crowded()).select("cid").distinct()
+        if last or crowd.isEmpty():
+            return labels
+        # also rows in other labels' regions go on: a crowded region goes on whole
+        left = stored(companies(classes.join(crowd, "cid", "left_semi"), *LEVELS[k + 1]), "company")
+    return labels
 
 
 def near_duplicates(
@@ -289,11 +487,13 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept, for every row.
 
-    Two documents are linked if their shingle sets have at least ``percent`` per cent of their union
-    in common. A NULL or wordless text has an empty set and is linked with nothing. Repeated rows
-    come back as often as they are there. Rows with a NULL id are linked with nothing: their
-    component_id is NULL and they are kept. An empty table gives no rows. Only doc_id (an integer)
-    and text are read, so other columns cannot clash.
+    Two rows are linked if their shingle sets have at least ``percent`` per cent of their union in
+    common; the orders are made for 80 or more. A NULL or wordless text has an empty set and is
+    linked with nothing. Repeated rows come back as often as they are there; rows of one doc_id with
+    different texts are rows of their own, each in the component of its text. Rows with a NULL id are
+    linked with nothing: their component_id is NULL and they are kept. Ties do not arise: links do not
+    depend on an order. Very long texts are read whole, as one set in memory (two in a comparison). An
+    empty table gives no rows. Only doc_id (an integer) and text are read, so other columns cannot clash.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signed_documents(src, words, "doc_id", "text"), "signed")
@@ -301,41 +501,11 @@ def near_duplicates(
     classes = usable.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.min("sig").alias("sig")
     )
-    classes = stored(classes, "classes")
-    # two rows of one doc_id with different texts: the id stands for the first class, the rest stay apart
-    regions = components(stored(forest_edges(classes), "candidates")).withColumnRenamed("label", "region")
-    members = classes.select("id", "n", "h1", "h2").join(regions, "id")
-    weight = members.groupBy("region").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    blocks = F.when(
-        (F.col("c") > BLOCK_CLASSES) | (F.col("w") > BLOCK_SHINGLES),
-        F.ceil(F.greatest(2 * F.col("c") / BLOCK_CLASSES, 2 * F.col("w") / BLOCK_SHINGLES)),
-    ).otherwise(1)
-    members = stored(members.join(weight.select("region", blocks.cast("int").alias("blocks")), "region"), "members")
-    deals = F.when(F.col("blocks") > 1, F.array(*map(F.lit, range(DEALS)))).otherwise(F.array(F.lit(0)))
-    dealt = members.withColumn("deal", F.explode(deals)).withColumn(
-        "block", F.col("deal") * F.col("blocks") + F.pmod(F.xxhash64("id", "deal"), F.col("blocks")).cast("int")
-    )
-    links = stored(confirmed_links(dealt.withColumn("asked", F.lit(False)), src, words, percent), "links")
-    if members.where("blocks > 1").limit(1).count():
-        links = links.unionByName(apart_links(members.where("blocks > 1"), links, src, words, percent))
-    labels = components(links)
-    named = usable.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("h1", "h2", "id"), ["h1", "h2"])
-    component = F.coalesce("label", "id").alias("component_id")
-    full = named.join(labels, "id", "left").select("doc_id", "n_shingles", component)
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    labels = linked_labels(classes, src, words, percent)
+    named = classes.select("cid", "h1", "h2", "id").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
+    least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
+    component = named.join(least, "label", "left").select("h1", "h2", F.coalesce("least", "id").alias("component_id"))
+    full = usable.join(component, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     rest = signed.where("h1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def apart_links(members: DataFrame, links: DataFrame, src: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links of what the deals left outside the largest component of a large region, with all blocks of it."""
-    label = F.coalesce("label", "id").alias("label")
-    now = stored(members.join(components(links), "id", "left").select(*members.columns, label), "labelled")
-    sizes = now.groupBy("region", "label").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("region").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    apart = now.join(main, "region").where("label <> main").drop("main", "label")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asked = apart.withColumn("block", every).withColumn("asked", F.lit(True))
-    own = F.pmod(F.xxhash64("id", F.lit(0)), F.col("blocks")).cast("int")
-    there = now.drop("label").withColumn("block", own).withColumn("asked", F.lit(False))
-    there = there.join(apart.select("id"), "id", "left_anti")  # they are there as asked
-    return stored(confirmed_links(asked.unionByName(there), src, words, percent), "apart")

@@ -319,53 +319,100 @@ def test_near_duplicates_against_brute_force(spark, words):
     assert all(o.kept == (o.doc_id == o.component_id) for o in out)
 
 
-def test_large_regions_are_dealt_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 6)
-    rows = copies(11, groups=3, size=40) + [(1000 + i, t) for i, (_, t) in enumerate(copies(12))]
+def crowd(seed, n, pairs, length=120):
+    """Texts of which any two are 0.6 alike (each place holds one of two words), and ``pairs`` copies at just 0.8."""
+    r = np.random.default_rng(seed)
+    own = np.where(r.random((n, length)) < (1 + 0.5**0.5) / 2, "a", "b")  # two agree at 3 places of 4
+    rows = [(i, [f"{k}{x}" for k, x in enumerate(v)]) for i, v in enumerate(own.tolist())]
+    for k in range(pairs):
+        words = list(rows[k][1])
+        for at in r.permutation(length)[: length * 11 // 100].tolist():
+            words[at] = f"new{k}x{at}"
+        rows.append((n + k, words))
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_crowded_regions_part_by_depth(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 32)  # most orders of the first level hold larger regions
+    rows = crowd(3, 260, 40)
+    want = brute_components(rows, 1)
+    assert len({c for _, c in want.values()}) > 200  # not one region of linked texts
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    got = {o.doc_id: (o.n_shingles, o.component_id) for o in out}
+    assert sum(got[k] == want[k] for k in want) / len(want) >= 0.99
+    assert all(got[k][1] == got[260 + k][1] for k in range(40))
+
+
+def test_large_regions_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 6)  # also those with strays, and pairs of blocks at the last level
+    monkeypatch.setattr(neardup, "RUN", 4)
+    monkeypatch.setattr(neardup, "LEVELS", ((4, 32), (6, 64)))
+    monkeypatch.setattr(neardup, "FIRST_TRIED", 2)
+    rows = copies(11, groups=2, size=40) + [(1000 + i, t) for i, (_, t) in enumerate(copies(12))]
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
     assert {o.doc_id: (o.n_shingles, o.component_id) for o in out} == brute_components(rows, 2)
 
 
-def test_forest_finds_pairs_in_a_crowd(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "TREES", 8)  # only the orders whose heads are crowded
-    monkeypatch.setattr(neardup, "_ORDERS", neardup._ORDERS[:8])
-    r, n, pairs, fixed = np.random.default_rng(3), 1500, 300, 32
-    sig = 17 * r.integers(0, 4, (n, neardup.VALUES))  # any two rows: 0.44 alike, and one head in 8 orders
-    sig[:, :fixed] = 1
-    for k in range(pairs):  # rows k and pairs + k: 0.8
-        other = fixed + r.permutation(neardup.VALUES - fixed)[:26]
-        sig[pairs + k] = sig[k]
-        sig[pairs + k, other] = (sig[k, other] + 17 * r.integers(1, 4, 26)) % 68
-    rows = [(i, bytearray(v.tobytes())) for i, v in enumerate(sig.astype(np.uint8))]
-    label = list(range(n))
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for e in neardup.forest_edges(spark.createDataFrame(rows, "id long, sig binary")).collect():
-        label[root(e.a)] = root(e.b)
-    assert sum(root(k) != root(pairs + k) for k in range(pairs)) == 0
-    assert len({root(i) for i in range(n)}) > n // 2  # not just one region of all
-
-
-def test_crowded_heads_are_covered():
-    r = np.random.default_rng(4)
-    for seed in range(20):
-        base = r.integers(0, 256, (5, neardup.VALUES // 2))
-        halves = base[r.integers(0, 5, 60)].copy()
-        for row in halves:
-            row[r.permutation(neardup.VALUES // 2)[: r.integers(0, 24)]] = r.integers(0, 256)
-        halves = halves.astype(np.uint8)
-        a, b = neardup.crowded(halves, np.arange(60))
-        same = neardup._SAME_HALVES[halves[:, None] ^ halves[None]].sum(axis=2) >= neardup.EQUAL_HALVES
-        assert all(same[i, j] for i, j in zip(a, b))
-        reach, made = np.eye(60, dtype=bool) | same, np.eye(60, dtype=bool)
-        made[a, b] = made[b, a] = True
-        for _ in range(6):
-            reach, made = reach @ reach, made @ made
-        assert (reach == made).all()
+def signed_rows(seed, n):
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 256, (4, neardup.VALUES // 2))
+    halves = base[r.integers(0, 4, n)].copy()
+    for row in halves:
+        row[r.permutation(neardup.VALUES // 2)[: r.integers(0, 40)]] = r.integers(0, 256)
+    size = r.integers(80, 110, n)
+    return size, np.ascontiguousarray(halves.astype(np.uint8)).view(np.uint64)
+
+
+def alike_pairs(size, words):
+    halves = words.view(np.uint8)
+    for i in range(len(size)):
+        for j in range(i):
+            x = halves[i] ^ halves[j]
+            same = int((x >> 4 == 0).sum() + (x & 15 == 0).sum())
+            if same >= neardup.least_equal(80) and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j]):
+                yield j, i
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_regions_give_every_row_its_first_edge(seed):
+    r = np.random.default_rng(seed)
+    size, words = signed_rows(seed, 60)
+    key = np.sort(r.choice([3, 5, 5, 5, 9, 11], 60))  # regions of few and of many rows
+    a, b, left = neardup.first_edges(key, np.arange(60), neardup.Alike(size, words, 80))
+    pairs = [(i, j) for i, j in alike_pairs(size, words) if key[i] == key[j]]
+    first = {j: min(i for i, k in pairs if k == j) for _, j in pairs}
+    assert dict(zip(b.tolist(), a.tolist())) == first and len(b) == len(first)
+    assert set(left.tolist()) == {int(key[j]) for i, j in pairs if first[j] != i}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_cells_give_all_pairs_between_labels(seed):
+    r = np.random.default_rng(seed)
+    size, words = signed_rows(seed, 50)
+    label, asked, ids = r.integers(0, 6, 50), r.random(50) < 0.6, r.permutation(1000)[:50]
+    want = {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in alike_pairs(size, words) if label[i] != label[j] and (asked[i] or asked[j])}
+    a, b, more = neardup.pairs_of_cell(ids, label, asked, neardup.Alike(size, words, 80), 1000)
+    got = list(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist()))
+    assert set(got) == want and len(got) == len(want) and not more
+    a, b, more = neardup.pairs_of_cell(ids, label, asked, neardup.Alike(size, words, 80), 1)
+    assert more and set(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist())) <= want
+
+
+def test_signatures_estimate_likeness():
+    r, same = np.random.default_rng(8), []
+    for _ in range(200):
+        both, a, b = (r.integers(0, 1 << 64, k, dtype=np.uint64) for k in (160, 20, 20))
+        x, y = (neardup.signature(np.unique(np.concatenate([both, own]))) for own in (a, b))
+        same.append(int(((x ^ y) & 15 == 0).sum()))
+    assert abs(np.mean(same) / neardup.VALUES - (0.8 + 0.2 / 16)) < 0.01 and min(same) >= neardup.least_equal(80)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    base = [f"w{k}" for k in range(100)]
+    other = [f"v{k}" for k in range(100)]
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (7, " ".join([*base[:-1], "x"])), (8, " ".join([*other[:-1], "y"])), (2, "alone")]
+    out = sorted((o.doc_id, o.component_id) for o in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(2, 2), (5, 5), (5, 5), (7, 5), (8, 5)]
 
 
 def test_near_duplicates_awkward(spark):
@@ -381,21 +428,6 @@ def test_near_duplicates_awkward(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
-def test_block_links_find_every_component():
-    r = np.random.default_rng(4)
-    for _ in range(20):
-        sets = [np.unique(r.integers(0, 60, r.integers(1, 30))).astype(np.uint64) for _ in range(25)]
-        ids = np.arange(25)
-        a, b = neardup.linked_in_block(ids, sets, 50)
-        def label(pairs):
-            own = list(range(25))
-            for i, j in pairs:
-                own = [own[j] if x == own[i] else x for x in own]
-            return {frozenset(k for k in range(25) if own[k] == x) for x in own}
-        all_pairs = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 50 * len(np.union1d(sets[i], sets[j]))]
-        assert label(zip(a, b)) == label(all_pairs)
-
-
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200), (300, 299)]
     out = {r.id: r.label for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
