@@ -1,8 +1,11 @@
 """Hierarchical language identification.
 
-First the language family, then one-versus-one linear support vector machines between the languages
-of that family. Features are hashed character n-grams of the whole text, case-folded over ASCII,
-with all ASCII non-letters read as spaces.
+First the language family: that whose languages explain the text's n-grams best. Then one-versus-one
+linear support vector machines between the languages of that family. Features are hashed character
+n-grams of the whole text, case-folded over ASCII, with all ASCII non-letters read as spaces.
+
+The machines of a family are fitted in one task, families side by side, so the cost grows with the
+number of families and not with its square; a fitted language takes 64 kB.
 """
 
 from __future__ import annotations
@@ -17,16 +20,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyglass.llm.common import fold, map_batches
 
 UNKNOWN = "und"
 BITS = 13
-#: The classifier is fitted on at most this many labelled rows of each of at most this many languages.
-TRAIN_PER_LANG, MOST_LANGS = 300, 64
+#: The classifier is fitted on at most this many labelled rows of each language; there is no limit on languages.
+TRAIN_PER_LANG = 300
 #: A text is in none of the learned languages if its language explains it worse than the median training row by more
 #: than FLOOR_SPREADS times what that row is ahead of the FLOOR_QUANTILE; not judged with fewer rows than FLOOR_ROWS.
 FLOOR_QUANTILE, FLOOR_SPREADS, FLOOR_ROWS, UNSEEN = 0.02, 3.0, 20, 1e-6
+#: Scale of the family's lead, in mean log share of an n-gram, in its probability.
+FAMILY_SCALE = 10.0
 #: Families of common languages; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nl", "no", "sv"),
@@ -42,6 +48,8 @@ _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _LETTER = re.compile(r"[^\W\d_]")
+#: The same for Spark: rows without a letter teach nothing.
+LETTER = r"\p{L}"
 
 
 def has_letter(text: str | None) -> bool:
@@ -81,13 +89,29 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12
 
 @dataclass
 class Hierarchy:
-    """Fitted machines: between families, and between the languages of each family."""
+    """Log n-gram shares of each language, and the machines between the languages of each family."""
 
     families: dict[str, list[str]]
     between: dict[tuple[str, str], np.ndarray]
-    #: Of each language with enough rows: log shares of the n-grams, and the least mean of them that a text needs.
+    #: Of each language: log shares of the n-grams, and the least mean of them that a text needs.
     profiles: dict[str, tuple[np.ndarray, float]] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self._langs = sorted(self.profiles)
+        self._shares = np.stack([self.profiles[k][0] for k in self._langs]) if self._langs else None
+        self._family = {lang: family for family, own in self.families.items() for lang in own}
+
+    def _family_of(self, x: np.ndarray) -> tuple[str, float]:
+        """The family with the language that explains ``x`` best, and the probability from its lead."""
+        explained = (self._shares * (x / x.sum())).sum(axis=1)
+        best: dict[str, float] = {}
+        for lang, e in zip(self._langs, explained.tolist()):
+            family = self._family[lang]
+            best[family] = max(e, best.get(family, e))
+        first = max(best, key=lambda f: (best[f], f))
+        lead = best[first] - max((e for f, e in best.items() if f != first), default=-np.inf)
+        return first, float(1 / (1 + np.exp(-min(FAMILY_SCALE * lead, 35.0))))
+
     def _choose(self, names: list[str], x: np.ndarray) -> tuple[str, float]:
         """The name with the most one-versus-one wins (margins break ties) and its weakest probability."""
         if len(names) == 1:
@@ -112,78 +136,87 @@ class Hierarchy:
         if not self.families or not has_letter(text):
             return UNKNOWN, 0.0, False
         x = features(text)
-        family, p = self._choose(sorted(self.families), x)
+        if not x.any():  # a single letter that is no n-gram, such as a wide digit
+            return UNKNOWN, 0.0, False
+        family, p = self._family_of(x)
         lang, q = self._choose(self.families[family], x)
-        shares, floor = self.profiles.get(lang, (x, -np.inf))
+        shares, floor = self.profiles[lang]
         return lang, p * q, bool((x * shares).sum() >= floor * x.sum())
 
 
 def profile(x: np.ndarray) -> tuple[np.ndarray, float]:
     """Log n-gram shares of a language's rows, and the floor: each half of the rows is explained by the other."""
     shares = x / x.sum(axis=1, keepdims=True)
+    own = np.log(shares.mean(axis=0) + UNSEEN)
+    if len(x) < FLOOR_ROWS:
+        return own, -np.inf
     halves = shares[0::2], shares[1::2]
-    means = np.concatenate([a @ np.log(b.mean(axis=0) + UNSEEN) for a, b in (halves, halves[::-1])])
+    means = np.concatenate([(a * np.log(b.mean(axis=0) + UNSEEN)).sum(axis=1) for a, b in (halves, halves[::-1])])
     middle = float(np.median(means))
-    floor = middle - FLOOR_SPREADS * (middle - float(np.quantile(means, FLOOR_QUANTILE)))
-    return np.log(shares.mean(axis=0) + UNSEEN), floor
-
-
-def train(samples: list[tuple[str, np.ndarray]]) -> Hierarchy:
-    """A hierarchy from (language, features) pairs."""
-    families: dict[str, list[str]] = {}
-    for lang in sorted({lang for lang, _ in samples}):
-        families.setdefault("family:" + FAMILY_OF.get(lang, lang), []).append(lang)
-    if not samples:
-        return Hierarchy({}, {})
-    x = np.stack([v for _, v in samples])
-    langs = np.array([lang for lang, _ in samples])
-    of = np.array(["family:" + FAMILY_OF.get(lang, lang) for lang in langs])
+    return own, middle - FLOOR_SPREADS * (middle - float(np.quantile(means, FLOOR_QUANTILE)))
+
+
+def train_family(langs: np.ndarray, x: np.ndarray) -> tuple[dict[str, tuple[np.ndarray, float]], dict[tuple[str, str], np.ndarray]]:
+    """Profiles of the languages of one family and the machines between them."""
+    names = sorted(set(langs.tolist()))
     between = {}
-    for labels, names in [(of, sorted(families)), *((langs, own) for own in families.values())]:
-        for a, b in combinations(names, 2):
-            at = (labels == a) | (labels == b)
-            between[a, b] = train_svm(x[at], np.where(labels[at] == a, 1.0, -1.0))
-    own_rows = {lang: x[langs == lang] for lang in np.unique(langs).tolist()}
-    return Hierarchy(families, between, {lang: profile(v) for lang, v in own_rows.items() if len(v) >= FLOOR_ROWS})
+    for a, b in combinations(names, 2):
+        at = (langs == a) | (langs == b)
+        between[a, b] = train_svm(x[at], np.where(langs[at] == a, 1.0, -1.0))
+    return {lang: profile(x[langs == lang]) for lang in names}, between
 
 
 def fit(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Hierarchy:
-    """Learn from a bounded sample of the rows where ``usable`` holds and lang is not NULL.
+    """Learn every language of the rows where ``usable`` holds and lang is not NULL.
 
-    Rows are chosen by a hash of the id, as many of each language; features are computed where the
-    rows are, so no text moves, and at most TRAIN_PER_LANG x MOST_LANGS feature vectors reach the driver.
+    Of each language the TRAIN_PER_LANG rows of the smallest hashes of id and text are taken, or all
+    it has. Features are computed where the rows are; those of a family meet in one task. To the
+    driver go the fitted languages and pairs, whose number depends on the languages alone.
     """
-    known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.xxhash64(doc_id, F.lit(11)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")
+    hashed = F.xxhash64(F.col(doc_id), F.col(text), F.lit(11))
+    known = docs.where(usable & F.col(lang).isNotNull() & F.col(text).rlike(LETTER)).select(
+        hashed.alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
-    if not counts:
-        return Hierarchy({}, {})
     scale = 1 << 30
-    part = F.create_map(
-        *[F.lit(v) for r in counts for v in (r["lang"], min(scale, -(-scale * TRAIN_PER_LANG // r["n"])))]
-    )
-    chosen = known.where(F.pmod("h", F.lit(scale)) < part[F.col("lang")])
+    # half as many again as are wanted, so that a language is not short of rows by chance
+    part = F.ceil(F.lit(1.5 * scale * TRAIN_PER_LANG) / F.col("rows"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    chosen = known.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(scale)) < part)  # a row a language
 
     def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [(h, g, features(t)) for h, g, t in zip(*map(pa.Array.to_pylist, batch.columns)) if has_letter(t)]
+            keep = [(h, g, features(t)) for h, g, t in zip(*map(pa.Array.to_pylist, batch.columns))]
+            keep = [k for k in keep if k[2].any()]
             at = [np.flatnonzero(v).astype("<u2") for _, _, v in keep]
-            cols = ([k[0] for k in keep], [k[1] for k in keep], [i.tobytes() for i in at],
-                    [k[2][i].astype("<f4").tobytes() for k, i in zip(keep, at)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary(), pa.binary()))],
-                ["h", "lang", "at", "value"],
-            )
-
-    sampled = map_batches(chosen, to_features, "h long, lang string, at binary, value binary")
-    rows = sampled.orderBy("h", "lang", "at", "value").limit(TRAIN_PER_LANG * len(counts)).collect()  # bounded
-    samples = []
-    for r in rows:
-        v = np.zeros(1 << BITS, dtype=np.float32)
-        v[np.frombuffer(r["at"], dtype="<u2")] = np.frombuffer(r["value"], dtype="<f4")
-        samples.append((r["lang"], v))
-    return train(samples)
+            cols = ([k[0] for k in keep], [k[1] for k in keep], [FAMILY_OF.get(k[1], k[1]) for k in keep],
+                    [i.tobytes() for i in at], [k[2][i].astype("<f4").tobytes() for k, i in zip(keep, at)])
+            types = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h", "lang", "family", "at", "value"])
+
+    sampled = map_batches(chosen.select("h", "lang", "text"), to_features, "h long, lang string, family string, at binary, value binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(scale)), "h", "at", "value"))
+    sampled = sampled.withColumn("place", place).where(F.col("place") <= TRAIN_PER_LANG)
+
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["h", "lang", "at", "value"])
+        x = np.zeros((len(rows), 1 << BITS), dtype=np.float32)
+        for own, at, value in zip(x, rows["at"], rows["value"]):
+            own[np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
+        profiles, between = train_family(rows["lang"].to_numpy(), x)
+        out = [(rows["family"].iloc[0], lang, None, floor, shares.astype("<f8").tobytes()) for lang, (shares, floor) in profiles.items()]
+        out += [(rows["family"].iloc[0], a, b, 0.0, w.astype("<f4").tobytes()) for (a, b), w in between.items()]
+        return pd.DataFrame(out, columns=["family", "a", "b", "floor", "weights"])
+
+    made = sampled.select("h", "lang", "family", "at", "value").groupBy("family")
+    fitted = made.applyInPandas(train, "family string, a string, b string, floor double, weights binary")
+    model = Hierarchy({}, {})
+    for r in sorted(fitted.collect(), key=lambda r: (r["a"], r["b"] or "")):  # languages and pairs
+        if r["b"] is None:
+            model.families.setdefault(r["family"], []).append(r["a"])
+            model.profiles[r["a"]] = (np.frombuffer(r["weights"], "<f8"), r["floor"])
+        else:
+            model.between[r["a"], r["b"]] = np.frombuffer(r["weights"], "<f4")
+    return Hierarchy(model.families, model.between, model.profiles)
 
 
 def identify(docs: DataFrame, model: Hierarchy, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

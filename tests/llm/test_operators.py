@@ -159,6 +159,62 @@ def test_language_id_awkward(spark):
     assert model.predict("12 34 %%") == ("und", 0.0)
 
 
+def test_language_id_learns_every_language(spark):
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    langs = ["en", "de", "nl", "fr", "es", "it", *(f"x{k:02}" for k in range(74))]
+    words = {g: ["".join(r.choices(letters, k=r.randint(3, 8))) for _ in range(60)] for g in langs}
+    rows = [(i, " ".join(r.choices(words[g], k=40)), g) for i, g in enumerate(langs * 25)]
+    rows += [(len(rows) + i, "common words of one language here", "en") for i in range(700)]  # one language far ahead
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert {o.lang_pred for o in out} == {o.lang for o in out} and len({o.lang for o in out}) >= 78
+    assert sum(o.lang == o.lang_pred for o in out) / len(out) > 0.98
+
+
+def brute_grams(text):
+    """The features of a text from their definition: counts of hashed n-grams of its bytes, of unit length."""
+    kept = "".join(c.lower() if "A" <= c <= "Z" else c if "a" <= c <= "z" or c > "\x7f" else " " for c in text).encode()
+    raw, out = b" " + b" ".join(kept.split()) + b" ", np.zeros(1 << langid.BITS)
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            h = raw[i]
+            for k in range(1, n):
+                h = (h * 0x9E3779B1 + raw[i + k] * 0x85EBCA77 + k + 1) % 2**32
+            out[h >> 32 - langid.BITS] += 1
+    return out / np.sqrt((out * out).sum())
+
+
+def test_language_id_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, F.lit(True))
+    assert {f: sorted(own) for f, own in model.families.items()} == {"germanic": ["de", "en"], "romance": ["es", "fr"]}
+    rows = [r.text for r in docs.limit(120).collect() if langid.has_letter(r.text)]
+    for t in rows:
+        x = brute_grams(t)
+        assert np.allclose(x, langid.features(t), atol=1e-5)
+        share = {g: float((x / x.sum() * model.profiles[g][0]).sum()) for g in model.profiles}
+        family = "germanic" if max(share["de"], share["en"]) > max(share["es"], share["fr"]) else "romance"
+        a, b = model.families[family]
+        w = model.between[a, b]
+        assert model.predict(t)[0] == (a if float((w[:-1] * x).sum() + w[-1]) >= 0 else b)
+
+
+def test_svm_reaches_the_optimum():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(120, 6)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.3 * r.normal(size=120) > 0, 1.0, -1.0)
+    w, cost = langid.train_svm(x, y, cost=1.0, rounds=200), 1.0
+    one = np.hstack([x, np.ones((120, 1))])
+
+    def primal(v):
+        return 0.5 * (v * v).sum() + cost * np.maximum(0, 1 - y * (one * v).sum(axis=1)).sum()
+
+    least = primal(w)
+    for _ in range(2000):  # no direction, however short the step, does better
+        assert primal(w + r.normal(size=7) * 10 ** r.uniform(-5, 0)) >= least * (1 - 1e-4)
+
+
 def test_svm_separates():
     r = np.random.default_rng(0)
     x = r.normal(size=(200, 8)).astype(np.float32)
@@ -466,6 +522,30 @@ def test_slot_maps(spark, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 2).shards == second.shards
 
 
+def test_stored_slot_map_is_edited_as_documents_grow(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    path, before = str(tmp_path / "map"), None
+    for version, share in ((2, 90), (3, 95), (4, 100)):
+        now = docs.where(F.col("doc_id") % 100 < share)
+        out = {o.doc_id: o for o in sharding.shard_documents(now, path, slack=0.02).collect()}
+        assert {o.map_version for o in out.values()} == {version}
+        load = {}
+        for o in out.values():
+            load[o.shard] = load.get(o.shard, 0) + o.size
+        assert max(load.values()) - min(load.values()) <= 0.021 * sum(load.values()) / 16
+        m = sharding.SlotMap.load(spark, path)
+        assert m.version == version and all(m.shards[o.virtual_slot] == o.shard for o in out.values())
+        if before:
+            assert sum(a != b for a, b in zip(before.shards, m.shards)) <= 0.05 * sharding.N_SLOTS
+        before = m
+    assert sharding.SlotMap.versions(spark, path) == [1, 2, 3, 4]
+    assert sharding.SlotMap.load(spark, path, 1) == sharding.SlotMap.initial()
+    with pytest.raises(RuntimeError, match="version 4"):
+        before.save(spark, path)
+    again = sharding.shard_documents(docs, path, slack=0.02)  # nothing to move: no new version
+    assert {r.map_version for r in again.select("map_version").distinct().collect()} == {4}
+
+
 def test_sharding_awkward(spark):
     df, rows = awkward(spark)
     out = sharding.shard_documents(df, n_shards=2, n_slots=8).collect()
