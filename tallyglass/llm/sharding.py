@@ -6,6 +6,7 @@ which shard a slot belongs to, and rebalancing edits that map instead of rehashi
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyglass.llm.common import stored
+from tallyglass.llm.common import own_dir, stored
 
 N_SHARDS = 16
 #: Slots are a parameter of the deployment, not of the data; the map and all that is per slot stay this small.
@@ -34,15 +35,19 @@ class SlotMap:
         """Version 1: slots dealt out in turn."""
         return cls(1, n_shards, tuple(i % n_shards for i in range(n_slots)))
 
-    def rebalanced(self, weights: np.ndarray) -> SlotMap:
-        """The next version: slots move, or swap, from the heaviest to the lightest shard while that evens them."""
+    def rebalanced(self, weights: np.ndarray, slack: float = 0.0) -> SlotMap:
+        """The next version: slots move, or swap, from the heaviest to the lightest shard while that evens them.
+
+        It is left as it is where the heaviest and the lightest differ by at most ``slack`` of a mean
+        shard. The search ends after four edits a slot; only evenness suffers if that is too few.
+        """
         shard = np.array(self.shards)
         w = np.asarray(weights, dtype=np.int64)
         load = np.bincount(shard, weights=w, minlength=self.n_shards).astype(np.int64)
         for _ in range(4 * len(shard)):
             hi, lo = int(load.argmax()), int(load.argmin())
             gap = int(load[hi] - load[lo])
-            if gap <= 1:
+            if gap <= max(1, slack * load.sum() / self.n_shards):
                 break
             own = np.flatnonzero((shard == hi) & (w > 0) & (w < gap))
             give, best = None, gap
@@ -86,21 +91,49 @@ class SlotMap:
         return SlotMap(self.version + 1, n_shards, tuple(int(x) for x in shard), moves)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, self.n_shards, i, s) for i, s in enumerate(self.shards)]
-        return spark.createDataFrame(rows, "version int, n_shards int, virtual_slot int, shard int")
+        rows = [(self.n_shards, i, s) for i, s in enumerate(self.shards)]
+        return spark.createDataFrame(rows, "n_shards int, virtual_slot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the map table at ``path``; earlier versions stay readable."""
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Add this version to the map table at ``path``; earlier versions stay readable.
+
+        A version is claimed first, by a file that only one writer can create, so of two runs that
+        edit the same version one is refused with a RuntimeError. A run that dies between its claim
+        and its table leaves the claim behind; delete that file to save the version again.
+        """
+        claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{self.version}")
+        files = claim.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(claim.getParent())
+        try:
+            claimed = files.createNewFile(claim)
+        except Exception as error:  # some file systems raise where others return false
+            raise RuntimeError(f"version {self.version} of {path} could not be claimed") from error
+        if not claimed:
+            raise RuntimeError(f"version {self.version} of {path} is saved or being saved by another run")
+        self.frame(spark).coalesce(1).write.parquet(f"{path}/version={self.version}")
+
+    @classmethod
+    def versions(cls, spark: SparkSession, path: str) -> list[int]:
+        """Versions whose tables are complete, ascending."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(root):
+            return []
+        found = [f.getPath() for f in files.listStatus(root) if f.getPath().getName().startswith("version=")]
+        done = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(p.getName().split("=")[1]) for p in done)
+
+    @classmethod
+    def table(cls, spark: SparkSession, path: str, version: int) -> DataFrame:
+        """(n_shards, virtual_slot, shard) of a stored version: one row a slot."""
+        return spark.read.schema("n_shards int, virtual_slot int, shard int").parquet(f"{path}/version={version}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """A stored version, the newest by default."""
-        table = spark.read.parquet(path)
-        if version is None:
-            version = table.agg(F.max("version")).first()[0]
-        rows = table.where(F.col("version") == version).orderBy("virtual_slot").collect()  # one per slot
-        return cls(int(version), rows[0]["n_shards"], tuple(r["shard"] for r in rows))
+        version = cls.versions(spark, path)[-1] if version is None else version
+        rows = cls.table(spark, path, version).orderBy("virtual_slot").collect()  # one per slot
+        return cls(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows))
 
 
 def to_slots(docs: DataFrame, n_slots: int = N_SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,29 +157,43 @@ def slot_totals(slots: DataFrame, n_slots: int = N_SLOTS) -> tuple[np.ndarray, n
 
 
 def shard_documents(
-    docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None
+    docs: DataFrame, map_path: str | None = None, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, slack: float = 0.0
 ) -> DataFrame:
     """Every row with its shard (law ``bytes``) and its gapless place ``slot`` in that shard.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (NULL: law ``key`` only),
-    virtual_slot and map_version. A given ``slot_map`` is rebalanced, else a first one is made and
-    rebalanced. NULL ids and texts are placed like others (size 1 for NULL text); repeated rows share
-    a virtual slot and take places of their own; an empty table gives no rows. Only doc_id and text
-    are read, so other columns cannot clash.
+    virtual_slot and map_version. The newest map at ``map_path`` is loaded (where there is none, an
+    even one is stored as version 1; without a path, in the shared folder), edited for the bytes of
+    these documents, stored as the next version if the edit moved a slot, and joined to the rows. Its
+    numbers of shards and slots hold for the rows; a path is for one set of documents as it grows.
+
+    NULL ids and texts are placed like others (size 1 for NULL text); repeated rows share a virtual
+    slot and take places of their own; rows that tie in id, checksum and size are alike in all that is
+    returned but the place. Very long texts stay in their task, only their size and checksum move. An
+    empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
     """
+    spark = docs.sparkSession
+    path = map_path or f"{own_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    if not SlotMap.versions(spark, path):
+        SlotMap.initial(n_slots, n_shards).save(spark, path)
+    m = SlotMap.load(spark, path)
+    n_slots = len(m.shards)
     slots = stored(to_slots(docs, n_slots), "slots")
     size, rows = slot_totals(slots, n_slots)
-    m = (slot_map or SlotMap.initial(n_slots, n_shards)).rebalanced(size)
+    edited = m.rebalanced(size, slack)
+    if edited.moves:
+        edited.save(spark, path)
+        m = edited
     first, seen = [0] * n_slots, [0] * m.n_shards
     for k, s in enumerate(m.shards):
         first[k], seen[s] = seen[s], seen[s] + int(rows[k])
-    table = docs.sparkSession.createDataFrame(
-        [(k, s, first[k]) for k, s in enumerate(m.shards)], "virtual_slot int, shard int, first long"
+    table = SlotMap.table(spark, path, m.version).join(
+        spark.createDataFrame(list(enumerate(first)), "virtual_slot int, first long"), "virtual_slot"
     )
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     return (
         slots.withColumn("place", place)
-        .join(F.broadcast(table), "virtual_slot")  # n_slots rows by construction
+        .join(F.broadcast(table.select("virtual_slot", "shard", "first")), "virtual_slot")  # n_slots rows by construction
         .select(
             "doc_id",
             "size",
