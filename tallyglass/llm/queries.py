@@ -41,7 +41,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = rules.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text"), clean=False)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
              "lines_removed", "line_chars", "kept_chars")
     return judged.select("doc_id", *[F.col(f"quality_rules.{c}").alias(c) for c in names])
@@ -111,10 +111,10 @@ ln AS (
   WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 bad AS (
   SELECT *, (100 * (n - length(translate(x, '{rules.SYMBOLS}', ''))) > {rules.SYMBOL_PERCENT} * n
-    OR 40 * (n - length(regexp_replace(x, '[!?]{{2}}', '!', 'g'))) > n
-    OR NOT regexp_matches(x, '[.!?…。]')
-    OR n - length(regexp_replace(x, '{rules.MENU_MARKS}', '', 'g')) >= {rules.MENU_COUNT}
-    OR regexp_matches(lower(x), '{rules.BOILERPLATE}')) AS b FROM ln),
+    OR {rules.SHOUT_CHARS} * (n - length(regexp_replace(x, '[!?]{{2}}', '!', 'g'))) > n
+    OR (n < {rules.WRAPPED_CHARS} AND NOT regexp_matches(x, '{rules.SENTENCE_ENDS}'))
+    OR n - length(translate(x, '{rules.MENU_MARKS}', '')) >= {rules.MENU_COUNT}
+    OR regexp_matches(lower(x), '{"|".join(rules.BOILERPLATE)}')) AS b FROM ln),
 lines AS (
   SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines, CAST(sum(n) AS BIGINT) AS line_chars,
     CAST(sum(CASE WHEN b THEN 0 ELSE n END) AS BIGINT) AS kept_chars, count(*) FILTER (WHERE b) AS lines_removed
