@@ -48,35 +48,26 @@ def render(role: Column, text: Column, rung: int) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Turns of a rendered conversation: array of (start, role, text, raw).
+    """Turns of a rendered conversation: array of (role, text).
 
-    ``start`` is the code point (from 0) at which the raw text of the turn begins and ``raw`` that
-    text as rendered. Anything that the grammar does not allow gives a turn whose role and text are
-    NULL, so it never equals a source.
+    Anything that the grammar does not allow gives a turn whose role and text are NULL, so it never
+    equals a source.
     """
     chunks = F.split(formatted, CLOSE)
     n = F.size(chunks)
     cut = F.transform(
         F.slice(chunks, F.lit(1), n - 1),
-        lambda c, i: F.struct(
-            F.when(i == 0, c).when(F.startswith(c, F.lit("\n" + OPEN)), F.substring(c, 2, 2147483647)).alias("c"),
-            (F.length(c) + len(CLOSE)).alias("width"),
-            F.when(i == 0, 0).otherwise(1).alias("lead"),
-        ),
+        lambda c, i: F.when(i == 0, c).when(F.startswith(c, F.lit("\n" + OPEN)), F.substring(c, 2, 2147483647)),
     )
     head = F.lit(len(OPEN))
 
-    def turn(x: Column) -> Column:
-        c = x["c"]
+    def turn(c: Column) -> Column:
         gt = F.locate(">", c)
         body = F.substr(c, gt + 1)
         fine = F.startswith(c, F.lit(OPEN)) & (gt > 0) & (F.locate(OPEN, body) == 0)
         return F.struct(
-            x["width"].alias("width"),
-            (x["lead"] + gt).alias("skip"),
             F.when(fine, unescape(F.substr(c, head + 1, gt - head - 1))).alias("role"),
             F.when(fine, unescape(body)).alias("text"),
-            F.when(fine, body).alias("raw"),
         )
 
     return F.transform(cut, turn)
@@ -85,9 +76,10 @@ def parse(formatted: Column) -> Column:
 def formatted_turns(
     rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """One row per turn: conv_id, place (from 1), role, text, rendered, rung.
+    """One row per turn: conv_id, place (from 1), role, text, rendered, rung, and where it is in its conversation.
 
     Turns are ordered by (turn, role, text), NULL turns first; NULL role and text count as empty.
+    ``span`` holds the raw text's start and length in code points, and the same in UTF-8 bytes.
     """
     src = rows.select(
         F.col(conv_id).alias("conv_id"),
@@ -109,7 +101,16 @@ def formatted_turns(
         F.coalesce(rendered, render(F.col("role"), F.col("text"), 2)).alias("rendered"),
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return src.withColumn("place", F.row_number().over(order))
+    until = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tail = len(CLOSE) + 1  # the end mark and the line feed
+    head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(">"))
+
+    def span(length, name: str, size: str) -> list[Column]:
+        start = F.sum(length("rendered")).over(until) - length("rendered") + length(head)
+        return [start.cast("int").alias(name), (length("rendered") - length(head) - tail).cast("int").alias(size)]
+
+    where = F.struct(*span(F.length, "start", "length"), *span(F.octet_length, "byte_start", "byte_length"))
+    return src.select("*", F.row_number().over(order).alias("place"), where.alias("span"))
 
 
 def format_conversations(
@@ -117,57 +118,49 @@ def format_conversations(
 ) -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_spans, rungs, round_trip.
 
-    ``loss_spans`` is an array of (start, length) in code points of ``formatted``: the raw texts of
-    the assistant turns. ``round_trip`` says that parsing ``formatted`` gave every source turn back;
-    a conversation for which it did not is rendered once more with every turn at rung 2. NULL
-    conv_ids form one conversation; repeated rows are turns of their own; an empty table gives no
-    rows. Only the four named columns are read, so other columns cannot clash. A conversation is one
-    output row, so its turns meet in one task by definition; conversations spread over all tasks.
+    ``loss_spans`` is an array of (start, length) in code points of ``formatted`` and (byte_start,
+    byte_length) in its UTF-8 bytes: the raw texts of the assistant turns. ``round_trip`` says that
+    parsing ``formatted`` gave every source turn back: turns end where the grammar says, so it follows
+    from the round trip of each turn alone, by which its rung was chosen.
+
+    NULL conv_ids form one conversation; repeated rows, and rows that tie in turn, role and text, are
+    turns of their own; an empty table gives no rows. Only the four named columns are read, so other
+    columns cannot clash. A conversation is one output row, so its turns meet in one task by
+    definition and a very long one has to fit there, at a cost in proportion to its length;
+    conversations spread over all tasks.
     """
     turns = formatted_turns(rows, conv_id, turn, role, text)
-    parts = F.sort_array(F.collect_list(F.struct("place", "role", "text", "rendered", "rung")))
+    parts = F.sort_array(F.collect_list(F.struct("place", "role", "text", "rendered", "rung", "span")))
     df = turns.groupBy("conv_id").agg(parts.alias("parts"))
     df = df.withColumn("formatted", F.array_join(F.transform("parts", lambda p: p["rendered"]), ""))
-    df = df.withColumn("back", parse(F.col("formatted")))
     source = F.transform("parts", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text")))
-    found = F.transform("back", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text")))
-    df = df.withColumn("first_try", source == found)
-    strict = F.array_join(F.transform("parts", lambda p: render(p["role"], p["text"], 2)), "")
-    df = df.withColumn("formatted", F.when(F.col("first_try"), F.col("formatted")).otherwise(strict))
-    df = df.withColumn("back", F.when(F.col("first_try"), F.col("back")).otherwise(parse(F.col("formatted"))))
-    found = F.transform("back", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text")))
+    found = F.transform(parse(F.col("formatted")), lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text")))
+    said = F.filter("parts", lambda p: p["role"] == ASSISTANT)
     return df.select(
         "conv_id",
         F.size("parts").cast("long").alias("n_turns"),
         "formatted",
-        loss_spans(F.col("back")).alias("loss_spans"),
-        F.transform("parts", lambda p: F.when(F.col("first_try"), p["rung"]).otherwise(2)).alias("rungs"),
+        F.transform(said, lambda p: p["span"]).alias("loss_spans"),
+        F.transform("parts", lambda p: p["rung"]).alias("rungs"),
         (source == found).alias("round_trip"),
     )
 
 
-def loss_spans(back: Column, role: str = ASSISTANT) -> Column:
-    """(start, length) of the raw text of each parsed turn of ``role``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        here = F.struct((acc["at"] + x["skip"]).alias("start"), F.length(x["raw"]).alias("length"))
-        more = F.when(x["role"] == role, F.array(here)).otherwise(F.array().cast("array<struct<start:int,length:int>>"))
-        return F.struct((acc["at"] + x["width"]).alias("at"), F.concat(acc["spans"], more).alias("spans"))
-
-    return F.aggregate(back, start, step, lambda acc: acc["spans"])
+def masked_text(formatted: Column, loss_spans: Column) -> Column:
+    """The unescaped text under the loss mask; cut by bytes, so that no span is counted from the start."""
+    raw = formatted.cast("binary")
+    cut = F.transform(loss_spans, lambda s: F.substr(raw, s["byte_start"] + 1, s["byte_length"]).cast("string"))
+    return F.array_join(F.transform(cut, unescape), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from ``formatted`` and ``loss_spans`` alone, as counts and SHA-256 digests."""
+    """What can be read back from ``formatted`` and ``loss_spans`` alone, as counts and SHA-256 digests.
+
+    An empty table gives no rows; a conversation without assistant turns has an empty loss text.
+    """
     df = formatted.withColumn("back", parse(F.col("formatted")))
     said = F.transform("back", lambda p: F.concat(p["role"], F.lit("\n"), p["text"], F.lit("\n")))
-    masked = F.transform("loss_spans", lambda s: F.substr(F.col("formatted"), s["start"] + 1, s["length"]))
-    df = df.select(
-        "*",
-        F.array_join(said, "").alias("said"),
-        F.array_join(F.transform(masked, unescape), "").alias("loss"),
-    )
+    df = df.select("*", F.array_join(said, "").alias("said"), masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return df.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),

@@ -50,6 +50,8 @@ def test_chat_round_trip_over_control_strings(spark):
         own = [(x[2], x[3]) for x in rows if x[0] == o.conv_id]
         assert [(b.role, b.text) for b in o.back] == own
         masked = "".join(o.formatted[s.start : s.start + s.length] for s in o.loss_spans)
+        raw = o.formatted.encode()
+        assert masked.encode() == b"".join(raw[s.byte_start : s.byte_start + s.byte_length] for s in o.loss_spans)
         un = masked.replace("\\l", "<").replace("\\g", ">").replace("\\s", "\\")
         assert un == "".join(t for role, t in own if role == "assistant")
 
