@@ -96,19 +96,20 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The next document is the one with the next smaller doc_id, and the largest after the smallest.
-    NULL texts count as empty; NULL ids come after all others; rows with one id are ordered by a
-    hash of their text; a single row is its own next; an empty table gives no rows. Only doc_id (an
-    integer) and text are read, so other columns cannot clash.
-
-    Rows are grouped by ranges of doc_id between approximate quantiles, so each text is shuffled
-    once; the first row of each group is sent to the group above as well. At most MOST_GROUPS group
-    bounds and heads reach the driver and are broadcast.
+    NULL texts count as empty; NULL ids come after all others; rows with one id, or with none, are
+    ordered by a hash of their text, and rows that are equal in both are interchangeable; a single row
+    is its own next; an empty table gives no rows. Very long texts are read whole, and a fingerprint
+    grows with its text. Only doc_id (an integer) and text are read, so other columns cannot clash.
+
+    Rows are grouped by ranges of doc_id between approximate quantiles, those without an id by ranges
+    of their text's hash, so each text is shuffled once; the first row of each group is sent to the
+    group above as well. At most 2 x MOST_GROUPS bounds and heads reach the driver and are broadcast.
+    Rows that share one id are one group.
     """
     spark = docs.sparkSession
-    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
-    src = docs.select(F.col(doc_id).alias("doc_id"), ids.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = src.count()
-    groups = min(MOST_GROUPS, max(1, n // GROUP_ROWS))
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n, n_null = src.agg(F.count("key"), F.count_if(F.col("key").isNull())).first()
+    groups, null_groups = (min(MOST_GROUPS, max(1, k // GROUP_ROWS)) for k in (n, n_null))
     at = [i / groups for i in range(1, groups)]
     scale = 1 << 20
     some = src.where(F.pmod(F.xxhash64("key"), F.lit(scale)) <= scale * BOUND_IDS * groups // max(n, 1))
@@ -119,18 +120,23 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def group_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="left").astype(np.int32))
 
-    placed = src.withColumn("grp", group_of("key"))
-    heads = sorted(
-        (r["grp"], r["head"])
-        for r in src.select("key").withColumn("grp", group_of("key")).groupBy("grp").agg(F.max("key").alias("head")).collect()
+    # documents follow each other by falling group, falling key and rising hash
+    h = F.xxhash64("text")
+    part = F.shiftright(h, 16) + (1 << 47)  # 48 bits, rising with the hash
+    by_hash = (-1 - F.shiftright(part * null_groups, 48)).cast("int")
+    keyed = src.withColumn("h", h).withColumn("grp", F.when(F.col("key").isNull(), by_hash).otherwise(group_of(F.coalesce("key", F.lit(0)))))
+    first = F.max(F.struct(F.coalesce("key", F.lit(0)).alias("key"), F.bitwise_not("h").alias("not_h"))).alias("first")
+    heads = sorted((r["grp"], r["first"]["key"], ~r["first"]["not_h"]) for r in keyed.groupBy("grp").agg(first).collect())
+    table = spark.createDataFrame(
+        [(grp, key, h, heads[(i + 1) % len(heads)][0]) for i, (grp, key, h) in enumerate(heads)], "grp int, first long, h long, above int"
     )
-    above = {heads[i][1]: heads[(i + 1) % len(heads)][0] for i in range(len(heads))}
-    table = spark.createDataFrame(sorted(above.items()), "key long, above int")
-    to = F.array_compact(F.array(F.struct("grp", F.lit(False).alias("lent")),
-                                 F.when(F.col("above").isNotNull(), F.struct(F.col("above").alias("grp"), F.lit(True).alias("lent")))))
-    rows = placed.join(F.broadcast(table), "key", "left").withColumn("to", F.explode(to))
-    rows = rows.select(F.col("to.grp").alias("grp"), F.col("to.lent").alias("lent"), "key", F.xxhash64("text").alias("h"),
-                       "doc_id", "text").repartition("grp")
+    fits = keyed["grp"].eqNullSafe(table["grp"]) & (F.coalesce("key", F.lit(0)) == F.col("first")) & (keyed["h"] == table["h"])
+    placed = keyed.join(F.broadcast(table), fits, "left").select(keyed["grp"], "key", keyed["h"], "doc_id", "text", "above")
+    own = F.struct("grp", F.lit(False).alias("lent"))
+    lent = F.struct(F.col("above").alias("grp"), F.lit(True).alias("lent"))
+    to = F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, lent))
+    rows = placed.withColumn("to", F.explode(to))
+    rows = rows.select(F.col("to.grp").alias("grp"), F.col("to.lent").alias("lent"), "key", "h", "doc_id", "text").repartition("grp")
     rows = rows.sortWithinPartitions("grp", "lent", F.desc("key"), "h").select("grp", "lent", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
