@@ -28,7 +28,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Groups of the large lengths. A length is large if it is above CAPACITY / part; each part is tried and the
 #: plan of the fewest sequences is taken: fewer large lengths round up less, more of them are optimised together.
-GROUPS, SMALL_PARTS = 128, (2, 3)
+#: With part 2 a configuration holds one piece, which is best fit alone; on a tie the finer part is taken.
+GROUPS, SMALL_PARTS = 128, (5, 3, 2)
 #: Pieces of one length that are ranked in one task, about; and the most salts.
 RANKED_TOGETHER, MOST_SALTS = 500_000, 256
 
@@ -120,7 +121,10 @@ def _best_pattern(sizes: list[int], value: np.ndarray, capacity: int) -> tuple[f
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, most_rounds: int = 1500) -> list[tuple[int, np.ndarray]]:
-    """Whole numbers of configurations, rounded down from the linear optimum by column generation."""
+    """Whole numbers of configurations, rounded down from the linear optimum by column generation.
+
+    It ends after ``most_rounds`` new configurations at the latest; only tightness suffers if that is too few.
+    """
     m = len(sizes)
     if not m:
         return []
@@ -231,28 +235,33 @@ def pack_documents(
     """Every piece with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     NULL and empty texts are one piece of the end id; NULL ids and repeated rows are packed like any
-    others, each on its own; an empty table gives no rows. Only doc_id and text are read, so other
-    columns cannot clash. To the driver go the counts by length and salt (at most ``capacity`` by
-    ``MOST_SALTS`` rows), to the tasks the plan, whose size depends on ``capacity`` alone.
+    others, each on its own; pieces of one length are interchangeable, so ties do not matter; very
+    long texts are encoded whole and cut; an empty table gives no rows. Only doc_id and text are read,
+    so other columns cannot clash. To the driver go the counts by length and salt (at most
+    ``capacity`` by ``MOST_SALTS`` rows), to the tasks the plan, whose size depends on ``capacity``
+    alone. A piece of full length is a sequence of its own and is not ranked, however many there are.
     """
     spark = docs.sparkSession
     table = stored(pieces(docs, doc_id, text, capacity, vocabulary), "pieces")
-    salts = min(MOST_SALTS, max(16, table.count() // RANKED_TOGETHER))
-    table = table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    per_salt = table.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    part = table.where(F.col("length") < capacity)
+    salts = min(MOST_SALTS, max(16, part.count() // RANKED_TOGETHER))
+    part = part.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    per_salt = part.groupBy("length", "salt").agg(F.count("*").alias("n"))
     found = sorted((r["length"], r["salt"], r["n"]) for r in per_salt.collect())
     counts, before = np.zeros(capacity + 1, dtype=np.int64), []
     for length, salt, n in found:
         before.append((length, salt, int(counts[length])))
         counts[length] += n
-    rows = runs(plan(counts, capacity))
+    bins = plan(counts, capacity)
+    rows, planned = runs(bins), sum(b.count for b in bins)
     key = (rows[:, 0] << 40) + rows[:, 1]
     offsets = spark.createDataFrame(before, "length long, salt int, before long")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = (
-        table.withColumn("rank", rank)
+        part.withColumn("rank", rank)
         .join(F.broadcast(offsets), ["length", "salt"])  # bounded as said above
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank") - 1).alias("rank"))
+        .select(*names, (F.col("before") + F.col("rank") - 1).alias("rank"))
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,11 +269,10 @@ def pack_documents(
             length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             at = np.searchsorted(key, (length << 40) + rank, side="right") - 1
             made = (rows[at, 2] + rank - rows[at, 1], rows[at, 3])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], *map(pa.array, made)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *map(pa.array, made)], [*names, "sequence_id", "offset"])
 
     kind = dict(ranked.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return map_batches(ranked, place, schema)
+    alone = (F.lit(planned) + F.monotonically_increasing_id()).alias("sequence_id")  # over a stored table: the same at each read
+    full = table.where(F.col("length") == capacity).select(*names, alone, F.lit(0).cast("long").alias("offset"))
+    return map_batches(ranked, place, schema).unionByName(full)
