@@ -118,24 +118,24 @@ def set_name(own: np.ndarray) -> tuple[int, int]:
 
 
 def signed_documents(docs: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (the set's name; NULL for an empty one), sig."""
+    """doc_id, text_hash, n_shingles, h1, h2 (the set's name; NULL for an empty one), sig."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, names, sigs = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 own = shingles(t, words)
                 sizes.append(len(own))
                 names.append(set_name(own) if len(own) else (None, None))
                 sigs.append(signature(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
                  *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "sig"],
+                ["doc_id", "text_hash", "n_shingles", "h1", "h2", "sig"],
             )
 
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(src, sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return map_batches(src, sign, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 # --- regions
@@ -483,10 +483,13 @@ def linked_labels(classes: DataFrame, docs: DataFrame, words: int, percent: int)
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
+    docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
+    with_hash: bool = False,
+) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept, for every row.
 
+    ``with_hash`` adds text_hash, the xxhash64 of the text, which tells rows of one doc_id apart.
+
     Two rows are linked if their shingle sets have at least ``percent`` per cent of their union in
     common; the orders are made for 80 or more. A NULL or wordless text has an empty set and is
     linked with nothing. Repeated rows come back as often as they are there; rows of one doc_id with
@@ -506,6 +509,7 @@ def near_duplicates(
     named = classes.select("cid", "h1", "h2", "id").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
     least = named.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
     component = named.join(least, "label", "left").select("h1", "h2", F.coalesce("least", "id").alias("component_id"))
-    full = usable.join(component, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    rest = signed.where("h1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    names = ["doc_id", *(["text_hash"] if with_hash else []), "n_shingles"]
+    full = usable.join(component, ["h1", "h2"]).select(*names, "component_id")
+    rest = signed.where("h1 is null or doc_id is null").select(*names, F.col("doc_id").alias("component_id"))
     return full.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -87,8 +87,9 @@ def token_counts(
 
     ``sections`` gives the ascending ends of a text's consecutive sections; the last is its length.
     The counts of a document add up to its tokens. NULL and empty texts are one section without
-    tokens; repeated rows come back as often; an empty table gives no rows. Only doc_id and text are
-    read, so other columns cannot clash.
+    tokens; repeated rows come back as often; a token that two sections share equally goes to the
+    earlier; very long texts are encoded whole; an empty table gives no rows. Only doc_id and text
+    are read, so other columns cannot clash.
     """
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
@@ -116,7 +117,10 @@ def token_counts(
 def field_counts(df: DataFrame, fields: list[str], key: str, joint: str = "\n", vocabulary: str = VOCABULARY) -> DataFrame:
     """key, field, n_tokens, n_crossing: the fields of a row joined by ``joint``, encoded once, counted per field.
 
-    The joint belongs to the field before it. NULL fields are empty.
+    The joint belongs to the field before it. NULL and empty fields have only that; ties go to the
+    earlier field; very long fields are encoded whole; a field that is named twice comes twice;
+    repeated rows come back as often; an empty table gives no rows. Only ``key`` and ``fields`` are
+    read, so other columns cannot clash.
     """
     values = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
     text = F.concat(*[x for v in values for x in (v, F.lit(joint))][:-1])

@@ -232,6 +232,49 @@ def test_quality_held_out(spark):
     assert len(out) > 500 and sum(o.predicted == o.quality for o in out) / len(out) > 0.98
 
 
+def test_quality_against_brute_force():
+    import re
+
+    def brute_features(text):
+        found = [zlib.crc32(t.encode()) for t in re.findall(r"\w+|[^\w\s]+", text)]
+        counts = {}
+        for k, h in enumerate(found):
+            m = h * 0x9E3779B1 % 2**32
+            keys = [m]
+            if k + 1 < len(found):
+                keys.append(0x51ED270B if found[k + 1] == h else (m ^ found[k + 1] * 0x85EBCA77 % 2**32) * 0xC2B2AE35 % 2**32)
+            if k + 2 < len(found) and found[k + 2] == h:
+                keys.append(0xA3B19C55)
+            for key in keys:
+                counts[key >> 32 - quality.BITS] = counts.get(key >> 32 - quality.BITS, 0) + 1
+        norm = sum(counts.values()) ** 0.5  # values are square roots of counts
+        return {k: v**0.5 / norm for k, v in counts.items()}
+
+    r = random.Random(4)
+    texts = [" ".join(r.choices(["good", "bad", "x", "!!", "a-b", "é"], weights=[1 + k % 2 * 5, 6 - k % 2 * 5, 2, 1, 1, 1], k=r.randint(0, 30))) for k in range(60)]
+    labels = [k % 2 for k in range(60)]
+    model = quality.train([(*quality.features(t), y) for t, y in zip(texts, labels)])
+    z, n, alpha, beta, l1, l2 = {}, {}, 0.5, 1.0, 0.02, 0.1
+
+    def weight(k):
+        own = z.get(k, 0.0)
+        return 0.0 if abs(own) <= l1 else -(own - (l1 if own > 0 else -l1)) / ((beta + n.get(k, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(4):
+        for t, y in zip(texts, labels):
+            f = {**brute_features(t), "bias": 0.3} if t else {"bias": 0.3}
+            w = {k: weight(k) for k in f}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in f.items())))
+            for k, v in f.items():
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / alpha * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    for t in texts:
+        f = brute_features(t) if t else {}
+        score = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in f.items()) - 0.3 * weight("bias")))
+        assert model.score(t) == pytest.approx(score, abs=1e-4)
+
+
 def test_quality_awkward(spark):
     df, rows = awkward(spark)
     model = quality.fit(documents(spark), spark.read.parquet(f"{SF}/labels.parquet"))
@@ -276,6 +319,13 @@ def test_plan_places_every_piece_once(seed):
     assert least <= sum(b.count for b in packing.plan(counts)) <= max(alone * 1.01 + 2, least)
 
 
+def test_configurations_beat_best_fit():
+    counts = np.zeros(1025, dtype=np.int64)
+    counts[[522, 276, 266, 236]] = [240, 240, 240, 480]  # 360 sequences hold them without a gap
+    alone = sum(b.count for b in packing.best_fit(counts.copy(), [], 1024))
+    assert sum(b.count for b in packing.plan(counts)) == 360 < alone
+
+
 def check_packed(out, texts):
     bpe = byte_bpe()
     by_sequence = {}
@@ -650,6 +700,67 @@ def test_token_counts_add_up(spark):
     assert tokencounts.token_counts(empty(spark)).count() == 0
 
 
+def test_section_counts_against_brute_force(spark):
+    bpe = byte_bpe()
+    docs = documents(spark).limit(80)
+
+    def thirds(t):
+        return np.unique([*(len(t) * k // 3 for k in (1, 2)), len(t)]) if t else np.array([0])
+
+    def lines(t):
+        ends = [i + 1 for i, c in enumerate(t) if c == "\n"]
+        return ends if ends and ends[-1] == len(t) else [*ends, len(t)]
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for own, bounds in ((tokencounts.line_ends, lines), (thirds, lambda t: thirds(t).tolist())):
+        got = {(o.doc_id, o.start, o.end): (o.n_tokens, o.n_crossing) for o in tokencounts.token_counts(docs, sections=own).collect()}
+        want = {}
+        for i, t in texts.items():
+            raw, at, edges = t.encode(), 0, [0, *bounds(t)]
+            owner = [0] * len(t)
+            for k in range(len(edges) - 1):
+                want[i, edges[k], edges[k + 1]] = (0, 0)
+                owner[edges[k] : edges[k + 1]] = [k] * (edges[k + 1] - edges[k])
+            for token in bpe.slow.encode(t, add_special_tokens=False).ids:
+                width = int(bpe.width[token])
+                span = owner[len(raw[:at].decode(errors="ignore")) : len(raw[: at + width].decode(errors="replace"))]
+                k = max(dict.fromkeys(span), key=span.count)  # the earliest of the largest
+                tokens, crossing = want[i, edges[k], edges[k + 1]]
+                want[i, edges[k], edges[k + 1]] = (tokens + 1, crossing + (len(set(span)) > 1))
+                at += width
+        assert got == want
+
+
+def test_fingerprints_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "GROUP_ROWS", 3)
+    rows = [(None, f"text {k} of none") for k in range(40)] + [(k, f"text {k}") for k in range(5)] + [(3, "another of one id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprints.fingerprints(df).collect()
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = [fingerprints.edited(t, n) for (_, t), (_, n) in zip(order, order[1:] + order[:1])]
+    assert sorted(o.edited_sha256 for o in out) == sorted(hashlib.sha256(e.encode()).hexdigest() for e in want)
+
+
+def test_session_settings_are_left_alone(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    spiece.digest_documents(documents(spark)).count()
+    neardup.signed_documents(documents(spark), 2, "doc_id", "text").count()
+    assert before == {k: spark.conf.get(k) for k in before}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Some
+
+    from tallyglass.llm.common import shared_dir
+
+    conf = Some(get=lambda key, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Some(conf=conf, sparkContext=Some(master="spark://host:7077", applicationId="a")))
+    local = Some(conf=conf, sparkContext=Some(master="local[2]", applicationId="b"))
+    assert shared_dir(local) == shared_dir(local)
+
+
 def test_field_counts(spark):
     df = spark.createDataFrame([(1, "a title", "some body text", None)], "k int, title string, body string, note string")
     out = {o.field: o.n_tokens for o in tokencounts.field_counts(df, ["title", "body", "note"], "k").collect()}
