@@ -7,11 +7,12 @@
   whole signatures are alike. The depth adapts to the region: one of more than REGION rows is not
   compared at this depth, its rows go on to the next of LEVELS, whose longer prefixes part them over
   more orders.
-* First every row of a region gets one edge, to the row of the smallest id that it is like, and
-  regions beyond REGION are sorted on, so that long common prefixes meet in runs of RUN rows. These
-  edges are confirmed on full sets, and what is linked gets one label. Only regions that still hold
-  several labels, and like pairs that no edge stands for, are looked at again: all like pairs between
-  labels, the most alike first, until none is left that was not confirmed or refused.
+* First every row of a region gets one edge, to the most alike of the rows before it, and regions
+  beyond REGION are sorted on, so that long common prefixes meet in runs of RUN rows. These edges are
+  confirmed on full sets, and what is linked gets one label. Only regions that still hold several
+  labels, and like pairs that no edge stands for, are looked at again: a row outside a region's main
+  label is compared with the rows of other labels that it is like, and where these are many, with all
+  of their label, so that the label's sets move once and not once a pair.
 * So near copies in any number become one label from a few edges a row, unlike documents in any
   number part by depth, and a pair that is like is never left out for being one of many.
 """
@@ -39,8 +40,12 @@ LEVELS = ((4, 32), (8, 96), (12, 256), (16, 512))
 REGION = 512
 #: Rows that are compared in runs, and the orders in which regions beyond REGION are cut into runs.
 RUN, RUN_ORDERS = 256, 4
-#: Edges of one row to other labels that are tried first, and the factor by which they grow.
-FIRST_TRIED, MORE_TRIED = 32, 16
+#: Rows of one label that a row is compared with one by one; if it is like more of them it asks for the whole label.
+FEW = 4
+#: Askers, and rows of a label, that meet in one task.
+ASKERS = 2048
+#: Tasks over which the rows of one region are spread where its numbers are joined to them.
+SALTS = 16
 #: Signatures of candidates may agree in this many standard errors less than at the threshold: 3 in a million miss.
 SPREADS = 4.5
 #: Bits of the filter on ids that keeps most texts out of the shuffle; at most 1/64 of them are rows of a broadcast.
@@ -208,31 +213,35 @@ class Alike:
 
 
 def first_edges(key: np.ndarray, ids: np.ndarray, alike: Alike) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by (key, id): edges (a, b) of each b to the first a < b that it is like, and the
-    keys of regions that hold like pairs besides."""
+    """For rows sorted by (key, id): edges (a, b) of each b to the most alike a < b, and the keys of
+    regions that hold like pairs besides. Of equally alike rows the first is taken."""
     edge = np.flatnonzero(np.diff(key)) + 1
     lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    none = np.zeros(0, np.int64)
+    a, b, same = [none], [none], [none]
     small = np.repeat(hi - lo <= _SMALL, hi - lo)
     for g in range(1, _SMALL):
         at = np.flatnonzero((key[:-g] == key[g:]) & small[:-g])
         if not len(at):
             break
-        at = at[alike(at, at + g)[0]]
-        a.append(at)
-        b.append(at + g)
-    order = np.lexsort((np.concatenate(a), np.concatenate(b)))
-    a, b = np.concatenate(a)[order], np.concatenate(b)[order]
+        like, equal = alike(at, at + g)
+        a.append(at[like])
+        b.append(at[like] + g)
+        same.append(equal[like])
+    a, b, same = (np.concatenate(x) for x in (a, b, same))
+    order = np.lexsort((a, -same, b))
+    a, b = a[order], b[order]
     new = np.ones(len(b), dtype=bool)
     new[1:] = b[1:] != b[:-1]
     first, second, left = [a[new]], [b[new]], [key[b[~new]]]
     for start, end in zip(lo[hi - lo > _SMALL].tolist(), hi[hi - lo > _SMALL].tolist()):
         for i in range(start + 1, end):
-            found = start + np.flatnonzero(alike(slice(start, i), i)[0])
-            first.append(found[:1])
-            second.append(np.full(len(found[:1]), i))
-            if len(found) > 1:
-                left.append(key[start : start + 1])
+            like, equal = alike(slice(start, i), i)
+            if like.any():
+                first.append(np.array([start + int(np.where(like, equal, -1).argmax())]))
+                second.append(np.array([i]))
+                if like.sum() > 1:
+                    left.append(key[start : start + 1])
     return ids[np.concatenate(first)], ids[np.concatenate(second)], np.unique(np.concatenate(left))
 
 
@@ -320,12 +329,14 @@ def mixed_regions(company: DataFrame, labels: DataFrame) -> DataFrame:
     ``main`` is the label of most of a region's rows, ``strays`` the number of the others.
     """
     named = company.select("key", "cid").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
-    named = named.select("key", "cid", F.coalesce("label", "cid").alias("label"))
+    salt = F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int").alias("salt")
+    named = named.select("key", "cid", F.coalesce("label", "cid").alias("label"), salt)
     per_label = named.groupBy("key", "label").agg(F.count("*").alias("c"))
     per = per_label.groupBy("key").agg(
         F.sum("c").alias("rows"), (F.sum("c") - F.max("c")).alias("strays"), F.max_by("label", F.struct("c", "label")).alias("main")
     )
-    return named.join(per.where("strays > 0"), "key")
+    salted = per.where("strays > 0").withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return named.join(salted, ["key", "salt"]).drop("salt")
 
 
 def crowded() -> Column:
@@ -336,9 +347,9 @@ def crowded() -> Column:
 def cells(mixed: DataFrame, last: bool) -> DataFrame:
     """(cell, cid, label, asked): what is compared in one task, ``asked`` rows with all of a cell.
 
-    A region of up to REGION rows is one cell. In a larger one with fewer strays, the rows of the main
-    label are dealt into cells and each stray asks in all of them. Others are left to the next level;
-    at the last one each pair of their blocks is a cell.
+    A region of up to REGION rows is one cell, in which the strays ask. In a larger one with fewer
+    strays, the rows of the main label are dealt into cells and each stray asks in all of them. Others
+    are left to the next level; at the last one each pair of their blocks is a cell.
     """
     blocks = F.ceil(F.col("rows") / REGION).cast("int")
     own = F.pmod(F.xxhash64("cid", F.lit(3)), blocks).cast("int")
@@ -349,43 +360,41 @@ def cells(mixed: DataFrame, last: bool) -> DataFrame:
         pairs = F.transform(every, lambda j: (F.least(own, j) * blocks + F.greatest(own, j)).cast("int"))
         to = to.otherwise(pairs)
     rows = mixed if last else mixed.where(~crowded())
-    asked = (F.col("rows") <= REGION) | stray | crowded()
     cell = F.when(F.col("rows") <= REGION, F.col("key")).otherwise(F.xxhash64("key", "block"))
-    rows = rows.select("key", "cid", "label", "rows", asked.alias("asked"), F.explode(to).alias("block"))
+    rows = rows.select("key", "cid", "label", "rows", stray.alias("asked"), F.explode(to).alias("block"))
     return rows.select(cell.alias("cell"), "cid", "label", "asked")
 
 
-def pairs_of_cell(ids: np.ndarray, label: np.ndarray, asked: np.ndarray, alike: Alike, most: int) -> tuple[list, list, bool]:
-    """Like pairs of an asked row with rows of other labels, the ``most`` most alike of each; whether there are more."""
-    out_a, out_b, more = [], [], False
+def pairs_of_cell(ids: np.ndarray, label: np.ndarray, asked: np.ndarray, alike: Alike) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Like pairs of the asked rows with rows of other labels; a label with more than FEW of them is asked for instead."""
+    pairs, asks = [], []
     at = np.arange(len(ids))
     for i in np.flatnonzero(asked).tolist():
         others = at[(label != label[i]) & (~asked | (at < i))]
-        like, same = alike(others, i)
-        found = others[like]
-        if len(found) > most:
-            more = True
-            found = found[np.argsort(-same[like], kind="stable")[:most]]
-        out_a.append(np.minimum(ids[found], ids[i]))
-        out_b.append(np.maximum(ids[found], ids[i]))
-    return out_a, out_b, more
+        others = others[alike(others, i)[0]]
+        for name in np.unique(label[others]).tolist():
+            found = ids[others[label[others] == name]].tolist()
+            if len(found) > FEW:
+                asks.append((int(ids[i]), name))
+            else:
+                pairs += [(min(x, int(ids[i])), max(x, int(ids[i]))) for x in found]
+    return pairs, asks
 
 
-def pairs_of_cells(cells: DataFrame, classes: DataFrame, percent: int, most: int) -> DataFrame:
-    """Like pairs between labels of each cell, and the cells that hold more."""
+def pairs_of_cells(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Like pairs (a, b) between labels of each cell, and asks (a, left) of a row for a label."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, ids, label, asked, size, words in whole_regions(batches):
             edge = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            a, b, left = [key[:0]], [key[:0]], []
+            rows: set[tuple] = set()
             for lo, hi in zip(edge, edge[1:]):
                 own = slice(lo, hi)
-                found = pairs_of_cell(ids[own], label[own], asked[own], Alike(size[own], words[own], percent), most)
-                a += found[0]
-                b += found[1]
-                if found[2]:
-                    left.append(int(key[lo]))
-            yield _found(np.concatenate(a), np.concatenate(b), np.array(left, dtype=np.int64))
+                pairs, asks = pairs_of_cell(ids[own], label[own], asked[own], Alike(size[own], words[own], percent))
+                rows.update((a, b, None) for a, b in pairs)
+                rows.update((a, None, name) for a, name in asks)
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "left"])
 
     rows = with_halves(cells, classes).select("cell", "cid", "label", "asked", "size", "halves")
     rows = rows.repartition("cell").sortWithinPartitions("cell", "cid")
@@ -435,7 +444,7 @@ def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 fine.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    ends = edges.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    ends = edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct()
     members = stored(ends.join(classes.select("cid", "id", "h1", "h2"), "cid"), "members")
     sets = stored(full_sets(docs, members, words), "sets")
     x, y = (sets.select(F.col("cid").alias(end), F.col("own").alias(f"own_{end}")).hint("merge") for end in ("a", "b"))
@@ -443,41 +452,106 @@ def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return map_batches(both, check, "a long, b long", rows=64)
 
 
+class Postings:
+    """The sets of some rows by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner = values[order], owner[order]
+
+    def common(self, own: np.ndarray) -> np.ndarray:
+        """How many shingles each row has in common with a set."""
+        lo, hi = (np.searchsorted(self.values, own, side=side) for side in ("left", "right"))
+        many = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
+
+
+def answered(asks: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b): of each ask (cid, label), one with a row of the label, if there is any, on full sets.
+
+    The rows of a label are dealt into blocks of about REGION, its askers into lots of about ASKERS;
+    each pair of a block and a lot is a task's work, however large label and lots are.
+    """
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, sets, index = None, [], [], None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for c, asker, cid, raw in zip(*(x.to_pylist() for x in batch.columns)):
+                if c != cell:
+                    cell, ids, sets, index = c, [], [], None
+                own = np.frombuffer(raw, dtype=np.uint64)
+                if not asker:
+                    ids.append(cid)
+                    sets.append(own)
+                elif ids:
+                    index = index or Postings(sets)
+                    common = index.common(own)
+                    fine = 100 * common >= percent * (len(own) + index.sizes - common)
+                    if fine.any():
+                        found.append((cid, ids[int(fine.argmax())]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    per = asks.groupBy("label").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("lots"))
+    members = labels.withColumnRenamed("id", "cid").join(per, "label")
+    blocks = members.groupBy("label").agg(F.ceil(F.count("*") / REGION).cast("int").alias("blocks"), F.first("lots").alias("lots"))
+
+    def dealt(rows: DataFrame, asker: bool) -> DataFrame:
+        rows = rows.select("cid", "label").join(blocks, "label")
+        deal = lambda n: F.pmod(F.xxhash64("cid", F.lit(5)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        block, lot = (every("blocks"), deal("lots")) if asker else (deal("blocks"), every("lots"))
+        rows = rows.withColumn("block", block).withColumn("lot", lot)
+        return rows.select(F.xxhash64("label", "block", "lot").alias("cell"), F.lit(asker).alias("asker"), "cid")
+
+    rows = stored(dealt(members, False).unionByName(dealt(asks, True)), "cells")
+    sets = stored(full_sets(docs, rows.select("cid").distinct().join(classes.select("cid", "id", "h1", "h2"), "cid"), words), "sets")
+    rows = rows.join(sets.hint("merge"), "cid").select("cell", "asker", "cid", "own").repartition("cell")
+    return map_batches(rows.sortWithinPartitions("cell", "asker"), answer, "a long, b long", rows=64)
+
+
 def linked_labels(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, label) for every class that is linked with another; label is the smallest cid of its component."""
-    depth, orders = LEVELS[0]
-    company = stored(companies(classes, depth, orders), "company")
+
+    def joined(links: DataFrame) -> DataFrame:
+        links = stored(links, "links")
+        if links.isEmpty():
+            return labels
+        return components(links.unionByName(labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))))
+
+    company = stored(companies(classes, *LEVELS[0]), "company")
     found = edges_of_regions(company, classes, percent)
     if not company.where(F.col("rows") > REGION).isEmpty():
         found = found.unionByName(edges_of_runs(company, classes, percent))
     found = stored(found, "first")
-    tried = stored(found.where("a is not null").select("a", "b").distinct(), "edges")
+    tried = stored(found.where("b is not null").select("a", "b").distinct(), "edges")
     labels = components(confirmed(tried, classes, docs, words, percent))
     again = found.where("left is not null").select(F.col("left").alias("key")).distinct()
     left = company.join(again, "key", "left_semi").unionByName(company.where(F.col("rows") > REGION))
-    for k, (depth, orders) in enumerate(LEVELS):
+    for k in range(len(LEVELS)):
         last = k == len(LEVELS) - 1
-        most = FIRST_TRIED
-        while True:
-            mixed = stored(mixed_regions(left, labels), "mixed")
-            if mixed.isEmpty():
-                return labels
-            found = stored(pairs_of_cells(cells(mixed, last), classes, percent, most), "pairs")
-            new = found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-            new = stored(new, "edges")
-            if not new.isEmpty():
-                links = stored(confirmed(new, classes, docs, words, percent), "links")
-                tried = tried.unionByName(new)
-                if not links.isEmpty():
-                    stars = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
-                    labels = components(links.unionByName(stars))
-            if found.where("left is not null").isEmpty():
-                break
-            most *= MORE_TRIED
+        mixed = stored(mixed_regions(left, labels), "mixed")
+        if mixed.isEmpty():
+            return labels
+        found = stored(pairs_of_cells(cells(mixed, last), classes, percent), "pairs")
+        new = found.where("b is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        new = stored(new, "edges")
+        if not new.isEmpty():
+            labels = joined(confirmed(new, classes, docs, words, percent))
+            tried = tried.unionByName(new)
+        now = labels.select(F.col("id").alias("cid"), F.col("label").alias("own"))
+        asks = found.where("b is null").select(F.col("a").alias("cid"), F.col("left").alias("was")).distinct().join(now, "cid", "left")
+        asks = asks.join(labels.withColumnRenamed("id", "was"), "was", "left").select("cid", "own", F.coalesce("label", "was").alias("label"))
+        asks = stored(asks.where(~F.col("own").eqNullSafe(F.col("label"))).select("cid", "label").distinct(), "asks")
+        if not asks.isEmpty():
+            labels = joined(answered(asks, labels, classes, docs, words, percent))
         crowd = mixed.where(crowded()).select("cid").distinct()
         if last or crowd.isEmpty():
             return labels
-        # also rows in other labels' regions go on: a crowded region goes on whole
+        # also rows of the main label go on: a crowded region goes on whole
         left = stored(companies(classes.join(crowd, "cid", "left_semi"), *LEVELS[k + 1]), "company")
     return labels
 

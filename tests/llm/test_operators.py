@@ -454,8 +454,8 @@ def test_crowded_regions_part_by_depth(spark, monkeypatch):
 def test_large_regions_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(neardup, "REGION", 6)  # also those with strays, and pairs of blocks at the last level
     monkeypatch.setattr(neardup, "RUN", 4)
+    monkeypatch.setattr(neardup, "ASKERS", 3)
     monkeypatch.setattr(neardup, "LEVELS", ((4, 32), (6, 64)))
-    monkeypatch.setattr(neardup, "FIRST_TRIED", 2)
     rows = copies(11, groups=2, size=40) + [(1000 + i, t) for i, (_, t) in enumerate(copies(12))]
     out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
     assert {o.doc_id: (o.n_shingles, o.component_id) for o in out} == brute_components(rows, 2)
@@ -478,7 +478,7 @@ def alike_pairs(size, words):
             x = halves[i] ^ halves[j]
             same = int((x >> 4 == 0).sum() + (x & 15 == 0).sum())
             if same >= neardup.least_equal(80) and 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j]):
-                yield j, i
+                yield j, i, same
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -487,23 +487,33 @@ def test_regions_give_every_row_its_first_edge(seed):
     size, words = signed_rows(seed, 60)
     key = np.sort(r.choice([3, 5, 5, 5, 9, 11], 60))  # regions of few and of many rows
     a, b, left = neardup.first_edges(key, np.arange(60), neardup.Alike(size, words, 80))
-    pairs = [(i, j) for i, j in alike_pairs(size, words) if key[i] == key[j]]
-    first = {j: min(i for i, k in pairs if k == j) for _, j in pairs}
+    pairs = {(i, j): same for i, j, same in alike_pairs(size, words) if key[i] == key[j]}
+    first = {j: max((i for i, k in pairs if k == j), key=lambda i: (pairs[i, j], -i)) for _, j in pairs}
     assert dict(zip(b.tolist(), a.tolist())) == first and len(b) == len(first)
     assert set(left.tolist()) == {int(key[j]) for i, j in pairs if first[j] != i}
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_cells_give_all_pairs_between_labels(seed):
+def test_cells_give_all_pairs_between_labels(seed, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 1)
     r = np.random.default_rng(seed)
     size, words = signed_rows(seed, 50)
     label, asked, ids = r.integers(0, 6, 50), r.random(50) < 0.6, r.permutation(1000)[:50]
-    want = {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in alike_pairs(size, words) if label[i] != label[j] and (asked[i] or asked[j])}
-    a, b, more = neardup.pairs_of_cell(ids, label, asked, neardup.Alike(size, words, 80), 1000)
-    got = list(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist()))
-    assert set(got) == want and len(got) == len(want) and not more
-    a, b, more = neardup.pairs_of_cell(ids, label, asked, neardup.Alike(size, words, 80), 1)
-    assert more and set(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist())) <= want
+    want = {(i, j) for i, j, _ in alike_pairs(size, words) if label[i] != label[j] and (asked[i] or asked[j])}
+    pairs, asks = neardup.pairs_of_cell(ids, label, asked, neardup.Alike(size, words, 80))
+    at = {int(x): k for k, x in enumerate(ids)}
+    got = {tuple(sorted((at[x], at[y]))) for x, y in pairs}
+    assert got <= want and len(pairs) == len(got)
+    for i, j in want - got:  # covered by an ask of either for the other's label
+        assert (int(ids[i]), label[j]) in asks or (int(ids[j]), label[i]) in asks
+
+
+def test_postings_count_what_is_common():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 30))).astype(np.uint64) for _ in range(25)]
+    index = neardup.Postings(sets)
+    for own in sets:
+        assert index.common(own).tolist() == [len(np.intersect1d(own, x)) for x in sets]
 
 
 def test_signatures_estimate_likeness():
