@@ -33,11 +33,15 @@ def centroids(labelled: DataFrame, label: str, vector: str = "embedding") -> Dat
 
 
 def nearest_centroid(df: DataFrame, cents: DataFrame, id: str = "id", vector: str = "embedding") -> DataFrame:
-    """V5: (id, label, score) of the nearest centroid; the smaller label wins ties. One centroid per label is broadcast."""
-    pairs = df.select(F.col(id).alias("id"), normalised(F.col(vector)).alias("v")).crossJoin(F.broadcast(cents))
-    score = dot(F.col("v"), normalised(F.col("centroid")))
-    best = pairs.select("id", "label", score.alias("score"))
-    top = best.groupBy("id").agg(F.max(F.struct("score", (-F.col("label")).alias("minus"))).alias("top"))
+    """V5: (id, label, score) of the nearest centroid; the smaller label wins ties.
+
+    All centroids, one per label, go to each row as one array, so rows are neither multiplied nor shuffled.
+    """
+    unit = cents.select("label", normalised(F.col("centroid")).alias("c"))
+    table = unit.agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("all"))  # one row
+    rows = df.select(F.col(id).alias("id"), normalised(F.col(vector)).alias("v")).crossJoin(F.broadcast(table))
+    scored = F.transform("all", lambda x: F.struct(dot(F.col("v"), x["c"]).alias("score"), (-x["label"]).alias("minus")))
+    top = rows.select("id", F.array_max(scored).alias("top")).where("top is not null")
     return top.select("id", (-F.col("top.minus")).alias("label"), F.col("top.score").alias("score"))
 
 

@@ -89,13 +89,19 @@ def split_prefix(df: DataFrame, name: str, kb: DataFrame) -> DataFrame:
     return out.drop(*[f"_{k}_{x}" for k in tries for x in ("market", "conf", "how")])
 
 
+def product_key(x: Column) -> Column:
+    """The lookup form of a product name on both sides of the inversion: no white space, lower case."""
+    return surface_key(x)
+
+
 def inverted(df: DataFrame, product: str, specs: DataFrame, registry: DataFrame | None = None, excluded: list[str] = ()) -> DataFrame:
     """Adds ``inverted_market`` and ``inverted_how`` from the product's only owner.
 
-    ``specs`` and ``registry`` are (key, owner) tables of A15; a product known to the first, even
-    ambiguously, is not looked up in the second; excluded names resolve to nothing.
+    ``specs`` and ``registry`` are (key, owner) tables of A15 over ``product_key``; a product known to
+    the first, even ambiguously, is not looked up in the second; excluded names, compared by the same
+    key, and blank ones resolve to nothing.
     """
-    df = df.withColumn("_p", tag_key(F.col(product)))
+    df = df.withColumn("_p", product_key(F.col(product)))
     first = specs.select(F.col("key").alias("_p"), F.col("owner").alias("_o1"), F.lit(True).alias("_k1"))
     df = df.join(first, "_p", "left")
     if registry is not None:
@@ -103,7 +109,9 @@ def inverted(df: DataFrame, product: str, specs: DataFrame, registry: DataFrame
         df = df.join(second, "_p", "left")
     else:
         df = df.withColumn("_o2", F.lit(None).cast("string"))
-    out = F.col("_p").isin(*[k.lower() for k in excluded]) if excluded else F.lit(False)
+    out = F.coalesce(F.col("_p") == "", F.lit(True))
+    if excluded:
+        out = out | F.col("_p").isin(*[product_key(F.lit(k)) for k in excluded])
     known = F.coalesce("_k1", F.lit(False))
     market = F.when(~out, F.when(known, F.col("_o1")).otherwise(F.col("_o2")))
     how = F.when(market.isNotNull(), F.when(known, "inversion_spec").otherwise("inversion_registry"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import lexicon as L
 from tallyglass.functions.rules import has_any, is_non_product_label, is_non_product_word
-from tallyglass.functions.text import excerpt, hashtags, render_review, tag_key, text_of, tokens
+from tallyglass.functions.text import excerpt, hashtags, product_hashtags, render_review, tag_key, text_of, tokens
 from tallyglass.operators import linking, merge
 
 C = L.CONFIDENCE
@@ -50,9 +50,15 @@ def plan_offtopic(reviews: DataFrame, specs: DataFrame, topic_terms: list[str],
     return rest.select("id", "product", F.lit(True).alias("dropped"))
 
 
-def plan_instagram_names(reviews: DataFrame, posts: DataFrame, layer1: Column, registry: Column, excluded: Column) -> DataFrame:
-    """U8: new product names from a post's hashtags; rows that land on one name fold to the richest."""
-    tags = posts.select("post_id", hashtags(F.col("caption")).alias("tags"))
+def plan_instagram_names(
+    reviews: DataFrame, posts: DataFrame, layer1: Column, registry: Column, excluded: Column, own_tags: str | None = None
+) -> DataFrame:
+    """U8: new product names from a post's product hashtags; rows that land on one name fold to the richest.
+
+    Generic tags name no product (X6), nor do the market's own (X7), the keys in the posts' array column ``own_tags``.
+    """
+    own = F.coalesce(F.col(own_tags), F.array().cast("array<string>")) if own_tags else ()
+    tags = posts.select("post_id", product_hashtags(F.col("caption"), own).alias("tags"))
     rows = reviews.join(tags, "post_id")
     keep = F.exists("tags", lambda t: tag_key(t) == tag_key(F.col("product")))
     claimed = rows.where(keep).groupBy("post_id").agg(F.collect_set("product").alias("claimed"))
@@ -124,7 +130,7 @@ def plan_inversion(reviews: DataFrame, specs: DataFrame, registry: DataFrame, ca
     if tier not in known:
         raise ValueError(f"unknown tier: {tier}")
     rows = reviews.where("market is null and product is not null and coalesce(market_confidence, 0) = 0").where(F.col("source").isin(*sources))
-    own = lambda df: linking.owners(df, tag_key(F.col("product")), "market")
+    own = lambda df: linking.owners(df, linking.product_key(F.col("product")), "market")
     rows = linking.inverted(rows, "product", own(specs), own(registry), list(excluded))
     rows = rows.join(captions.select(F.col("id").alias("post_id"), "caption_market"), "post_id", "left").where("inverted_market is not null")
     if tier:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyglass.functions.text import tag_key
+
 
 def all_set(key: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
@@ -65,10 +67,11 @@ def richest_fold(rows: DataFrame, key: list[str], score: str, id: str) -> DataFr
 
 
 def fold_by_product(items: DataFrame, doc: str, name: str, fingerprint: str, score: str, pos: str) -> DataFrame:
-    """One item per document and product, the richest, at the place of the first; items without a
-    product fold only with an equal fingerprint and a score above zero."""
-    named = F.col(name).isNotNull()
-    key = F.when(named, F.concat(F.lit("n:"), F.col(name))).when(F.col(score) > 0, F.concat(F.lit("h:"), F.col(fingerprint)))
+    """One item per document and product (names compared without white space, ``_``, ``.`` and case), the
+    richest, at the place of the first; items without a product fold only with an equal fingerprint and a
+    score above zero."""
+    named = F.col(name).isNotNull() & (F.col(name) != "")
+    key = F.when(named, F.concat(F.lit("n:"), tag_key(F.col(name)))).when(F.col(score) > 0, F.concat(F.lit("h:"), F.col(fingerprint)))
     key = F.coalesce(key, F.concat(F.lit("p:"), F.col(pos).cast("string")))
     w = Window.partitionBy(doc, "_key")
     rows = items.withColumn("_key", key).withColumn("_first", F.min(pos).over(w))

@@ -26,9 +26,9 @@ def platform_of(source: str = "source") -> Column:
     return F.coalesce(names[F.col(source)], F.col(source), F.lit("unknown"))
 
 
-def records(reviews: DataFrame, market: str, product: str | None = None) -> DataFrame:
-    """A market's (and product's) reviews with platform and piece key parts, in id order."""
-    rows = reviews.where(F.col("market") == market)
+def records(reviews: DataFrame, market: str | None, product: str | None = None) -> DataFrame:
+    """A market's (and product's) reviews with platform and piece key parts; without a market, of all."""
+    rows = reviews if market is None else reviews.where(F.col("market") == market)
     if product is not None:
         rows = rows.where(F.col("product") == product)
     return rows.withColumns(
@@ -36,7 +36,7 @@ def records(reviews: DataFrame, market: str, product: str | None = None) -> Data
             "platform": platform_of(), "url": F.col("source_ref.url"),
             "piece": F.coalesce("source_ref.comment_no", "source_ref.shortcode"),
         }
-    ).orderBy("id")
+    )
 
 
 def attribute_rows(rows: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def order_view_for(reviews: DataFrame, market: str) -> DataFrame:
     return consolidate.order_view(genuine, market, PIECE, ["id"])
 
 
-def list_reviews(reviews: DataFrame, market: str, product: str | None, sort: str = "", limit: int = 100) -> DataFrame:
+def list_reviews(reviews: DataFrame, market: str | None, product: str | None, sort: str = "", limit: int = 100) -> DataFrame:
     """Display rows of the review list: each piece once, then the limit over all platforms together."""
     rows = records(reviews, market, product).withColumns(
         {"sentiment": F.col("overall_sentiment"), "key": F.to_json(piece_key(F.col("platform"), F.col("url"), F.col("piece")))}
@@ -144,7 +144,7 @@ def page(kb: DataFrame, specs: DataFrame, reviews: DataFrame, summaries: DataFra
         )
         scope = F.when(F.col("criterion").isin(*L.MARKET_CRITERIA), "market").otherwise("product")
         rows = consolidate.summary_rows(consolidate.axis_payload(cells(product), cells(None), ["criterion"], scope))
-    listed = list_reviews(reviews, word, product, limit=limit) if word else list_reviews(reviews.where(F.col("product") == product), "", None, limit=limit)
+    listed = list_reviews(reviews, word, (product or "").strip() or None, limit=limit)
     return Page(word, view, rows, listed)
 
 
