@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import numbers, rules, text
 from tallyglass.operators import consolidate, evaluate, gate, linking, merge, registry, retrieval, threads
+from tallyglass.plans import literals
 from tallyglass.sources import pages
 from tallyglass.streaming import incremental, windows
 
@@ -747,3 +748,6 @@ def list_products(spark, sf):
     """R2, R14."""
     return table(spark, sf, "part").where("p_brand = 'Brand#12'").select("p_partkey", "p_name").orderBy("p_name", "p_partkey")
 
+
+QUERIES |= literals.QUERIES
+ORACLES |= literals.ORACLES
