@@ -35,6 +35,25 @@ def thread_no(explicit: Column, parent: Column, url: Column) -> Column:
     return F.coalesce(explicit, parent, F.nullif(F.regexp_extract(text_of(url), r"[?&]no=(\d+)", 1), F.lit("")))
 
 
+def source_ref(platform: str, url: Column, thread: Column, comment_no: Column, ordinal: Column, shortcode: Column | None = None) -> Column:
+    """Where a piece can be read again, NULL without a usable address. The place in its thread
+    (``ordinal``, NULL for posts) stands in only where a comment has no number."""
+    forum = platform == "dcinside"
+    null = F.lit(None).cast("string")
+    fields = {
+        "platform": F.lit(platform), "url": clean_url(url), "thread_no": thread_no(thread, null, clean_url(url)) if forum else null,
+        "comment_no": comment_no.cast("string") if forum else null,
+        "ordinal": F.when(comment_no.isNull(), ordinal.cast("int")) if forum else null.cast("int"),
+        "shortcode": null if forum or shortcode is None else shortcode,
+    }
+    return F.when(clean_url(url).isNotNull(), F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+
+def permalink(ref: Column) -> Column:
+    """The address to show for a ``source_ref``; NULL where there is none."""
+    return clean_url(ref["url"])
+
+
 def rewritten_post_id(post_id: Column, comment_no: Column) -> Column:
     """Ids of the older ``…#cmt<i>`` shape carry the comment's own number instead."""
     old = post_id.rlike(r"#cmt")

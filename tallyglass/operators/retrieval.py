@@ -6,14 +6,15 @@ nothing else is cut except by ``cap``, a parameter of sparse search that is off
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyglass.functions import lexicon as L
-from tallyglass.functions.numbers import cosine
+from tallyglass.functions.numbers import cosine, permalink
 from tallyglass.functions.rules import metafilter
 
 
@@ -97,3 +98,32 @@ def context(hits: DataFrame, text: str = "evidence") -> DataFrame:
         F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("context"),
         F.transform("items", lambda x: x["id"]).alias("citations"),
     )
+
+
+def hits(df: DataFrame, fused: DataFrame, id: str = "id") -> DataFrame:
+    """The rows of a fused list with their rank and score; the list has at most k rows."""
+    return df.join(F.broadcast(fused.select(F.col("id").alias(id), "rank", "rrf")), id)
+
+
+def answer(found: DataFrame, question: str, complete: Callable[[str], str]) -> DataFrame:
+    """One row (answer, citations) from the hits alone (rank, source, market, product, evidence, source_ref).
+
+    The model gets the question and one numbered line per hit that names its source, so that sources can be told
+    apart; citations carry the same numbers and an address, NULL where there is none. Without hits it is not asked.
+    """
+
+    @F.pandas_udf("string")
+    def call(prompts: pd.Series) -> pd.Series:
+        return prompts.map(complete)
+
+    said = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    n = (F.col("rank") + 1).cast("int")
+    head = F.concat(F.lit("["), n.cast("string"), F.lit("] (source="), said("source"), F.lit(", market="), said("market"), F.lit(", product="), said("product"), F.lit(") "))
+    cited = F.struct(n.alias("n"), "source", "market", "product", "evidence", permalink(F.col("source_ref")).alias("url"))
+    rows = found.select(F.struct(n.alias("n"), F.concat(head, said("evidence")).alias("line"), cited.alias("cited")).alias("hit"))
+    one = rows.agg(F.sort_array(F.collect_list("hit")).alias("hits"))  # at most k hits
+    prompt = F.concat(F.lit(question + "\n\n"), F.array_join(F.transform("hits", lambda h: h["line"]), "\n"))
+    one = one.select(prompt.alias("prompt"), F.transform("hits", lambda h: h["cited"]).alias("citations"))
+    some = F.size("citations") > 0
+    asked = one.where(some).select(call.asNondeterministic()(F.col("prompt")).alias("answer"), "citations")
+    return asked.unionByName(one.where(~some).select(F.lit(L.NO_EVIDENCE).alias("answer"), "citations"))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass import schema
 from tallyglass.functions import rules
-from tallyglass.functions.numbers import dc_post_id
+from tallyglass.functions.numbers import dc_post_id, filled_score, held_fingerprint, source_ref, thread_no
 from tallyglass.functions.text import hashtags, is_all_jamo, product_hashtags, render_review, squeezed, tag_key, tokens
-from tallyglass.operators import gate, hooks, linking, merge
+from tallyglass.operators import gate, hooks, linking, merge, threads
 from tallyglass.streaming import incremental
 
 
@@ -66,16 +67,109 @@ def ingest(
     names = known if known is not None else spark.createDataFrame([([],)], "names array<string>")
     items = keep_items(items, "text", names, vocabulary)
     linked = linking.link(
-        items.withColumns({"item_market": F.col("mentioned_market"), "product": F.col("mentioned_product")}), kb, linking.owners(specs, tag_key(F.col("product")), "market")
+        items.withColumns({"item_market": F.col("mentioned_market"), "product": F.col("mentioned_product")}), kb, spec_owners(specs)
     )
-    null = F.lit(None).cast("string")
-    shown = render_review(
-        F.struct("market", "product", F.col("scent.notes").alias("scent"), F.col("texture.notes").alias("texture"), F.col("sound.notes").alias("sound"),
-                 F.col("longevity.notes").alias("longevity"), "summary", F.col("firsthand_evidence").alias("evidence"), F.coalesce("sentiment", null).alias("sentiment"))
-    )
-    linked = linked.withColumn("evidence", shown).withColumn("tokens", tokens(F.col("evidence")))
     counters = gate.gate_counters(gated, budget)
-    return Ingested(linked, gated, counters)
+    return Ingested(rendered(linked), gated, counters)
+
+
+def spec_owners(specs: DataFrame) -> DataFrame:
+    """A15 over the specs' product names, by the key that links look up."""
+    return linking.owners(specs, linking.product_key(F.col("product")), "market")
+
+
+def rendered(linked: DataFrame) -> DataFrame:
+    """Adds the evidence line of each linked item and its tokens."""
+    notes = [F.col(f"{a}.notes").alias(a) for a in ("scent", "texture", "sound", "longevity")]
+    line = render_review(F.struct("market", "product", *notes, "summary", F.col("firsthand_evidence").alias("evidence"), "sentiment"))
+    return linked.withColumn("evidence", line).withColumn("tokens", tokens(F.col("evidence")))
+
+
+def answered(extract: Callable[[str], list[dict]]) -> Callable[[str], list[dict]]:
+    """``extract`` whose failure on a batch loses that batch alone: one item at place -1 stands for it."""
+
+    def call(block: str) -> list[dict]:
+        try:
+            return extract(block)
+        except Exception:  # noqa: BLE001  any failure of an injected model; counted, and tried again by the next run
+            return [{"place": -1}]
+
+    return call
+
+
+def ingest_threads(
+    pieces: DataFrame, seen: DataFrame, kb: DataFrame, specs: DataFrame, extract: Callable[[str], list[dict]] | None, budget: int,
+    source: str = "amos", platform: str = "dcinside", revisit: DataFrame | None = None, registry: DataFrame | None = None,
+    known: DataFrame | None = None, vocabulary: DataFrame | None = None, store: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> Ingested:
+    """One run over thread pieces (anchor, batch, pos, thread_no, type, comment_no, ordinal, url, text, topic_score).
+
+    In this order: the anchors' watermarks (G1), the gate and its budget, the seen cut that leaves a seen
+    post as context of new comments (J10b), batches of a thread with the post in front (W8), one call a
+    batch, the post's market for pieces that name none (J20), evidence and name rules, the fold by
+    product (W7), linking, rendering. ``seen`` is (source, post_id, anchor, thread_no) of the rows there are.
+
+    ``extract`` gets a block of numbered pieces and returns items with ``place``, ``doc_market`` and an
+    item's fields, a piece with a market and no review as an item without evidence; without it the run
+    is dry: no rows, and the counters that need no call. ``store`` should write and read back the
+    gate's rows and the answers, so that no call is made twice. A piece without a thread number is a
+    thread of its own; a comment without a number is context only, as its id would not be stable.
+    Counters are long: (counter, n).
+    """
+    marks = incremental.watermarks(seen.where(F.col("source") == source), ["anchor"], "thread_no")
+    rows = incremental.above(pieces, marks, ["anchor"], F.col("thread_no").cast("long"), revisit)
+    rows = gate.verdicts(gate.signals(rows, "text"), platform, "text")
+    gated = store(gate.budget(rows, budget, rank=[F.desc("e_bucket"), F.desc("bias_hold"), F.desc("topic_score")]))
+    is_post = F.col("type") == "post"
+    number = F.when(~is_post, F.col("comment_no"))
+    post_id = F.when(is_post | number.isNotNull(), dc_post_id(F.col("url"), number))
+    own = F.concat_ws(":", F.lit("piece"), "batch", "pos")
+    chosen = gated.where("emitted").select(
+        F.lit(source).alias("source"), post_id.alias("post_id"), F.coalesce(thread_no(F.col("thread_no"), F.lit(None), F.col("url")), own).alias("thread"),
+        is_post.alias("is_post"), F.struct(~is_post, "ordinal", "comment_no", "batch", "pos").alias("place_key"), "text",
+        source_ref(platform, F.col("url"), F.col("thread_no"), number, F.when(~is_post, F.col("ordinal"))).alias("source_ref"), "anchor",
+    )
+    given = incremental.fresh_with_context(chosen, seen, ["source", "post_id"], "thread", "is_post").withColumnRenamed("is_context", "is_seen")
+    chunks = threads.thread_chunks(given, "thread", "place_key", "is_post")
+    calls = lambda df: threads.thread_groups(df, "thread", "is_post").agg(F.coalesce(F.sum("n_calls"), F.lit(0)).alias("n"))
+    every = F.lit(True)
+    counters = [
+        counted(pieces, collected=every), counted(gated, above_mark=every, emitted=F.col("emitted"), gate_unprocessed=F.col("unprocessed")),
+        counted(chosen.join(seen.select("source", "post_id").distinct(), ["source", "post_id"], "left_semi"), skipped_seen=every),
+        counted(given, context_posts=F.col("is_seen"), skipped_no_comment_no=F.col("post_id").isNull()),
+        calls(given).select(F.lit("calls").alias("counter"), "n"), calls(chosen).select(F.lit("calls_without_cut").alias("counter"), "n"),
+    ]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in item_type().fields)
+    if extract is None:
+        empty = pieces.sparkSession.createDataFrame([], f"post_id string, {fields}")
+        return Ingested(empty, gated, union(counters))
+    blocks = threads.prompt_blocks(chunks, "thread", "text").withColumn("at", F.struct("thread", "chunk"))
+    answers = store(hooks.extract_items(blocks, "at", "block", answered(extract), f"place long, doc_market string, {fields}"))
+    items = answers.select("id.thread", "id.chunk", *[c for c in answers.columns if c != "id"])
+    items = items.join(chunks.where("not is_context"), ["thread", "chunk", "place"])
+    items = threads.inherit_market(items, "thread", "is_post", "doc_market", "place_key")
+    items = items.where("post_id is not null and not is_seen")
+    heirs = items.where("inherited").select("post_id").distinct()
+    counters += [counted(answers, failed_calls=F.col("place") == -1), counted(heirs, market_inherited=every)]
+    names = known if known is not None else pieces.sparkSession.createDataFrame([([],)], "names array<string>")
+    items = keep_items(items, "text", names, vocabulary)
+    held = [F.col(f.name) for f in item_type().fields if f.name != "mentioned_product"]
+    parts = [F.col(a) for a in ("scent", "texture", "sound", "longevity")]
+    items = items.withColumns({"score": filled_score(parts, F.col("summary"), F.col("stated_rating")), "_print": held_fingerprint(F.struct(*held))})
+    items = merge.fold_by_product(items, "post_id", "mentioned_product", "_print", "score", "pos").drop("_print")
+    items = items.withColumns({"item_market": F.col("mentioned_market"), "product": F.col("mentioned_product")})
+    linked = linking.link(items, kb, spec_owners(specs), registry)
+    return Ingested(rendered(linked).drop("place_key", "is_context", "is_seen"), gated, union(counters))
+
+
+def counted(df: DataFrame, **of: Column) -> DataFrame:
+    """(counter, n): how many rows meet each condition, from one pass."""
+    one = df.agg(*[F.count_if(c).alias(k) for k, c in of.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("counter"), F.col(k).alias("n")) for k in of])).alias("c")).select("c.*")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def seller_specs(posts: DataFrame, extract: Callable[[str], list[dict]], fields: list[str]) -> DataFrame:

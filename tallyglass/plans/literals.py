@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tallyglass.functions import numbers as N
 from tallyglass.functions import rules as R
 from tallyglass.functions import text as X
-from tallyglass.operators import evaluate, gate, hooks, linking, maintenance, merge, threads
-from tallyglass.plans import views
+from tallyglass.operators import evaluate, gate, hooks, linking, maintenance, merge, retrieval, threads
+from tallyglass.plans import ingest, views
 from tallyglass.sources import pages
 from tallyglass.streaming import incremental
 
@@ -581,3 +581,78 @@ def search_terms(spark, sf):
 def path_keys(spark, sf):
     """X22."""
     return spark.createDataFrame([(i, X.safe_key(k)) for i, k in enumerate(["a/b", " 늪지-1.x ", "..", None])], "i int, k string")
+
+
+# --- whole runs
+
+THREADS = [  # anchor, batch, pos, thread, type, comment, ordinal, url, text
+    ("쿠키", 1, 0, "600", "post", None, 0, "https://g/?no=600", "쿠키 옛 글 좋음"), ("쿠키", 1, 1, "900", "post", None, 0, "https://g/?no=900", "연찌 글 쿠키 색이 좋음"),
+    ("쿠키", 1, 2, "900", "comment", "5", 1, "https://g/?no=900", "쿠키 쫀득하고 좋음"), ("쿠키", 1, 3, "900", "comment", None, 2, "https://g/?no=900", "쿠키 최고로 좋음"),
+    ("쿠키", 1, 4, "900", "comment", "6", 3, "https://g/?no=900", "완장 뭐함"), ("쿠키", 1, 5, "950", "post", None, 0, "https://g/?no=950", "boom 빵 좋음"),
+    ("쿠키", 1, 6, "960", "post", None, 0, "https://g/?no=960#top", "ㅂㅉ 빵 말랑하고 좋음"), ("빵", 1, 7, "10", "post", None, 0, "https://g/?no=10", "빵 얘기 없이 좋다고 들었"),
+]
+
+
+def thread_run(spark: SparkSession, dry: bool = False) -> ingest.Ingested:
+    pieces = spark.createDataFrame([(*r, 0.9) for r in THREADS], "anchor string, batch int, pos int, thread_no string, type string, comment_no string, ordinal int, url string, text string, topic_score double")
+    seen = [("amos", "https://g/?no=600", "쿠키", "600"), ("amos", "https://g/?no=900", "쿠키", "900")]
+    seen = spark.createDataFrame(seen, "source string, post_id string, anchor string, thread_no string")
+    fields = dict.fromkeys(f.name for f in ingest.item_type().fields)
+
+    def extract(block: str) -> list[dict]:
+        if "boom" in block:
+            raise RuntimeError("down")
+        out = []
+        for line in block.split("\n"):
+            place, text = line[1:].split("] ", 1)
+            at = {"place": int(place), "doc_market": "연찌" if "연찌 글" in text else None}
+            name = "쿠키" if "쿠키" in text else "ㅂㅉ 빵"
+            out += [fields | at | {"mentioned_product": name, "firsthand_evidence": text}, fields | at | {"mentioned_product": name, "firsthand_evidence": text, "summary": "좋아요"}]
+        return out
+
+    return ingest.ingest_threads(pieces, seen, knowledge(spark), spec_rows(spark), None if dry else extract, 10, store=DataFrame.persist)
+
+
+@query(stated("post_id VARCHAR, market VARCHAR, confidence DOUBLE, provenance VARCHAR, product VARCHAR, evidence VARCHAR, url VARCHAR, comment_no VARCHAR", [
+    ("https://g/?no=900:5", "연찌", 0.75, "inherit", "쿠키", "[연찌] / 쿠키 / 총평 좋아요", "https://g/?no=900", "5"),
+    ("https://g/?no=960#top", "빈짱", 0.82, "prefix_choseong", "빵", "[빈짱] / 빵 / 총평 좋아요", "https://g/?no=960", None)]))
+def thread_ingestion(spark, sf):
+    """R21, with G1, F25, W1, J10b, W8, J20, F14, W7, N4, J5 and X12 in one run."""
+    rows = thread_run(spark).rows
+    return rows.select("post_id", "market", "confidence", "provenance", "product", "evidence", "source_ref.url", "source_ref.comment_no")
+
+
+COUNTED = [("collected", 8), ("above_mark", 7), ("emitted", 6), ("gate_unprocessed", 0), ("skipped_seen", 1), ("context_posts", 1), ("skipped_no_comment_no", 1), ("calls", 4), ("calls_without_cut", 4)]
+
+
+@query(stated("counter VARCHAR, n BIGINT", [*COUNTED, ("failed_calls", 1), ("market_inherited", 1)]))
+def thread_ingestion_counters(spark, sf):
+    """A failing call loses its batch alone and is counted."""
+    return thread_run(spark).counters
+
+
+@query(stated("counter VARCHAR, n BIGINT", COUNTED))
+def dry_ingestion_counters(spark, sf):
+    """What a run would do, without a call."""
+    return thread_run(spark, dry=True).counters
+
+
+FOUND = [(1, "amos", "연찌", "쿠키", "향이 좋다", "https://g/?no=1#c", [1.0, 0.0], ["향"]), (2, "instagram", "늪지", None, "색", None, [0.9, 0.1], ["색"]),
+         (3, "instagram", None, "빵", "쿠키 맛", "https://www.instagram.com/p/B/", [0.0, 1.0], ["쿠키", "맛"])]
+
+
+@query(stated("asked VARCHAR, answer VARCHAR, citations VARCHAR", [
+    ("all", "Q\n\n[1] (source=amos, market=연찌, product=쿠키) 향이 좋다\n[2] (source=instagram, market=None, product=빵) 쿠키 맛", "1 amos https://g/?no=1|2 instagram https://www.instagram.com/p/B/"),
+    ("none", "근거가 될 후기를 찾지 못했어요.", "")]))
+def grounded_answer(spark, sf):
+    """The model's prompt, told back, and the citations; nothing found is said without a call."""
+    ref = "struct<platform:string,url:string,thread_no:string,comment_no:string,ordinal:int,shortcode:string>"
+    rows = [(*r[:5], ("p", r[5], None, None, None, None), *r[6:]) for r in FOUND]
+    df = spark.createDataFrame(rows, f"id int, source string, market string, product string, evidence string, source_ref {ref}, embedding array<float>, tokens array<string>")
+
+    def asked(name: str, filters: dict | None) -> DataFrame:
+        found = retrieval.hits(df, retrieval.search(df, [1.0, 0.0], ["쿠키"], filters, k=2))
+        shown = F.transform("citations", lambda c: F.concat_ws(" ", c["n"].cast("string"), c["source"], c["url"]))
+        return retrieval.answer(found, "Q", lambda p: p).select(F.lit(name).alias("asked"), "answer", joined(shown).alias("citations"))
+
+    return asked("all", None).unionByName(asked("none", {"market": "없음"}))

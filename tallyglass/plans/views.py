@@ -116,6 +116,8 @@ class Page:
     view: View | None
     rows: DataFrame | None
     reviews: DataFrame
+    counts: DataFrame
+    meta: DataFrame | None
 
 
 def resolve_market(kb: DataFrame, mention: str | None) -> str | None:
@@ -132,12 +134,14 @@ def page(kb: DataFrame, specs: DataFrame, reviews: DataFrame, summaries: DataFra
     """What a product page shows; without market and product there is nothing to show.
 
     The product view needs both; the market's order criteria come from its own summary where it has one.
+    ``counts`` are the listed reviews per platform; ``meta`` says by what and from how many rows the
+    product's and the market's summaries were made, which are different populations.
     """
     if not (market or "").strip() and not (product or "").strip():
         raise ValueError("market or product is needed")
     word = resolve_market(kb, market)
     view = consolidated_for(specs, reviews, summaries, word, product) if word and product else None
-    rows = None
+    rows = meta = None
     if word:
         cells = lambda p: summaries.where((F.col("market") == word) & F.col("product").eqNullSafe(F.lit(p))).select(
             F.explode("cells").alias("criterion", "verdict")
@@ -145,7 +149,10 @@ def page(kb: DataFrame, specs: DataFrame, reviews: DataFrame, summaries: DataFra
         scope = F.when(F.col("criterion").isin(*L.MARKET_CRITERIA), "market").otherwise("product")
         rows = consolidate.summary_rows(consolidate.axis_payload(cells(product), cells(None), ["criterion"], scope))
     listed = list_reviews(reviews, word, (product or "").strip() or None, limit=limit)
-    return Page(word, view, rows, listed)
+    if word:
+        own = summaries.where((F.col("market") == word) & (F.col("product").isNull() | F.col("product").eqNullSafe(F.lit(product))))
+        meta = own.select(F.when(F.col("product").isNull(), "market").otherwise("product").alias("scope"), "generated_at", "model", "n_reviews")
+    return Page(word, view, rows, listed, listed.groupBy("platform").agg(F.count("*").alias("n")), meta)
 
 
 def generate_summaries(reviews: DataFrame, market: str, products: bool, fn: Callable[[str], dict], min_rows: int = 1) -> DataFrame:
