@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 from tallyglass import schema
+from tallyglass.functions import numbers
 from tallyglass.plans import ingest, views
 
 KB_ROWS = [("연찌", "연찌", "yeonzzi", [], [], "ㅇㅉ", [], [], None), ("빈짱", "빈짱", "binzzang", [], [], "ㅂㅉ", [], [], None)]
@@ -96,3 +97,21 @@ def test_ingest(spark, tables):
 def test_schemas_hold_literals(spark):
     for table in (schema.SPECS, schema.REVIEWS, schema.SUMMARIES, schema.PIECES, schema.KNOWLEDGE, schema.EXTRACTION):
         assert spark.createDataFrame([], table).where(F.lit(True)).count() == 0
+
+
+def test_source_refs(spark):
+    rows = [("https://g/?no=7#x", None, "3", 2), ("https://g/?id=a&no=8", None, None, 2), ("ftp://g", "1", "1", 1), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "url string, thread string, no string, ordinal int")
+    ref = numbers.source_ref("dcinside", *map(F.col, ("url", "thread", "no", "ordinal")))
+    got = [r.ref and tuple(r.ref) for r in df.select(ref.alias("ref")).collect()]
+    assert got == [("dcinside", "https://g/?no=7", "7", "3", None, None), ("dcinside", "https://g/?id=a&no=8", "8", None, 2, None), None, None]
+    code = numbers.source_ref("instagram", F.col("url"), F.lit(None), F.lit(None), F.lit(None), F.lit("S"))
+    first = df.select(code.alias("r")).select(numbers.permalink(F.col("r")).alias("link"), "r.shortcode").first()
+    assert tuple(first) == ("https://g/?no=7", "S")
+
+
+def test_page_counts_and_meta(tables):
+    page = views.page(*tables, "연찌", "쿠키")
+    assert sum(r.n for r in page.counts.collect()) == page.reviews.count()
+    assert page.meta.columns == ["scope", "generated_at", "model", "n_reviews"]
+    assert views.page(*tables, None, "쿠키").meta is None
