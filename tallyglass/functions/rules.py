@@ -119,16 +119,22 @@ def label_core(x: Column) -> Column:
 
 
 def is_non_product_label(x: Column, known: Column) -> Column:
-    """F16: a form of sale rather than a product; ``known`` is the array of known product names' keys."""
+    """F16: a form of sale rather than a product; ``known`` is the array of a few known product names' keys."""
+    return is_sale_label(x, F.array_contains(known, tag_key(squeezed(x))), F.size(known) > 0)
+
+
+def is_sale_label(x: Column, known: Column, any_known: Column) -> Column:
+    """F16: a form of sale rather than a product; ``known`` says whether the name's key is that of a known
+    product, ``any_known`` whether there are known products at all."""
     raw, core = squeezed(x), label_core(x)
     is_label = core.isin(*L.SALE_LABELS, *L.SALE_LABELS_EXACT)
-    missing = ~F.array_contains(known, tag_key(raw))
+    missing = ~known
     ends = core.rlike("(?:" + L.any_of(L.SALE_LABELS) + ")$")
     return (
         F.when(core == "", False)
         .when(is_label & (raw == core), True)
         .when(is_label, missing)
-        .when(~ends | (F.size(known) == 0), False)
+        .when(~ends | ~any_known, False)
         .otherwise(missing)
     )
 

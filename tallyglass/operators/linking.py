@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 from tallyglass.functions import lexicon as L
 from tallyglass.functions.rules import is_non_product_word
 from tallyglass.functions.text import choseong, hashtags, is_all_jamo, squeezed, surface_key, tag_key, trimmed
+from tallyglass.operators.registry import vocabulary_hits
 
 C = L.CONFIDENCE
+#: A lookup table of at most this many rows goes to every task; a larger one is joined by its key.
+LOOKUP_ROWS = 200_000
+
+
+def lookup(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if it has at most ``LOOKUP_ROWS`` rows, which is counted here."""
+    return F.broadcast(table) if table.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else table
 
 
 def owners(df: DataFrame, key: str | Column, owner: str | Column) -> DataFrame:
@@ -38,12 +46,18 @@ def kb_choseong(kb: DataFrame) -> DataFrame:
     return owners(rows, "form", "market_word")
 
 
-def resolve(df: DataFrame, mention: Column, kb: DataFrame, prefix: str) -> DataFrame:
+def kb_lookups(kb: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both lookup tables, sized once for all mentions of a plan."""
+    return lookup(kb_surface(kb)), lookup(kb_choseong(kb))
+
+
+def resolve(df: DataFrame, mention: Column, kb: DataFrame | tuple[DataFrame, DataFrame], prefix: str) -> DataFrame:
     """Adds ``<prefix>_market``, ``<prefix>_conf``, ``<prefix>_how`` (surface, choseong or NULL).
 
-    A surface hit, even an ambiguous one, keeps the initial consonants from being tried.
+    A surface hit, even an ambiguous one, keeps the initial consonants from being tried. ``kb`` is the
+    knowledge base or its ``kb_lookups``.
     """
-    s, c = kb_surface(kb), kb_choseong(kb)
+    s, c = kb_lookups(kb) if isinstance(kb, DataFrame) else kb
     df = df.withColumn("_s", surface_key(mention)).withColumn("_c", F.nullif(choseong(mention), F.lit("")))
     df = df.join(s.select(F.col("key").alias("_s"), F.col("owner").alias("_so"), F.col("n_owners").alias("_sn")), "_s", "left")
     df = df.join(c.select(F.col("key").alias("_c"), F.col("owner").alias("_co"), F.col("n_owners").alias("_cn")), "_c", "left")
@@ -62,12 +76,13 @@ def resolve(df: DataFrame, mention: Column, kb: DataFrame, prefix: str) -> DataF
     ).drop("_s", "_c", "_so", "_sn", "_co", "_cn")
 
 
-def split_prefix(df: DataFrame, name: str, kb: DataFrame) -> DataFrame:
+def split_prefix(df: DataFrame, name: str, kb: DataFrame | tuple[DataFrame, DataFrame]) -> DataFrame:
     """Adds ``hint`` (the market part), ``hint_how`` and ``rest`` (the product part) of a product name.
 
     A token is a market if it is a surface form, or jamo only and known as initial consonants; tried
     are the whole name, the part before the first space, and a leading run of jamo.
     """
+    kb = kb_lookups(kb) if isinstance(kb, DataFrame) else kb
     t = trimmed(F.col(name))
     head = F.when(t.contains(" "), F.substring_index(t, " ", 1))
     jamo = F.nullif(F.regexp_extract(t, "^[ㄱ-ㅎ]+", 0), F.lit(""))
@@ -128,7 +143,8 @@ def link(
     prefix and the document's market are tried in this order; inversion only where none was given.
     ``aliases`` maps (alias key, canonical) product names; off by default.
     """
-    df = split_prefix(items, "product", kb)
+    forms = kb_lookups(kb)
+    df = split_prefix(items, "product", forms)
     if aliases is not None:
         table = aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_canonical"))
         df = df.withColumn("_a", squeezed(F.col("rest"))).join(table, "_a", "left")
@@ -139,7 +155,7 @@ def link(
     df = df.withColumn("_surface", F.coalesce(item, hint, doc))
     from_hint = item.isNull() & hint.isNotNull()
     from_doc = item.isNull() & hint.isNull() & doc.isNotNull()
-    df = resolve(df.withColumns({"_from_hint": from_hint, "_from_doc": from_doc}), F.col("_surface"), kb, "_m")
+    df = resolve(df.withColumns({"_from_hint": from_hint, "_from_doc": from_doc}), F.col("_surface"), forms, "_m")
     how = F.concat(F.when(F.col("_from_hint"), "prefix_").otherwise(""), F.col("_m_how"))
     how = F.when(F.col("_from_doc"), "inherit").otherwise(how)
     ladder = F.create_map(*[F.lit(x) for k in C for x in (k, C[k])])
@@ -187,9 +203,9 @@ def caption_market(posts: DataFrame, kb: DataFrame, id: str, caption: str) -> Da
 
 def markets_in_text(texts: DataFrame, kb: DataFrame, id: str, text: str) -> DataFrame:
     """(id, market) for every market named in a text: a surface form of two characters or more, or a jamo run."""
-    forms = F.broadcast(kb_surface(kb).where("owner is not null and length(key) >= 2"))  # a few forms per market
+    forms = kb_surface(kb).where("owner is not null and length(key) >= 2").select(F.col("owner").alias("canonical"), F.col("key").alias("form"))
     src = texts.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    direct = src.join(forms, F.contains(surface_key(F.col("text")), F.col("key"))).select("id", F.col("owner").alias("market"))
+    direct = vocabulary_hits(src.withColumn("text", surface_key(F.col("text"))), forms, "id", "text").withColumnRenamed("canonical", "market")
     runs = src.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[ㄱ-ㅎ]+"), 0))).alias("run"))
     jamo = runs.join(kb_choseong(kb).where("owner is not null"), F.col("run") == F.col("key")).select("id", F.col("owner").alias("market"))
     return direct.unionByName(jamo).distinct()

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions import lexicon as L
-from tallyglass.functions.rules import has_any, is_non_product_label, is_non_product_word
-from tallyglass.functions.text import excerpt, hashtags, product_hashtags, render_review, tag_key, text_of, tokens
+from tallyglass.functions.rules import has_any, is_non_product_word, is_sale_label
+from tallyglass.functions.text import excerpt, hashtags, product_hashtags, render_review, squeezed, tag_key, text_of, tokens
 from tallyglass.operators import linking, merge
 
 C = L.CONFIDENCE
@@ -165,10 +165,17 @@ def inversion_material(reviews: DataFrame, posts: DataFrame) -> DataFrame:
     return both.groupBy("product", "market", "excerpts").agg(n(same).alias("own_posts"), n(~same).alias("other_posts"))
 
 
+def with_known(rows: DataFrame, product: str, known: DataFrame) -> tuple[DataFrame, bool]:
+    """F16: ``rows`` with ``is_known``, whether the product's key is among the names, and whether there are any."""
+    keys = known.select(F.col("name").alias("_k"), F.lit(True).alias("_known")).where("_k is not null").distinct()
+    out = rows.withColumn("_k", tag_key(squeezed(F.col(product)))).join(linking.lookup(keys), "_k", "left")
+    return out.withColumn("is_known", F.coalesce("_known", F.lit(False))).drop("_k", "_known"), bool(keys.limit(1).count())
+
+
 def plan_non_products(reviews: DataFrame, known: DataFrame) -> DataFrame:
-    """U16: sale labels out of product names; the row stays. ``known`` is one row with the array ``names``."""
-    rows = reviews.where("product is not null").crossJoin(F.broadcast(known))  # one row
-    hit = is_non_product_label(F.col("product"), F.col("names"))
+    """U16: sale labels out of product names; the row stays. ``known`` has one row per known product name's key (name)."""
+    rows, some = with_known(reviews.where("product is not null"), "product", known)
+    hit = is_sale_label(F.col("product"), F.col("is_known"), F.lit(some))
     return rows.where(hit).select("id", F.lit(None).cast("string").alias("new_product"))
 
 

@@ -14,6 +14,8 @@ from tallyglass.functions.text import alias_key, squeezed, tag_key
 
 #: Vocabulary forms that are matched in one pass over the texts.
 BLOCK_FORMS = 200_000
+#: Parts of a tag's posts that look for their first links on their own.
+PARTS = 64
 
 
 def product_registry(posts: DataFrame, market: str, tags: str, seen_at: str, link: str) -> DataFrame:
@@ -21,16 +23,22 @@ def product_registry(posts: DataFrame, market: str, tags: str, seen_at: str, lin
     (three smallest by time), class.
 
     A tag counts once per post. A type word is ``type``; a tag on many and most posts is the market's
-    own; the rest are products. Coverage is n_posts / n_total, left as two numbers.
+    own; the rest are products. Coverage is n_posts / n_total, left as two numbers. Posts of a tag are
+    ordered in ``PARTS`` parts, so that a tag on most posts is no single task's.
     """
     src = posts.select(F.col(market).alias("market"), F.array_distinct(tags).alias("tags"), F.col(seen_at).alias("at"), F.col(link).alias("link"))
     totals = src.groupBy("market").agg(F.count("*").alias("n_total"))
     rows = src.withColumn("tag", F.explode("tags"))
-    order = Window.partitionBy("market", "tag").orderBy("at", "link")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("at", "link"), F.lit(PARTS)))
+    order = Window.partitionBy("market", "tag", "_part").orderBy("at", "link")
     top = F.when(F.row_number().over(order) <= 3, F.struct("at", "link"))
-    stats = rows.withColumn("_top", top).groupBy("market", "tag").agg(
-        F.count("*").alias("n_posts"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"),
-        F.transform(F.sort_array(F.collect_list("_top")), lambda x: x["link"]).alias("permalinks"),
+    parts = rows.withColumn("_top", top).groupBy("market", "tag", "_part").agg(
+        F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.collect_list("_top").alias("tops")
+    )
+    tops = F.slice(F.sort_array(F.flatten(F.collect_list("tops"))), 1, 3)
+    stats = parts.groupBy("market", "tag").agg(
+        F.sum("n").alias("n_posts"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
+        F.transform(tops, lambda x: x["link"]).alias("permalinks"),
     )
     n, share = L.REGISTRY_MARKET_TAG
     types = [squeezed(F.lit(t)) for t in L.TYPES]
@@ -116,11 +124,19 @@ def alias_candidates(names: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def containment_pairs(rows: DataFrame, piece: str, name: str) -> DataFrame:
-    """Names inside longer names of the same piece: inner, outer, n_pieces."""
+    """Names inside longer names of the same piece: inner, outer, n_pieces.
+
+    An equality instead of a comparison of all pairs of a piece: every name offers its parts of those
+    lengths that names have, one row at a time. An empty name is inside every other.
+    """
     n = rows.select(F.col(piece).alias("piece"), F.col(name).alias("name")).where("name is not null").distinct()
-    a, b = n.withColumnRenamed("name", "inner"), n.withColumnRenamed("name", "outer")
-    inside = (F.length("inner") < F.length("outer")) & F.contains(F.col("outer"), F.col("inner"))
-    return a.join(b, "piece").where(inside).groupBy("inner", "outer").agg(F.count("*").alias("n_pieces"))
+    lengths = n.agg(F.collect_set(F.length("name")).alias("lengths"))  # one row, at most as long as the longest name
+    sized = n.crossJoin(F.broadcast(lengths)).withColumn("k", F.explode("lengths")).where("k < length(name)")
+    last = F.when(F.col("k") > 0, F.length("name") - F.col("k") + 1).otherwise(1)
+    parts = sized.withColumn("at", F.explode(F.sequence(F.lit(1), last)))
+    parts = parts.select("piece", F.col("name").alias("outer"), F.substr(F.col("name"), F.col("at"), F.col("k")).alias("inner"))
+    inside = n.withColumnRenamed("name", "inner").join(parts, ["piece", "inner"]).select("piece", "inner", "outer").distinct()
+    return inside.groupBy("inner", "outer").agg(F.count("*").alias("n_pieces"))
 
 
 def vocabulary_hits(texts: DataFrame, vocabulary: DataFrame, id: str, text: str, block: int = BLOCK_FORMS) -> DataFrame:

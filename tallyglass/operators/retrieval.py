@@ -44,21 +44,13 @@ def bm25(df: DataFrame, query: list[str], id: str = "id", tokens: str = "tokens"
     src = df.select(F.col(id).alias("id"), F.coalesce(F.col(tokens), F.array().cast("array<string>")).alias("tokens"))
     if cap is not None:
         src = src.orderBy("id").limit(cap)
-    size = src.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    dfs = src.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weights = dfs.crossJoin(F.broadcast(size)).select("token", raw.alias("raw"))  # ``size`` is one row
-    mean = weights.agg(F.avg("raw").alias("mean"))
     times: dict[str, int] = {}
     for q in query:
         times[q] = times.get(q, 0) + 1
     terms = list(times)
     if not terms:
         return src.select("id", F.lit(0.0).alias("score"))
-    asked = weights.where(F.col("token").isin(*terms)).crossJoin(F.broadcast(mean))
-    idf = F.when(F.col("raw") < 0, L.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    table = asked.agg(F.map_from_entries(F.collect_list(F.struct("token", idf.alias("idf")))).alias("idf"))
-    scored = src.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(table))  # both are one row
+    scored = src.crossJoin(F.broadcast(term_weights(src, terms)))  # one row
     score = F.lit(0.0)
     for t in terms:
         tf = F.size(F.filter("tokens", lambda x: x == t)).cast("double")
@@ -68,6 +60,26 @@ def bm25(df: DataFrame, query: list[str], id: str = "id", tokens: str = "tokens"
     return scored.select("id", score.alias("score"))
 
 
+def term_weights(src: DataFrame, terms: list[str]) -> DataFrame:
+    """V9: one row: avgdl, and ``idf``, the weights of those ``terms`` that occur in ``src`` (tokens).
+
+    Rows, lengths and document frequencies are counted by one aggregation; its result is small beside
+    the texts, and both passes over it read one shuffle.
+    """
+    one = F.lit(1).cast("long")
+    own = F.transform(F.array_distinct("tokens"), lambda t: F.struct(F.lit("token").alias("kind"), t.alias("token"), one.alias("n")))
+    row = [F.struct(F.lit(k).alias("kind"), F.lit(None).cast("string").alias("token"), n.alias("n")) for k, n in (("rows", one), ("length", F.size("tokens").cast("long")))]
+    counts = src.select(F.inline(F.concat(F.array(*row), own))).groupBy("kind", "token").agg(F.sum("n").alias("df"))
+    only = lambda k: F.max(F.when(F.col("kind") == k, F.col("df")))
+    size = counts.agg(only("rows").alias("n_rows"), (only("length") / only("rows")).alias("avgdl"))
+    raw = F.when(F.col("kind") == "token", F.log(F.col("n_rows") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    rated = counts.crossJoin(F.broadcast(size)).withColumn("raw", raw)  # ``size`` is one row
+    asked = F.collect_list(F.when(F.col("token").isin(*terms), F.struct("token", "raw")))
+    found = rated.agg(F.first("avgdl").alias("avgdl"), F.avg("raw").alias("mean"), asked.alias("asked"))
+    idf = lambda x: F.when(x["raw"] < 0, L.BM25_EPSILON * F.col("mean")).otherwise(x["raw"])
+    return found.select("avgdl", F.map_from_entries(F.transform("asked", lambda x: F.struct(x["token"].alias("token"), idf(x).alias("idf")))).alias("idf"))
+
+
 def bm25_topk(df: DataFrame, query: list[str], k: int = L.TOP_K, **options) -> DataFrame:
     """The k best rows by BM25: id, score, sparse_rank (from 0); rows with score 0 fill up the list."""
     top = bm25(df, query, **options).orderBy(F.desc("score"), "id").limit(k)

@@ -14,7 +14,7 @@ from tallyglass import schema
 from tallyglass.functions import rules
 from tallyglass.functions.numbers import dc_post_id, filled_score, held_fingerprint, source_ref, thread_no
 from tallyglass.functions.text import hashtags, is_all_jamo, product_hashtags, render_review, squeezed, tag_key, tokens
-from tallyglass.operators import gate, hooks, linking, merge, threads
+from tallyglass.operators import gate, hooks, linking, maintenance, merge, threads
 from tallyglass.streaming import incremental
 
 
@@ -36,9 +36,9 @@ def keep_items(items: DataFrame, text: str, known: DataFrame, vocabulary: DataFr
     """F14, F16, F17 in this order on extracted items (one row each): hearsay goes; sale labels and names that
     the piece does not hold, and no canonical name either, become NULL. An empty vocabulary changes nothing."""
     items = items.where(rules.keeps_evidence(F.col("firsthand_evidence"), F.col(text), F.col("mentioned_product")))
-    items = items.crossJoin(F.broadcast(known))  # one row: the array of known names
-    label = rules.is_non_product_label(F.col("mentioned_product"), F.col("names"))
-    items = items.withColumn("mentioned_product", F.when(~label, F.col("mentioned_product"))).drop("names")
+    items, some = maintenance.with_known(items, "mentioned_product", known)
+    label = rules.is_sale_label(F.col("mentioned_product"), F.col("is_known"), F.lit(some))
+    items = items.withColumn("mentioned_product", F.when(~label, F.col("mentioned_product"))).drop("is_known")
     if vocabulary is None or not vocabulary.limit(1).count():
         return items
     names = vocabulary.select(tag_key(F.col("canonical")).alias("_k"), F.lit(True).alias("_known")).distinct()
@@ -64,7 +64,7 @@ def ingest(
     new = incremental.fresh(chosen, seen, ["source", "post_id"])
     items = hooks.extract_items(new, "post_id", "text", extract, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in item_type().fields))
     items = items.withColumnRenamed("id", "post_id").join(new.select("post_id", "text", F.col("market").alias("doc_market"), "source"), "post_id")
-    names = known if known is not None else spark.createDataFrame([([],)], "names array<string>")
+    names = known if known is not None else spark.createDataFrame([], "name string")
     items = keep_items(items, "text", names, vocabulary)
     linked = linking.link(
         items.withColumns({"item_market": F.col("mentioned_market"), "product": F.col("mentioned_product")}), kb, spec_owners(specs)
@@ -151,7 +151,7 @@ def ingest_threads(
     items = items.where("post_id is not null and not is_seen")
     heirs = items.where("inherited").select("post_id").distinct()
     counters += [counted(answers, failed_calls=F.col("place") == -1), counted(heirs, market_inherited=every)]
-    names = known if known is not None else pieces.sparkSession.createDataFrame([([],)], "names array<string>")
+    names = known if known is not None else pieces.sparkSession.createDataFrame([], "name string")
     items = keep_items(items, "text", names, vocabulary)
     held = [F.col(f.name) for f in item_type().fields if f.name != "mentioned_product"]
     parts = [F.col(a) for a in ("scent", "texture", "sound", "longevity")]

@@ -436,7 +436,7 @@ def inversion_evidence(spark, sf):
 @query(stated("id INTEGER, product VARCHAR", [(8, None)]))
 def sale_label_plan(spark, sf):
     """U16, F16."""
-    known = spark.createDataFrame([(["말차쿠키"],)], "names array<string>")
+    known = spark.createDataFrame([("말차쿠키",)], "name string")
     return maintenance.plan_non_products(review_rows(spark), known).select("id", F.col("new_product").alias("product"))
 
 

@@ -234,7 +234,7 @@ def test_maintenance_plans(spark, kb):
     assert [r.id for r in maintenance.plan_inversion(df, specs, reg, caps, ["amos"], "registry").collect()] == [5]
     assert [r.id for r in maintenance.plan_evidence_headers(df).collect()] == [9]
     assert [r.id for r in maintenance.plan_offtopic(df, specs, ["슬라임"]).collect()] == [8]
-    known = spark.createDataFrame([(["x"],)], "names array<string>")
+    known = spark.createDataFrame([("x",)], "name string")
     assert [r.id for r in maintenance.plan_non_products(df, known).collect()] == [7]
     att = {r.id: (r.new_product, r.new_market, r.dropped) for r in maintenance.plan_attribution(df, kb).collect()}
     assert att == {6: ("쿠키", "빈짱", False)}
