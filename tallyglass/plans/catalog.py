@@ -728,6 +728,44 @@ def windowed_events(spark, sf):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.round("total", 4))
 
 
+@query("""SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS start, event_type, count(*) AS n
+  FROM events, (VALUES (0), (1), (2), (3)) AS v(k) GROUP BY ALL""")
+def sliding_events(spark, sf):
+    """Sliding windows, beyond the review domain."""
+    out = windows.sliding(table(spark, sf, "events"), ["event_type"])
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT l_linenumber AS bucket, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS n_wanted FROM lineitem GROUP BY 1")
+def axis_report(spark, sf):
+    """Line numbers as buckets, returns as what is wanted."""
+    rows = table(spark, sf, "lineitem").withColumn("wanted", F.col("l_returnflag") == "R")
+    return evaluate.axis_report(rows, "l_linenumber", "wanted")
+
+
+@query("""SELECT md5(text) AS text_md5, CASE WHEN regexp_matches(text, '[!?]') THEN true WHEN regexp_matches(text, '[0-9]') THEN false END AS keep
+  FROM (SELECT DISTINCT text FROM documents)""")
+def weak_labels(spark, sf):
+    """The first of two patterns decides; equal texts count once."""
+    out = evaluate.weak_labels(table(spark, sf, "documents"), "text", [("[!?]", True), ("[0-9]", False)])
+    return out.select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "keep")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem JOIN (SELECT l_orderkey, count(*) AS size FROM lineitem GROUP BY 1) AS s USING (l_orderkey)
+  ORDER BY size DESC, l_orderkey, l_linenumber LIMIT 100""")
+def largest_threads_first(spark, sf):
+    """Orders as threads; the first hundred lines are the batch."""
+    return evaluate.fill_batch(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", 100).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT source, doc_id, md5(substring(text, 1, 200)) AS shown_md5 FROM documents
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 8 ORDER BY source, doc_id LIMIT 130""")
+def labelling_sample(spark, sf):
+    """The first eight documents of each source, at most 130, cut for display: the sample is the feature."""
+    out = evaluate.harvest(table(spark, sf, "documents"), "source", "doc_id", "text")
+    return out.select("source", "doc_id", F.md5(F.col("text").cast("binary")).alias("shown_md5"))
+
+
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
   SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, s""")

@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyglass import schema
 from tallyglass.functions import numbers as N
 from tallyglass.functions import rules as R
 from tallyglass.functions import text as X
-from tallyglass.operators import evaluate, gate, hooks, linking, maintenance, merge, retrieval, threads
+from tallyglass.operators import consolidate, evaluate, gate, hooks, linking, maintenance, merge, registry, retrieval, threads
 from tallyglass.plans import ingest, views
-from tallyglass.sources import pages
+from tallyglass.sources import pages, rawlog, social
 from tallyglass.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,7 +474,7 @@ PAGE = ("id int, source string, market string, product string, body string, evid
 
 @query(stated("id INTEGER, platform VARCHAR, evidence VARCHAR, url VARCHAR", [(2, "dcinside", "쿠키", "https://g/?no=1"), (3, "instagram", "좋음", "https://www.instagram.com/p/B/")]))
 def product_page_reviews(spark, sf):
-    """A page of a product alone lists the reviews of all markets, each piece once, the newest row of it."""
+    """A page of a product alone lists the reviews of all markets, each piece once, the newest row of it."""
     rows = [(1, "amos", "연찌", "쿠키", "본문", "[연찌] / 쿠키", "pos", 1, 1, 1, None, None, "genuine", ("https://g/?no=1#x", None, None)), (2, "amos", "연찌", "쿠키", "본문", "[연찌] / 쿠키", "pos", 1, 1, 1, None, None, "genuine", ("https://g/?no=1#x", None, None)),
             (3, "instagram", "늪지", "쿠키", "본문", "좋음", "neu", 2, 1, 1, None, None, "genuine", ("https://www.instagram.com/p/B/", None, "B")), (4, "amos", "연찌", "빵", "본문", "x", "neg", 1, 1, 1, None, None, "genuine", ("https://g/?no=4", None, None))]
     listed = views.list_reviews(spark.createDataFrame(rows, PAGE), None, "쿠키")
@@ -528,7 +529,7 @@ def markets_without_rows(spark, sf):
 
 @query(stated("anchor VARCHAR, no VARCHAR, thread_no VARCHAR", [("a", "301", "t2"), ("b", "1", "t3"), ("c", "1", "t4"), ("a", None, "t5"), ("a", "1", "t6")]))
 def rows_above_the_mark(spark, sf):
-    """Rows above the mark, without a mark or number, and those of a thread that comes back."""
+    """Rows above the mark, without a mark or number, and those of a thread that comes back."""
     seen = spark.createDataFrame([("a", "500"), ("a", "x"), ("b", None)], "anchor string, no string")
     new = spark.createDataFrame([("a", "299", "t1"), ("a", "301", "t2"), ("b", "1", "t3"), ("c", "1", "t4"), ("a", None, "t5"), ("a", "1", "t6")], "anchor string, no string, thread_no string")
     back = spark.createDataFrame([("t6",)], "thread_no string")
@@ -544,7 +545,7 @@ def chosen_tau(spark, sf):
 
 @query(stated("id VARCHAR, M INTEGER, E INTEGER", [("a", 1, 0), ("b", 1, 0), ("c", 1, 1)]))
 def ruled_gold(spark, sf):
-    """A ruling holds for its item and for those it also applies to."""
+    """A ruling holds for its item and for those it also applies to."""
     gold = spark.createDataFrame([("a", 0, 0), ("b", 0, 1), ("c", 1, 1)], "id string, M int, E int")
     rulings = spark.createDataFrame([("a", ["b"], 1, 0)], "id string, also_applies array<string>, M int, E int")
     return evaluate.gold_with_rulings(gold, rulings).select("id", "M", "E")
@@ -583,6 +584,207 @@ def path_keys(spark, sf):
     return spark.createDataFrame([(i, X.safe_key(k)) for i, k in enumerate(["a/b", " 늪지-1.x ", "..", None])], "i int, k string")
 
 
+# --- social sources, hooks and the views of sources apart
+
+POSTS = [  # id, shortCode, url, caption, ownerUsername, hashtags, timestamp, likes, comments, inputUrl
+    ("1", "A", "https://www.instagram.com/p/A/", "말차쿠키 정말 쫀득하고 좋아요 #말차쿠키", "fan", ["말차쿠키"], "2026-01-02", 3, 1, None),
+    ("2", "A", "https://www.instagram.com/p/A/", "말차쿠키 정말 쫀득하고 좋아요 #말차쿠키", "fan", ["말차쿠키"], "2026-01-02", 3, 1, None),
+    ("3", "B", "https://www.instagram.com/p/B/", "오늘 올라온 새 글이에요 #빵 #색", None, None, "2026-01-03", None, None, "https://www.instagram.com/yeonzzi/"),
+    ("4", "C", "https://www.instagram.com/p/C/", "짧음", "fan", [], "2026-01-04", 0, 0, None),
+    ("5", "D", "https://www.instagram.com/p/D/", "이번에 나온 것도 올려 봐요 #색", "yeonzzi", ["색"], "2026-01-05", 9, 2, None),
+]
+
+
+def posts_of(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(POSTS, social.ITEM)
+
+
+@query(stated("shortcode VARCHAR, hashtags VARCHAR, hashtag VARCHAR, likes INTEGER, review_class VARCHAR", [
+    ("A", "말차쿠키", "쿠키", 3, "genuine"), ("B", "빵|색", "쿠키", None, "genuine"), ("D", "색", "쿠키", 9, "genuine")]))
+def social_pieces(spark, sf):
+    """Each post once, short captions go, tags from the caption where the item has none."""
+    return social.to_pieces(posts_of(spark), "쿠키").select("shortcode", joined(F.col("hashtags")).alias("hashtags"), "hashtag", "likes", "review_class")
+
+
+@query(stated("id VARCHAR", [("3",), ("5",)]))
+def social_posts_of_tags(spark, sf):
+    """Posts that carry one of the tags."""
+    return social.matching(posts_of(spark), ["#색", "없음"]).select("id")
+
+
+@query(stated("id VARCHAR, owner VARCHAR", [("x", "shop"), ("y", "other"), ("z", "flat")]))
+def profile_posts(spark, sf):
+    """The posts of a profile, with the profile's owner where they name none; a flat post is itself."""
+    post = lambda i, o: (i, i, None, "c", o, None, None, None, None, None)
+    rows = [(*post("p", None), "shop", [post("x", None), post("y", "other")]), (*post("z", "flat"), None, [])]
+    return social.profile_posts(spark.createDataFrame(rows, f"{social.ITEM}, {social.PROFILE}")).select("id", F.col("ownerUsername").alias("owner"))
+
+
+@query(stated("id VARCHAR, owner VARCHAR", [("1", "fan"), ("5", "yeonzzi")]))
+def seller_posts_per_handle(spark, sf):
+    """Owner from the item or the input address; the newest post of each, the smaller code first."""
+    rows = social.seller_posts(posts_of(spark).where("id <> '2'"), per_handle=1)
+    return rows.select("id", F.col("owner_username").alias("owner"))
+
+
+@query(stated("market VARCHAR, product VARCHAR", [("연찌", "말차쿠키"), ("늪지", "빵")]))
+def official_products(spark, sf):
+    """A fixture's products under the market of its handle, in any letter case; unknown handles go."""
+    kind = "handle string, products array<struct<product_name:string>>"
+    fixture = spark.createDataFrame([("YEONZZI", [("말차쿠키",)]), ("swamp_slime", [("빵",)]), ("nobody", [("x",)])], kind)
+    return social.layer1_specs(fixture, knowledge(spark)).select("market", "product")
+
+
+@query(stated("kind VARCHAR, key VARCHAR, newest VARCHAR", [("tag", "a", "2026-02-01T00:00:00Z"), ("tag", "b", None)]))
+def newest_captures(spark, sf):
+    """The newest item time of each key; an empty run has none."""
+    rows = [("tag", "a", '{"timestamp": "2026-01-01T00:00:00Z"}'), ("tag", "a", '{"timestamp": "2026-02-01T00:00:00Z"}'), ("tag", "b", None)]
+    return rawlog.newest(spark.createDataFrame(rows, "kind string, key string, item string"))
+
+
+by_text("toxic_words", "F3: none for an empty list.", "toxic BOOLEAN, never BOOLEAN", lambda t: [R.has_any(t, ["Bad", "나쁜"]), R.has_any(t, [])], {
+    "a BAD word": (True, False), "나쁜말": (True, False), "good": (False, False), " ": (False, False), None: (False, False),
+})
+
+
+@query(stated("i INTEGER, name VARCHAR", [(0, "쿠키"), (1, None), (2, "말차쿠키"), (3, None), (4, None)]))
+def names_held_to_vocabulary(spark, sf):
+    """Names that the piece or the vocabulary holds stay, others and sale labels become NULL."""
+    rows = [(0, "쿠키 쫀득하고 좋음", "쿠키"), (1, "쫀득하고 좋음", "없는이름"), (2, "쫀득하고 좋음", "말차쿠키"), (3, "비매 쫀득하고 좋음", "비매"), (4, "쫀득하고 좋음", None)]
+    items = spark.createDataFrame([(*r, r[1]) for r in rows], "i int, t string, mentioned_product string, firsthand_evidence string")
+    known, words = spark.createDataFrame([], "name string"), spark.createDataFrame([("말차 쿠키",)], "canonical string")
+    return ingest.keep_items(items, "t", known, words).select("i", F.col("mentioned_product").alias("name"))
+
+
+@query(stated("id INTEGER, author VARCHAR, likes INTEGER, comment_count INTEGER, votes_up INTEGER", [(1, "nick", 1200, 7, 3), (2, "owner", None, 4, None)]))
+def post_meta_columns(spark, sf):
+    """a zero comment count falls through to the next key."""
+    names = ["body", "title", "nick", "owner_username", "posted_at", "likes", "views", "comment_count", "comments", "recommend_up", "recommend_down"]
+    rows = [(1, (None, None, "nick", "owner", None, "좋아요 1,200", None, "7", "4", "3", None)), (2, (None, None, None, "owner", None, None, None, "0", "4", None, None))]
+    df = spark.createDataFrame(rows, f"id int, meta struct<{', '.join(f'{n}: string' for n in names)}>")
+    return df.select("id", *pages.post_columns(F.col("meta"))).select("id", "author", "likes", "comment_count", "votes_up")
+
+
+@query(stated("id INTEGER, topic_score DOUBLE", [(1, 1.0), (2, 0.6)]))
+def topic_scores(spark, sf):
+    """V1, V3, V7: chunks of all documents are embedded, and the best cosine with the anchor is a document's."""
+    vectors = {"a": [1.0, 0.0], "b": [0.0, 1.0], "c": [3.0, 4.0]}
+    chunks = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c")], "id int, chunk string")
+    embedded = hooks.embed(chunks, "chunk", lambda ts: [vectors[t] for t in ts])
+    return gate.max_cosine(embedded, [1.0, 0.0]).withColumn("topic_score", F.round("topic_score", 6))
+
+
+@query(stated("i INTEGER, yes BOOLEAN", [(0, True), (1, False), (2, False)]))
+def classified(spark, sf):
+    """H1: NULL texts are no."""
+    df = spark.createDataFrame([(0, "yes"), (1, "no"), (2, None)], "i int, t string")
+    return df.select("i", hooks.classify(F.col("t"), lambda t: t == "yes").alias("yes"))
+
+
+@query(stated("name VARCHAR, market VARCHAR, n_reviews BIGINT", [("쿠키", "연찌", 2)]))
+def registry_aliases(spark, sf):
+    """Registry names of one market alone that reviews use."""
+    tags = spark.createDataFrame([("연찌", "쿠키"), ("연찌", "빵"), ("늪지", "빵"), ("늪지", "색")], "market string, tag string")
+    reviews = spark.createDataFrame([("쿠키",), ("쿠키",), ("빵",)], "product string")
+    return registry.registry_aliases(tags, reviews).select(F.col("product").alias("name"), "market", "n_reviews")
+
+
+@query(stated("kind VARCHAR, a VARCHAR, b VARCHAR, n_a BIGINT, n_b BIGINT, markets_a VARCHAR", [
+    ("edit1", "쿠카", "쿠키", 0, 2, None), ("edit1", "쿠카", "쿠카슈", 0, 0, None), ("prefix", "쿠카", "쿠카슈", 0, 0, None)]))
+def alias_candidates(spark, sf):
+    """Pairs with the review counts and markets of both names."""
+    names = spark.createDataFrame([("쿠키",), ("쿠카",), ("쿠카슈",), ("말차",)], "name string")
+    stats = registry.name_stats(spark.createDataFrame([("쿠키", "연찌"), ("쿠키", "빈짱")], "product string, market string"))
+    return registry.alias_candidates(names, stats).select("kind", "a", "b", "n_a", "n_b", joined(F.col("markets_a")).alias("markets_a"))
+
+
+@query(stated("market VARCHAR, tag VARCHAR", [("연찌", "쿠키"), ("연찌", "빵")]))
+def registry_products(spark, sf):
+    """Product rows only."""
+    rows = spark.createDataFrame([("연찌", "쿠키", 3, "product"), ("연찌", "빵", 1, "product"), ("연찌", "연찌", 9, "market_tag")], "market string, tag string, n_posts int, class string")
+    return registry.registry_products(rows).select("market", "tag")
+
+
+EDITS = "market string, product string, field string, value string, unknown boolean"
+
+
+@query(stated("product VARCHAR, scent VARCHAR, base_combo VARCHAR", [("빵", "새콤", "b"), ("쿠키", None, "b")]))
+def cleared_blanks(spark, sf):
+    """What a human blanked becomes NULL; an edit with a value is not applied here."""
+    specs = spark.createDataFrame([("연찌", "쿠키", "새콤", "b"), ("연찌", "빵", "새콤", "b")], "market string, product string, scent string, base_combo string")
+    edits = spark.createDataFrame([("연찌", "쿠키", "scent", " ", False), ("연찌", "빵", "base_combo", "x", False)], EDITS)
+    return merge.clear_blanks(specs, edits, ["market", "product"], ["scent", "base_combo"]).select("product", "scent", "base_combo")
+
+
+@query(stated("product VARCHAR, field VARCHAR, value VARCHAR, was VARCHAR, \"at\" VARCHAR", [("쿠키", "scent", "달콤", "새콤", "2026-01-01")]))
+def override_entry(spark, sf):
+    """The edit of one field, trimmed, with the value it replaces."""
+    specs = spark.createDataFrame([("연찌", "쿠키", "새콤"), ("연찌", "빵", None)], "market string, product string, scent string")
+    out = merge.overlay_entry(specs, {"market": "연찌", "product": "쿠키"}, "scent", " 달콤 ", "2026-01-01", ["scent"])
+    return out.select("product", "field", "value", "was", "at")
+
+
+@query(stated("context VARCHAR, citations VARCHAR", [("[1] 향\n[2] \n[3] 색", "7|9|8")]))
+def search_context(spark, sf):
+    """Hits in order as one numbered block, and their ids."""
+    hits = spark.createDataFrame([(8, 2, "색"), (7, 0, "향"), (9, 1, None)], "id int, rank int, evidence string")
+    out = retrieval.context(hits)
+    return out.select("context", F.array_join(F.transform("citations", lambda c: c.cast("string")), "|").alias("citations"))
+
+
+@query(stated("criterion VARCHAR, verdict VARCHAR", [("scent", "좋아요"), ("cs", "친절해요"), ("shipping", "옛말")]))
+def axis_verdicts(spark, sf):
+    """Order criteria come from the market's own summary where it has one."""
+    products = spark.createDataFrame([("scent", "좋아요"), ("cs", "옛말"), ("shipping", "옛말")], "criterion string, verdict string")
+    markets = spark.createDataFrame([("cs", "친절해요"), ("scent", "아님")], "criterion string, verdict string")
+    scope = F.when(F.col("criterion").isin("cs", "shipping"), "market").otherwise("product")
+    return consolidate.axis_payload(products, markets, ["criterion"], scope).select("criterion", "verdict")
+
+
+def viewed_reviews(spark: SparkSession) -> DataFrame:
+    """Two products in one comment, two posts of another platform, of which one is promoted."""
+    base = dict.fromkeys(f.name for f in schema.REVIEWS.fields) | {"market": "연찌", "product": "쿠키", "review_class": "genuine", "overall_sentiment": "pos"}
+    comment, post = ("dcinside", "http://d/1", None, "7", None, None), lambda s: ("instagram", f"https://www.instagram.com/p/{s}/", None, None, None, s)
+    rows = [
+        base | {"id": 1, "source": "amos", "source_ref": comment, "scent_sentiment": "pos", "scent": "새콤", "shipping_cs_sentiment": "neg"},
+        base | {"id": 2, "source": "amos", "source_ref": comment, "product": "빵", "overall_sentiment": "neg", "scent_sentiment": "neg", "shipping_cs_sentiment": "neg"},
+        base | {"id": 3, "source": "instagram", "source_ref": post("A"), "scent_sentiment": "pos"},
+        base | {"id": 4, "source": "instagram", "source_ref": post("B"), "review_class": "promo", "scent_sentiment": "pos"},
+    ]
+    return spark.createDataFrame([tuple(r[f.name] for f in schema.REVIEWS.fields) for r in rows], schema.REVIEWS)
+
+
+@query(stated("scope VARCHAR, criterion VARCHAR, pos BIGINT, neg BIGINT", [
+    ("market", "scent", 2, 1), ("market", "cs", 0, 1), ("market", "shipping", 0, 1), ("product", "scent", 2, 0), ("product", "cs", 0, 1), ("product", "shipping", 0, 1)]))
+def consolidated_totals(spark, sf):
+    """Promoted reviews are apart; a comment on two products counts once for the order."""
+    specs, none = spark.createDataFrame([], schema.SPECS), spark.createDataFrame([], schema.SUMMARIES)
+    total = lambda name, p: views.consolidated_for(specs, viewed_reviews(spark), none, "연찌", p).stats.where("is_total = 1 and n > 0").select(
+        F.lit(name).alias("scope"), "criterion", "pos", "neg"
+    )
+    return total("market", None).unionByName(total("product", "쿠키"))
+
+
+@query(stated("platform VARCHAR, n_orders BIGINT, neg BIGINT", [("dcinside", 1, 1), ("instagram", 1, 0)]))
+def orders_of_a_market(spark, sf):
+    """Each piece is one order."""
+    return views.order_view_for(viewed_reviews(spark), "연찌").select("platform", "n_orders", F.coalesce("neg", F.lit(0).cast("long")).alias("neg"))
+
+
+@query(stated("product VARCHAR, platform VARCHAR, scent VARCHAR, n_reviews BIGINT", [("쿠키", "dcinside", "새콤해요.", 1)]))
+def generated_summaries(spark, sf):
+    """One call for each product and platform with material, none without."""
+    out = views.generate_summaries(viewed_reviews(spark), "연찌", True, lambda p: {"scent": "새콤해요." if "새콤" in p else "?"})
+    return out.select("product", "platform", "scent", "n_reviews")
+
+
+@query(stated("mention VARCHAR, market VARCHAR", [("ㅇㅉ", "연찌"), ("모르는 곳", "모르는 곳"), (" ", None)]))
+def resolved_markets(spark, sf):
+    """The canonical word of a mention; unknown text stays, blank text is none."""
+    rows = [(m, views.resolve_market(knowledge(spark), m)) for m in ("ㅇㅉ", "모르는 곳", " ")]
+    return spark.createDataFrame(rows, "mention string, market string")
+
+
 # --- whole runs
 
 THREADS = [  # anchor, batch, pos, thread, type, comment, ordinal, url, text
