@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -107,12 +107,16 @@ def is_non_product_word(x: Column) -> Column:
     return (core != "") & (core.isin(*words) | marked | is_all_jamo(text_of(x)))
 
 
+def once(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(x)`` with ``x`` evaluated once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
 def label_core(x: Column) -> Column:
     """The body of a sale label: without trailing counts (three times at most), one deictic, leading digits."""
     s = squeezed(x)
     for _ in range(3):
-        cut = F.regexp_replace(s, "(?U)" + L.LABEL_TAIL, "")
-        s = F.when(cut != "", cut).otherwise(s)
+        s = once(s, lambda v: once(F.regexp_replace(v, "(?U)" + L.LABEL_TAIL, ""), lambda cut: F.when(cut != "", cut).otherwise(v)))
     deictic = "^(?:" + L.any_of(L.LABEL_DEICTICS) + ")(?=.)"
     s = F.regexp_replace(s, deictic, "")
     return F.regexp_replace(s, r"^\d+\s*(?=.)", "")
@@ -126,17 +130,20 @@ def is_non_product_label(x: Column, known: Column) -> Column:
 def is_sale_label(x: Column, known: Column, any_known: Column) -> Column:
     """F16: a form of sale rather than a product; ``known`` says whether the name's key is that of a known
     product, ``any_known`` whether there are known products at all."""
-    raw, core = squeezed(x), label_core(x)
-    is_label = core.isin(*L.SALE_LABELS, *L.SALE_LABELS_EXACT)
     missing = ~known
-    ends = core.rlike("(?:" + L.any_of(L.SALE_LABELS) + ")$")
-    return (
-        F.when(core == "", False)
-        .when(is_label & (raw == core), True)
-        .when(is_label, missing)
-        .when(~ends | ~any_known, False)
-        .otherwise(missing)
-    )
+
+    def judge(core: Column) -> Column:
+        is_label = core.isin(*L.SALE_LABELS, *L.SALE_LABELS_EXACT)
+        ends = core.rlike("(?:" + L.any_of(L.SALE_LABELS) + ")$")
+        return (
+            F.when(core == "", False)
+            .when(is_label & (squeezed(x) == core), True)
+            .when(is_label, missing)
+            .when(~ends | ~any_known, False)
+            .otherwise(missing)
+        )
+
+    return once(label_core(x), judge)
 
 
 def offends(sentence: Column) -> Column:
