@@ -586,7 +586,7 @@ def path_keys(spark, sf):
 
 # --- social sources, hooks and the views of sources apart
 
-POSTS = [  # id, shortCode, url, caption, ownerUsername, hashtags, timestamp, likes, comments, inputUrl
+SOCIAL_ITEMS = [  # id, shortCode, url, caption, ownerUsername, hashtags, timestamp, likes, comments, inputUrl
     ("1", "A", "https://www.instagram.com/p/A/", "말차쿠키 정말 쫀득하고 좋아요 #말차쿠키", "fan", ["말차쿠키"], "2026-01-02", 3, 1, None),
     ("2", "A", "https://www.instagram.com/p/A/", "말차쿠키 정말 쫀득하고 좋아요 #말차쿠키", "fan", ["말차쿠키"], "2026-01-02", 3, 1, None),
     ("3", "B", "https://www.instagram.com/p/B/", "오늘 올라온 새 글이에요 #빵 #색", None, None, "2026-01-03", None, None, "https://www.instagram.com/yeonzzi/"),
@@ -596,7 +596,7 @@ POSTS = [  # id, shortCode, url, caption, ownerUsername, hashtags, timestamp, li
 
 
 def posts_of(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(POSTS, social.ITEM)
+    return spark.createDataFrame(SOCIAL_ITEMS, social.ITEM)
 
 
 @query(stated("shortcode VARCHAR, hashtags VARCHAR, hashtag VARCHAR, likes INTEGER, review_class VARCHAR", [
