@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import chat, fingerprints, langid, neardup, packing, quality, rules, sharding, spiece, tokencounts
+from tallyglass.llm import (
+    chat, collocations, filteraudit, fingerprints, langid, mixing, neardup, packing, quality, rules, sharding, spiece, tokencounts,
+)
 from tallyglass.llm.common import read
 
 #: The conversation that holds every template's control strings, added to the table by op1.
@@ -61,10 +63,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 #: In the order of the operators' numbers.
 QUERIES = (
     op1_chat_formatting, op2_document_fingerprints, op3_language_id, op4_packing, op5_quality_classifier,
     op6_quality_rules, op7_minhash_near_dedup, op8_sharding, op9_sentencepiece, op10_token_counts,
+    op11_filter_audit, op12_collocations, op13_mixing,
 )
 
 
@@ -161,5 +177,95 @@ FROM s LEFT JOIN comp ON comp.doc_id = s.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (
+  SELECT d.part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)::INT AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+    FROM labels GROUP BY doc_id) AS l ON l.doc_id = d.doc_id),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f AS a, f AS b, f AS c, f AS d, f AS e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (
+  SELECT filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS bit,
+    list_sum([0] || list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', filter_order[i]) - 1)))::INT AS gone
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step,
+  coalesce(sum(n) FILTER (WHERE mask & (gone | bit) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & gone = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & gone <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & gone = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & gone = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (WHERE mask & bit <> 0), 0)::BIGINT AS shapley
+FROM cells, s GROUP BY ALL
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+occ AS (
+  SELECT lang, 1 AS k, unnest(w) AS g FROM w
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM w)
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w)),
+f AS (SELECT lang, k, g, count(*) AS f FROM occ GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS p FROM f WHERE k > 1 AND f >= 10),
+cut AS (
+  SELECT lang, k, g, a, p, c, array_to_string(p[1:c], ' ') AS g1, array_to_string(p[c + 1:k], ' ') AS g2
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM cand)),
+best AS (
+  SELECT cut.lang, cut.k, cut.g, cut.a, cut.p, f1.f AS l, f2.f AS r,
+    (1000000::HUGEINT * a * a // (f1.f::HUGEINT * f2.f))::BIGINT AS score, c
+  FROM cut JOIN f AS f1 ON f1.lang = cut.lang AND f1.g = g1 JOIN f AS f2 ON f2.lang = cut.lang AND f2.g = g2
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.g ORDER BY score, c) = 1),
+held AS (
+  SELECT lang, g, max(a) AS m FROM (
+    SELECT lang, a, unnest([p[1] || ' ' || p[2], p[2] || ' ' || p[3]]) AS g FROM cand WHERE k = 3) GROUP BY ALL)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.g) AS rank,
+  best.g AS phrase, a, l, r, n, score
+FROM best LEFT JOIN held ON held.lang = best.lang AND held.g = best.g JOIN n ON n.lang = best.lang
+WHERE m IS NULL OR 100 * m < 50 * a
+QUALIFY rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || md5('mix' || chr(10) || coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, ''))[1:13])::BIGINT
+      / 4503599627370496.0::DOUBLE AS draw FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS most,
+    [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+lv AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - coalesce(sum(most) OVER before, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level FROM s
+  WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size, CASE WHEN most <= level * weight THEN most
+    ELSE (max(level) FILTER (WHERE most > level * weight) OVER ()) * weight END AS target FROM lv),
+r AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, (floor(rate) + (draw < rate - floor(rate))::INT)::BIGINT AS copies,
+  size * (floor(rate) + (draw < rate - floor(rate))::INT)::BIGINT AS taken FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL}
+    return {
+        "op1_chat_formatting": OP1_SQL, "op6_quality_rules": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL,
+        "op11_filter_audit": OP11_SQL, "op12_collocations": OP12_SQL, "op13_mixing": OP13_SQL,
+    }
