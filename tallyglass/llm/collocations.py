@@ -3,12 +3,17 @@
 Every word starts one suffix of its piece, cut after ``max_n`` words. Suffixes are counted where they
 are read, dealt out by language and first word, and sorted in reverse; one stack then counts all
 their prefixes, which are all phrases of up to ``max_n`` words. Parts of phrases are joined afterwards.
+
+Texts are read twice: most suffixes of prose are different, so a table of them would be far larger
+than the texts, while a count of first words, which says how to deal them out, is small.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import quote, unquote
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ MOST_WORDS, MOST_HELD = 1 << 19, 1 << 21
 #: Bytes of a text that are split into words at once, and words that are counted at once.
 SLICE_BYTES, BLOCK_WORDS = 1 << 18, 1 << 19
 OUT_ROWS = 1 << 16
-#: A first word with more than one in HOT of all suffix rows (fewer than HOT words) is dealt out to SALTS tasks.
+#: A first word with more than one in HOT of all words (so fewer than HOT words) is dealt out to SALTS tasks.
 HOT, SALTS = 512, 64
 #: Parts in which a language's phrases are ranked before the last ranking, which so gets TOP rows of each.
 RANK_PARTS = 256
@@ -46,10 +51,14 @@ class _Numbers(dict):
 
 
 class _Counter:
-    """Counts suffixes of up to ``max_n`` words by language, in bounded memory."""
+    """Counts suffixes of up to ``max_n`` words by language, in bounded memory.
+
+    What it hands on goes through ``rows``: the language, the numbers of the suffixes' words by place
+    (0 where a suffix has ended), their counts, and the words' bytes, heads and hashes by number.
+    """
 
-    def __init__(self, max_n: int) -> None:
-        self.max_n, self.bits = max_n, 63 // max_n
+    def __init__(self, max_n: int, rows: Callable[..., pa.RecordBatch]) -> None:
+        self.max_n, self.bits, self.rows = max_n, 63 // max_n, rows
         self.slice = min(SLICE_BYTES, 1 << (self.bits - 1))
         self.most = min(MOST_WORDS, 1 << self.bits) - self.slice // 2 - 3
         self.reset()
@@ -92,7 +101,7 @@ class _Counter:
         parts = self.done.setdefault(lang, [])
         parts.append((keys, counts))
         self.held += len(keys)
-        if len(parts) > 1 and len(parts[-1][0]) + sum(len(p[0]) for p in parts[1:]) > len(parts[0][0]):
+        if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > len(parts[0][0]):
             self.merge(lang)
 
     def merge(self, lang: str) -> None:
@@ -112,37 +121,50 @@ class _Counter:
         words = list(self.numbers)  # in the order of their numbers
         words[0] = b""
         left = [words[n] or b"." for n in self.open.get(going_on, [])]
-        dictionary = pa.array(words, pa.binary())
+        low = (1 << self.bits) - 1
         for lang in self.done:
             self.merge(lang)
             keys, counts = self.done[lang][0]
+            heads = [_head(lang, w) for w in words]
+            hashes = np.fromiter(map(crc32, heads), dtype=np.int64, count=len(heads))
             for lo in range(0, len(keys), OUT_ROWS):
-                yield self.rows(lang, keys[lo : lo + OUT_ROWS], counts[lo : lo + OUT_ROWS], dictionary)
+                own = keys[lo : lo + OUT_ROWS]
+                ids = [(own >> (self.bits * (self.max_n - 1 - k))) & low for k in range(self.max_n)]
+                yield self.rows(lang, ids, counts[lo : lo + OUT_ROWS], words, heads, hashes)
         self.reset()
         if left:
             self.open[going_on] = [self.numbers[w] for w in left]
 
-    def rows(self, lang: str, keys: np.ndarray, counts: np.ndarray, dictionary: pa.Array) -> pa.RecordBatch:
-        """(lang, first, rest, n); each word of the rest ends with a blank, so that what begins alike sorts together."""
-        low = (1 << self.bits) - 1
-        word = [(keys >> (self.bits * (self.max_n - 1 - k))) & low for k in range(self.max_n)]
-        rest = pa.array([b""] * len(keys), pa.binary())
-        for w in word[1:]:
-            more = pc.binary_join_element_wise(dictionary.take(pa.array(w)), pa.scalar(b""), pa.scalar(b" "))
-            rest = pc.if_else(pa.array(w > 0), pc.binary_join_element_wise(rest, more, pa.scalar(b"")), rest)
-        cols = [pa.array([lang] * len(keys), pa.string()), dictionary.take(pa.array(word[0])), rest, pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, ["lang", "first", "rest", "n"])
 
+def _head(lang: str, word: bytes) -> bytes:
+    """Language and first word as one word without blanks, which ends with one."""
+    return quote(lang, safe="").encode() + b"\n" + word + b" "
 
-def suffixes(docs: DataFrame, text: str = "text", lang: str = "lang", max_n: int = MAX_N) -> DataFrame:
-    """(lang, first, rest, n): suffixes of at most ``max_n`` words with the times a task has met them.
 
-    A task counts what it reads before anything is shuffled; a suffix comes once for each time a task hands
-    on its counts. Long texts are read whole, slice by slice.
-    """
+def _slots(lang, ids, counts, words, heads, hashes) -> pa.RecordBatch:
+    columns = [pa.array([lang] * len(counts), pa.string()), pa.array(hashes[ids[0]]), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "slot", "n"])
+
+
+def _suffixes(hot: frozenset[int]) -> Callable[..., pa.RecordBatch]:
+    spread = np.array(sorted(hot), dtype=np.int64)
+
+    def rows(lang, ids, counts, words, heads, hashes) -> pa.RecordBatch:
+        key, table = pa.array(heads, pa.binary()).take(pa.array(ids[0])), pa.array(words, pa.binary())
+        slot, salt = hashes[ids[0]], np.zeros(len(counts), dtype=np.int64)
+        for word in ids[1:]:
+            salt = (salt * 31 + np.where(word > 0, hashes[word], 0)) % 1_000_003
+            longer = pc.binary_join_element_wise(key, table.take(pa.array(word)), pa.scalar(b" "), pa.scalar(b""))
+            key = pc.if_else(pa.array(word > 0), longer, key)
+        slot = np.where(np.isin(slot, spread), slot | ((salt % SALTS + 1) << 32), slot)
+        return pa.RecordBatch.from_arrays([pa.array(slot), key, pa.array(counts, pa.int64())], ["slot", "key", "n"])
+
+    return rows
 
+
+def _counted(docs: DataFrame, text: str, lang: str, max_n: int, rows: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(max_n)
+        counter = _Counter(max_n, rows)
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield from counter.add(name, t.as_py())
@@ -152,52 +174,64 @@ def suffixes(docs: DataFrame, text: str = "text", lang: str = "lang", max_n: int
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"),
     )
-    return map_batches(own, count, "lang string, first binary, rest binary, n long")
+    return map_batches(own, count, schema)
+
+
+def word_totals(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, slot, n): words by language and a 32-bit hash of both; words that share one are told apart later."""
+    counted = _counted(docs, text, lang, 1, _slots, "lang string, slot long, n long")
+    return counted.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+
+
+def suffixes(docs: DataFrame, text: str = "text", lang: str = "lang", max_n: int = MAX_N, hot: frozenset[int] = frozenset()) -> DataFrame:
+    """(slot, key, n): suffixes of at most ``max_n`` words with the times a task has met them.
+
+    A key is the head of language and first word and the other words, each with a blank after it, so that
+    what begins alike sorts together. Suffixes of one slot meet in one task: those of one first word, or,
+    if its hash is in ``hot``, those of one salt, which is a hash of the other words.
+    """
+    return _counted(docs, text, lang, max_n, _suffixes(hot), "slot long, key binary, n long")
 
 
-def _prefixes(min_count: int, max_n: int):
+def _prefixes(min_count: int, max_n: int, hot: frozenset[int]):
     """Counts of all prefixes of reverse-sorted suffixes, by one stack of the words of the suffix at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[bytes] = []  # the words at hand, and how often each of their prefixes was met so far
         counts: list[int] = []
-        of: tuple | None = None
+        spread = False
         out: tuple[list, list, list, list] = ([], [], [], [])
-        hot = False
 
         def pop(depth: int) -> None:
             while len(stack) > depth:
                 n, size = counts.pop(), len(stack)
                 # what a salted first word begins is counted in several tasks, but for whole suffixes
-                if n >= min_count or (hot and size < max_n):
-                    for column, value in zip(out, (of[0], b" ".join(stack), size, n)):
+                if n >= min_count or (spread and size < max_n):
+                    of, phrase = b" ".join(stack).split(b"\n")
+                    for column, value in zip(out, (unquote(of.decode()), phrase, size, n)):
                         column.append(value)
                 if size > 1:
                     counts[-1] += n
                 stack.pop()
 
         def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())],
-                ["lang", "phrase", "words", "f"],
-            )
+            kinds = (pa.string(), pa.binary(), pa.int32(), pa.int64())
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["lang", "phrase", "words", "f"])
             for column in out:
                 column.clear()
             return made
 
         for b in batches:
-            for lang, first, rest, n, salted in zip(*[c.to_pylist() for c in b.columns]):
-                if (lang, first) != of:
-                    pop(0)
-                    of, hot = (lang, first), salted
-                    stack.append(first)
-                    counts.append(0)
-                words = rest.split(b" ")
+            for key, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = key.split(b" ")
                 words.pop()
-                same = 0
-                while same < len(words) and same + 1 < len(stack) and stack[same + 1] == words[same]:
+                same, most = 0, min(len(words), len(stack))
+                while same < most and stack[same] == words[same]:
                     same += 1
-                pop(same + 1)
+                if same < len(stack):
+                    pop(same)
+                if not same:
+                    spread = crc32(words[0] + b" ") in hot
                 for w in words[same:]:
                     stack.append(w)
                     counts.append(0)
@@ -210,20 +244,21 @@ def _prefixes(min_count: int, max_n: int):
     return run
 
 
-def phrase_counts(found: DataFrame, min_count: int = MIN_COUNT, max_n: int = MAX_N) -> DataFrame:
-    """(lang, phrase, words, f) of all phrases that occur at least ``min_count`` times, from stored suffixes."""
-    by_first = found.groupBy("lang", "first").agg(F.count("*").alias("rows"))
-    total = found.count()
-    hot = by_first.where(F.col("rows") * HOT > total).select("lang", "first", F.lit(True).alias("hot"))
-    rows = found.join(F.broadcast(hot), ["lang", "first"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # fewer than HOT rows
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rest"), F.lit(SALTS))).otherwise(0)
-    dealt = rows.select("lang", "first", "rest", "n", "hot", salt.alias("salt")).repartition("lang", "first", "salt").drop("salt")
-    dealt = dealt.sortWithinPartitions(F.desc("lang"), F.desc("first"), F.desc("rest"))
-    counted = dealt.mapInArrow(_prefixes(min_count, max_n), "lang string, phrase binary, words int, f long")
+def phrase_counts(docs: DataFrame, hot: frozenset[int], text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, max_n: int = MAX_N) -> DataFrame:
+    """(lang, phrase, words, f) of all phrases that occur at least ``min_count`` times."""
+    dealt = suffixes(docs, text, lang, max_n, hot).repartition("slot").sortWithinPartitions(F.desc("key")).select("key", "n")
+    counted = dealt.mapInArrow(_prefixes(min_count, max_n, hot), "lang string, phrase binary, words int, f long")
     whole = counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
     return whole.withColumn("phrase", F.decode("phrase", "UTF-8"))
 
 
+def hot_slots(totals: DataFrame) -> frozenset[int]:
+    """Slots with more than one in ``HOT`` of all words: fewer than ``HOT`` numbers reach the driver."""
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    slots = totals.groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") * HOT > total)
+    return frozenset(r.slot for r in slots.collect())
+
+
 def _score(a: Column, left: Column, right: Column) -> Column:
     """floor(1000000 * a * a / (l * r)), exactly for counts of up to 15 digits."""
     a, left, right = (x.cast("decimal(15,0)") for x in (a, left, right))
@@ -253,9 +288,9 @@ def collocations(
     """
     if not 2 <= max_n <= 5:
         raise ValueError("max_n must be 2 to 5")
-    found = stored(suffixes(docs, text, lang, max_n), "suffixes")
-    every = stored(phrase_counts(found, min_count, max_n), "phrases")
-    n = found.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = stored(word_totals(docs, text, lang), "words")
+    every = stored(phrase_counts(docs, hot_slots(totals), text, lang, min_count, max_n), "phrases")
+    n = totals.groupBy("lang").agg(F.sum("n").alias("n"))
     phrases = every.where("words > 1")
 
     cut = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
