@@ -137,8 +137,8 @@ class _Counter:
 
 
 def _head(lang: str, word: bytes) -> bytes:
-    """Language and first word as one word without blanks, which ends with one."""
-    return quote(lang, safe="").encode() + b"\n" + word + b" "
+    """First word and language as one word without blanks, which ends with one."""
+    return word + b"\n" + quote(lang, safe="").encode() + b" "
 
 
 def _slots(lang, ids, counts, words, heads, hashes) -> pa.RecordBatch:
@@ -186,7 +186,7 @@ def word_totals(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 def suffixes(docs: DataFrame, text: str = "text", lang: str = "lang", max_n: int = MAX_N, hot: frozenset[int] = frozenset()) -> DataFrame:
     """(slot, key, n): suffixes of at most ``max_n`` words with the times a task has met them.
 
-    A key is the head of language and first word and the other words, each with a blank after it, so that
+    A key is the head of first word and language and the other words, each with a blank after it, so that
     what begins alike sorts together. Suffixes of one slot meet in one task: those of one first word, or,
     if its hash is in ``hot``, those of one salt, which is a hash of the other words.
     """
@@ -194,56 +194,65 @@ def suffixes(docs: DataFrame, text: str = "text", lang: str = "lang", max_n: int
 
 
 def _prefixes(min_count: int, max_n: int, hot: frozenset[int]):
-    """Counts of all prefixes of reverse-sorted suffixes, by one stack of the words of the suffix at hand."""
+    """Counts of all prefixes of reverse-sorted suffixes.
+
+    The stack holds the prefixes of the last suffix of a batch and what they count so far; inside a batch a
+    prefix is a run of rows whose first words stay the same, and its count the sum over the run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[bytes] = []  # the words at hand, and how often each of their prefixes was met so far
-        counts: list[int] = []
-        spread = False
-        out: tuple[list, list, list, list] = ([], [], [], [])
-
-        def pop(depth: int) -> None:
-            while len(stack) > depth:
-                n, size = counts.pop(), len(stack)
+        last: pa.Array | None = None  # the suffix at hand, and by depth what its prefixes count so far
+        stack = [0] * max_n
+        for b in (*batches, None):
+            if b is not None and not b.num_rows:
+                continue
+            if b is None:
+                if last is None:
+                    return
+                keys, n = pa.concat_arrays([last, pa.array([b""], pa.binary())]), np.zeros(2, dtype=np.int64)  # ends every prefix
+            else:
+                keys, n = b.column(0), np.asarray(b.column(1))
+                if last is not None:
+                    keys, n = pa.concat_arrays([last, keys]), np.r_[0, n]
+            split = pc.split_pattern(keys, b" ")
+            at, words = np.asarray(split.offsets).astype(np.int64), split.values
+            depth, upto = np.diff(at) - 1, np.r_[0, np.cumsum(n)]
+            same, spread, columns, made = np.ones(len(n) - 1, dtype=bool), None, [], []
+            for d in range(max_n):
+                has = depth > d
+                columns.append(words.take(pa.array(np.where(has, at[:-1] + d, 0), mask=~has)))
+                equal = pc.equal(columns[d].slice(1), columns[d].slice(0, len(n) - 1))
+                same = same & np.asarray(pc.fill_null(equal, False))
+                start = np.flatnonzero(np.r_[True, ~same])
+                sums = np.diff(np.r_[upto[start], upto[-1]])
+                sums[0] += stack[d]
+                stack[d] = int(sums[-1])  # the last run may go on
+                if d == 0:
+                    heads = columns[0].take(pa.array(start)).to_pylist() if hot else []
+                    ours = np.array([crc32(h + b" ") in hot if h else False for h in heads]) if hot else np.zeros(len(start), dtype=bool)
+                    spread = np.repeat(ours, np.diff(np.r_[start, len(n)]))
                 # what a salted first word begins is counted in several tasks, but for whole suffixes
-                if n >= min_count or (spread and size < max_n):
-                    of, phrase = b" ".join(stack).split(b"\n")
-                    for column, value in zip(out, (unquote(of.decode()), phrase, size, n)):
-                        column.append(value)
-                if size > 1:
-                    counts[-1] += n
-                stack.pop()
-
-        def batch() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.binary(), pa.int32(), pa.int64())
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["lang", "phrase", "words", "f"])
-            for column in out:
-                column.clear()
-            return made
-
-        for b in batches:
-            for key, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = key.split(b" ")
-                words.pop()
-                same, most = 0, min(len(words), len(stack))
-                while same < most and stack[same] == words[same]:
-                    same += 1
-                if same < len(stack):
-                    pop(same)
-                if not same:
-                    spread = crc32(words[0] + b" ") in hot
-                for w in words[same:]:
-                    stack.append(w)
-                    counts.append(0)
-                counts[-1] += n
-            if len(out[0]) >= OUT_ROWS:
-                yield batch()
-        pop(0)
-        yield batch()
+                enough = (sums >= min_count) | (spread[start] & (d + 1 < max_n))
+                enough[-1] = False
+                chosen = pa.array(start[enough & has[start]])
+                if len(chosen):
+                    made.append(_phrases([c.take(chosen) for c in columns], sums[enough & has[start]]))
+            last = keys.slice(len(keys) - 1)
+            yield from made
 
     return run
 
 
+def _phrases(words: list[pa.Array], counts: np.ndarray) -> pa.RecordBatch:
+    """(lang, phrase, words, f) from heads, further words and counts."""
+    parts = pc.split_pattern(words[0], b"\n").values
+    first, of = parts.take(pa.array(np.arange(0, len(parts), 2))), parts.take(pa.array(np.arange(1, len(parts), 2))).dictionary_encode()
+    lang = pa.array([unquote(x.decode()) for x in of.dictionary.to_pylist()], pa.string()).take(of.indices)
+    phrase = pc.binary_join_element_wise(first, *words[1:], pa.scalar(b" ")) if len(words) > 1 else first
+    size = pa.array(np.full(len(counts), len(words), dtype=np.int32))
+    return pa.RecordBatch.from_arrays([lang, phrase, size, pa.array(counts, pa.int64())], ["lang", "phrase", "words", "f"])
+
+
 def phrase_counts(docs: DataFrame, hot: frozenset[int], text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, max_n: int = MAX_N) -> DataFrame:
     """(lang, phrase, words, f) of all phrases that occur at least ``min_count`` times."""
     dealt = suffixes(docs, text, lang, max_n, hot).repartition("slot").sortWithinPartitions(F.desc("key")).select("key", "n")

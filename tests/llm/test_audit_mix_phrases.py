@@ -9,6 +9,7 @@ from itertools import permutations
 from zlib import crc32
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tallyglass.llm import collocations, filteraudit, mixing, queries
@@ -184,7 +185,29 @@ def test_counter_hands_on_in_small_memory(monkeypatch):
     by_first = defaultdict(set)
     for key, own in slots.items():
         by_first[key.split(b" ")[0]] |= own
-    assert {k for k, own in by_first.items() if len(own) > 1} == {b"en\nthe", b"en\nof"}
+    assert {k for k, own in by_first.items() if len(own) > 1} == {b"the\nen", b"of\nen"}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_prefixes_go_on_over_batches(size):
+    r = random.Random(size)
+    rows = Counter()
+    for _ in range(300):
+        w = r.choices([b"a", b"ab", b"b", b"\x01", "é".encode()], [5, 2, 2, 1, 1], k=r.randint(1, 3))
+        rows[collocations._head(r.choice(["en", "x y"]), w[0]) + b"".join(x + b" " for x in w[1:])] += r.randint(1, 4)
+    keys = [k for k in sorted(rows, reverse=True) for _ in range(r.randint(1, 2))]  # a suffix may come from several tasks
+    want = Counter()
+    for k in keys:
+        words = k.split(b" ")[:-1]
+        first, lang = words[0].split(b"\n")
+        for d in range(len(words)):
+            want[lang.decode().replace("%20", " "), b" ".join([first, *words[1 : d + 1]]), d + 1] += rows[k]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size], pa.binary()), pa.array([rows[k] for k in keys[i : i + size]], pa.int64())], ["key", "n"]) for i in range(0, len(keys), size)]
+    for hot in (frozenset(), frozenset([crc32(collocations._head("en", b"a"))])):
+        got = [x for b in collocations._prefixes(10, 3, hot)(iter(batches)) for x in zip(*[c.to_pylist() for c in b.columns])]
+        few = lambda lang, phrase, d: bool(hot) and d < 3 and lang == "en" and phrase.split(b" ")[0] == b"a"
+        assert sorted(got) == sorted((*k, n) for k, n in want.items() if n >= 10 or few(*k)) and got
+    assert list(collocations._prefixes(10, 3, frozenset())(iter([]))) == []
 
 
 def test_collocations_score_is_exact(spark):
