@@ -151,6 +151,11 @@ def offends(sentence: Column) -> Column:
     return sentence.rlike("(?U)" + L.ABSENCE) | sentence.rlike("(?U)" + L.SUMMARY_META)
 
 
+def offending_sentences(x: Column) -> Column:
+    """the sentences that ``scrubbed`` takes out, in order."""
+    return F.filter(sentences(x), offends)
+
+
 def scrubbed(x: Column) -> Column:
     """a summary cell without offending sentences, NULL if none is left."""
     return F.nullif(F.array_join(F.filter(sentences(x), lambda s: ~offends(s)), " "), F.lit(""))

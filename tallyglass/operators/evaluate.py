@@ -141,7 +141,7 @@ def attribution_audit(reviews: DataFrame, source: str, market: str, product: str
 
 
 def occurrence_join(gold: DataFrame, raw: DataFrame, text: str, gold_order: str, raw_order: str) -> DataFrame:
-    """The k-th gold occurrence of a text meets its k-th raw occurrence."""
+    """The k-th gold occurrence of a text meets its k-th raw occurrence; ``alignment`` has the cursor of J24."""
     k = lambda o: F.row_number().over(Window.partitionBy(text).orderBy(o))
     a, b = gold.withColumn("_k", k(gold_order)), raw.withColumn("_k", k(raw_order))
     return a.join(b, [text, "_k"]).drop("_k")
@@ -179,7 +179,7 @@ def harvest(pieces: DataFrame, post: str, order: str, text: str, per_post: int =
 
 
 def fit_probe(x: np.ndarray, y: np.ndarray, rate: float = 2.0, rounds: int = 4000, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """V8: logistic regression by full gradient steps from zero, for a labelled set of a few hundred rows."""
+    """V8 for a labelled set of a few hundred rows in memory; ``probe`` fits tables."""
     w, b, n = np.zeros(x.shape[1]), 0.0, len(x)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-((x * w).sum(axis=1) + b)))

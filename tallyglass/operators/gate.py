@@ -10,6 +10,7 @@ from tallyglass.functions import lexicon as L
 from tallyglass.functions.numbers import dot, normalised
 from tallyglass.functions.rules import has_firsthand, is_meta, is_negative, is_question
 from tallyglass.functions.text import trimmed, text_of
+from tallyglass.operators.running import running
 
 
 def max_cosine(chunks: DataFrame, anchor: list[float], id: str = "id", vector: str = "embedding") -> DataFrame:
@@ -40,9 +41,10 @@ def nearest_centroid(df: DataFrame, cents: DataFrame, id: str = "id", vector: st
     unit = cents.select("label", normalised(F.col("centroid")).alias("c"))
     table = unit.agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("all"))  # one row
     rows = df.select(F.col(id).alias("id"), normalised(F.col(vector)).alias("v")).crossJoin(F.broadcast(table))
-    scored = F.transform("all", lambda x: F.struct(dot(F.col("v"), x["c"]).alias("score"), (-x["label"]).alias("minus")))
-    top = rows.select("id", F.array_max(scored).alias("top")).where("top is not null")
-    return top.select("id", (-F.col("top.minus")).alias("label"), F.col("top.score").alias("score"))
+    scored = F.transform("all", lambda x: F.struct(dot(F.col("v"), x["c"]).alias("score"), x["label"].alias("label")))
+    rows = rows.select("id", F.filter(scored, lambda x: x["score"].isNotNull()).alias("s")).where(F.size("s") > 0)
+    top = F.reduce(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0)), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
+    return rows.select("id", top.alias("top")).select("id", F.col("top.label").alias("label"), F.col("top.score").alias("score"))
 
 
 def signals(df: DataFrame, text: str, probe: Column | None = None, probe_at: float = 0.5) -> DataFrame:
@@ -78,19 +80,18 @@ def budget(df: DataFrame, limit: int, batch: str = "batch", pos: str = "pos", ke
     Batches come in order; a batch is started while fewer than ``limit`` rows were kept before it and
     fewer than 3 x limit examined; within a batch kept rows are ranked by ``rank`` (ties by position)
     and emitted until the budget is used up. Adds examined, kept, rank, started, emitted, unprocessed.
-    ``run`` names the columns of independent runs, which spread over tasks; one run is sequential by
-    its definition, and its counts are taken per batch before they are accumulated.
+    ``run`` names the columns of independent runs. Batches are counted first and their counts summed up in
+    two passes over ranges of them, so neither one run nor a run that holds most batches is one task.
     """
     cap = L.EXAMINE_FACTOR * limit
     per_batch = df.groupBy(*run, batch).agg(F.count("*").alias("_size"))
-    upto = Window.partitionBy(*run).orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
-    per_batch = per_batch.withColumn("_seen", F.coalesce(F.sum("_size").over(upto), F.lit(0)))
+    per_batch = running(per_batch, [batch], {"_seen": F.col("_size")}, list(run))
     own = Window.partitionBy(*run, batch)
     df = df.join(per_batch.drop("_size"), [*run, batch])
     df = df.withColumn("_e", F.col("_seen") + F.row_number().over(own.orderBy(pos)))
     df = df.withColumn("kept", F.col(keep) & (F.col("_e") <= cap))
     kept = df.groupBy(*run, batch).agg(F.sum(F.col("kept").cast("int")).alias("_k"))
-    kept = kept.withColumn("_prior", F.coalesce(F.sum("_k").over(upto), F.lit(0))).drop("_k")
+    kept = running(kept, [batch], {"_prior": F.col("_k")}, list(run)).drop("_k")
     df = df.join(kept, [*run, batch])
     order = own.orderBy(F.desc("kept"), *rank, pos)
     df = df.withColumn("rank", F.when(F.col("kept"), F.row_number().over(order)))

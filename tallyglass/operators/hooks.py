@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.functions import lexicon as L
-from tallyglass.functions.rules import first_marker, promo_gate
+from tallyglass.functions.rules import first_marker, offending_sentences, promo_gate, scrubbed
+from tallyglass.storage import stored
 
 Verdict = tuple[bool, str | None]
 
@@ -98,17 +99,30 @@ def extract_items(df: DataFrame, id: str, text: str, fn: Callable[[str], list[di
 
 
 def sectionize(material: DataFrame, keys: list[str], fn: Callable[[str], dict], fields: list[str]) -> DataFrame:
-    """H5: one summary per key from its material (column ``prompt``), asked again once if sentences offend,
-    then scrubbed. Each field comes back as a column."""
-    from tallyglass.functions.rules import scrubbed
+    """H5: one summary per key from its material (column ``prompt``): each field as a column, and ``n_asked``.
+
+    An answer with offending sentences is asked for once more, with those sentences named; what still
+    offends is scrubbed. Both rounds are stored, so no answer is paid for twice, and rows that do
+    not offend are not asked again. A NULL prompt is not asked at all.
+    """
+    schema = ", ".join(f"{f} string" for f in fields)
 
     @F.pandas_udf(T.StringType())
     def call(prompts: pd.Series) -> pd.Series:
-        return prompts.map(lambda p: json.dumps(fn(p), ensure_ascii=False))
-
-    answer = material.withColumn("_a", call.asNondeterministic()(F.col("prompt")))
-    parsed = answer.withColumn("_p", F.from_json("_a", ", ".join(f"{f} string" for f in fields)))
-    return parsed.select(*keys, *[scrubbed(F.col(f"_p.{f}")).alias(f) for f in fields])
+        return prompts.map(lambda p: None if p is None else json.dumps(fn(p), ensure_ascii=False))
+
+    def asked(df: DataFrame) -> DataFrame:
+        return stored(df.withColumn("_p", F.from_json(call.asNondeterministic()(F.col("prompt")), schema)), "answers")
+
+    first = asked(material.select(*keys, "prompt"))
+    bad = F.flatten(F.array(*[F.coalesce(offending_sentences(F.col(f"_p.{f}")), F.array().cast("array<string>")) for f in fields]))
+    first = first.withColumn("_bad", bad)
+    again = first.where(F.size("_bad") > 0)
+    why = F.concat("prompt", F.lit("\n\nLeave out sentences such as these:\n- "), F.array_join("_bad", "\n- "))
+    second = asked(again.select(*keys, why.alias("prompt")))
+    once, twice = F.when(F.col("prompt").isNotNull(), 1).otherwise(0), F.lit(2)
+    rows = first.where(F.size("_bad") == 0).select(*keys, "_p", once.alias("n_asked")).unionByName(second.select(*keys, "_p", twice.alias("n_asked")))
+    return rows.select(*keys, *[scrubbed(F.col(f"_p.{f}")).alias(f) for f in fields], "n_asked")
 
 
 def retrying(fn: Callable[[str], str], parse: Callable[[str], dict], tries: int = 2, wait: Callable[[int], None] = lambda n: None) -> Callable[[str], dict]:

@@ -179,9 +179,16 @@ def link(
 
 
 def exact_market(df: DataFrame, word: str, kb: DataFrame) -> DataFrame:
-    """The knowledge base row of a canonical market word, without inference."""
-    dim = kb.select(squeezed(F.col("market_word")).alias("_w"), *[F.col(c).alias(f"kb_{c}") for c in kb.columns])
-    return df.withColumn("_w", squeezed(F.col(word))).join(dim.dropDuplicates(["_w"]), "_w", "left").drop("_w")
+    """The knowledge base row of a canonical market word, without inference.
+
+    Where words are equal without white space, the row of the least word counts, and of equal words the
+    least by its other columns.
+    """
+    order = F.struct("market_word", *[F.to_json(F.struct(F.col(c))) for c in kb.columns if c != "market_word"])
+    rows = kb.select(squeezed(F.col("market_word")).alias("_w"), order.alias("_o"), F.struct(*kb.columns).alias("_row"))
+    dim = rows.groupBy("_w").agg(F.min_by("_row", "_o").alias("_row"))
+    dim = dim.select("_w", *[F.col(f"_row.{c}").alias(f"kb_{c}") for c in kb.columns])
+    return df.withColumn("_w", squeezed(F.col(word))).join(dim, "_w", "left").drop("_w")
 
 
 def partition_sellers(posts: DataFrame, kb: DataFrame, owner: str, is_promo: Column | None = None) -> DataFrame:

@@ -5,13 +5,14 @@ Every ``plan_*`` only reads; ``apply_plan`` is the only step that changes rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.functions import lexicon as L
 from tallyglass.functions.rules import has_any, is_non_product_word, is_sale_label
 from tallyglass.functions.text import excerpt, hashtags, product_hashtags, render_review, squeezed, tag_key, text_of, tokens
 from tallyglass.operators import linking, merge
+from tallyglass.storage import stored
 
 C = L.CONFIDENCE
 
@@ -35,6 +36,33 @@ def apply_plan(rows: DataFrame, plan: DataFrame, id: str = "id", rendered: Colum
     return out.select(*rows.columns)
 
 
+def apply_in_place(spark: SparkSession, path: str, partition: str, plan: DataFrame, id: str = "id", rendered: Column | None = None) -> list:
+    """Apply a plan to the Parquet table at ``path``, rewriting only the partitions that hold one of its ids; their values.
+
+    The partitions are found by one scan of the ids, their new content is stored in the shared folder, and
+    then replaces theirs alone (dynamic overwrite); files of other partitions are not touched. A partition that
+    loses all its rows goes. Rows stay in their partition: a plan may not change
+    the partition column. The values of touched partitions reach the driver, as a report.
+    """
+    if f"new_{partition}" in plan.columns:
+        raise ValueError(f"a plan cannot move rows to another {partition}")
+    plan = stored(plan, "plan")
+    rows = spark.read.parquet(path)
+    hit = stored(rows.join(plan.select(id).distinct(), id, "left_semi").select(partition).distinct(), "hit")
+    values = sorted((r[0] for r in hit.collect()), key=lambda v: (v is not None, v))
+    if not values:
+        return []
+    touched = rows.join(F.broadcast(hit.withColumnRenamed(partition, "_hit")), F.col(partition).eqNullSafe(F.col("_hit")), "left_semi")
+    changed = stored(apply_plan(touched, plan, id, rendered), "changed")
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    left = {r[0] for r in changed.select(partition).distinct().collect()}
+    for value in set(values) - left:  # dynamic overwrite leaves partitions without new rows as they were
+        folder = changed.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(partition, None if value is None else str(value))
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{folder}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return values
+
+
 def rendered_row() -> Column:
     """X12 over the promoted columns of a review row."""
     null = F.lit(None).cast("string")

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tallyglass import schema
 from tallyglass.functions import rules
+from tallyglass.functions.lexicon import THREAD_BATCH
 from tallyglass.functions.numbers import dc_post_id, filled_score, held_fingerprint, source_ref, thread_no
 from tallyglass.functions.text import hashtags, is_all_jamo, product_hashtags, render_review, squeezed, tag_key, tokens
 from tallyglass.operators import gate, hooks, linking, maintenance, merge, threads
+from tallyglass.storage import stored
 from tallyglass.streaming import incremental
 
 
@@ -53,17 +55,17 @@ def ingest(
 ) -> Ingested:
     """Pieces (batch, pos, thread_no, comment_no, url, text, market, topic_score) to review rows.
 
-    The seen cut comes before the paid step; the extractor's answers are to be stored by the caller
-    before they are used twice. Rows of a NULL post id are never treated as seen.
+    The seen cut comes before the paid step, and its answers are stored, so no call is made twice. Rows of a
+    NULL post id are never treated as seen.
     """
     spark = pieces.sparkSession
     rows = gate.verdicts(gate.signals(pieces, "text"), platform, "text")
     order = [F.desc("e_bucket"), F.desc("bias_hold"), F.desc("topic_score")]
     gated = gate.budget(rows, budget, rank=order)
     chosen = gated.where("emitted").withColumn("post_id", dc_post_id(F.col("url"), F.col("comment_no"))).withColumn("source", F.lit(source))
-    new = incremental.fresh(chosen, seen, ["source", "post_id"])
+    new = stored(incremental.fresh(chosen, seen, ["source", "post_id"]), "new")
     items = hooks.extract_items(new, "post_id", "text", extract, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in item_type().fields))
-    items = items.withColumnRenamed("id", "post_id").join(new.select("post_id", "text", F.col("market").alias("doc_market"), "source"), "post_id")
+    items = stored(items, "answers").withColumnRenamed("id", "post_id").join(new.select("post_id", "text", F.col("market").alias("doc_market"), "source"), "post_id")
     names = known if known is not None else spark.createDataFrame([], "name string")
     items = keep_items(items, "text", names, vocabulary)
     linked = linking.link(
@@ -100,7 +102,7 @@ def answered(extract: Callable[[str], list[dict]]) -> Callable[[str], list[dict]
 def ingest_threads(
     pieces: DataFrame, seen: DataFrame, kb: DataFrame, specs: DataFrame, extract: Callable[[str], list[dict]] | None, budget: int,
     source: str = "amos", platform: str = "dcinside", revisit: DataFrame | None = None, registry: DataFrame | None = None,
-    known: DataFrame | None = None, vocabulary: DataFrame | None = None, store: Callable[[DataFrame], DataFrame] = lambda df: df,
+    known: DataFrame | None = None, vocabulary: DataFrame | None = None,
 ) -> Ingested:
     """One run over thread pieces (anchor, batch, pos, thread_no, type, comment_no, ordinal, url, text, topic_score).
 
@@ -111,15 +113,17 @@ def ingest_threads(
 
     ``extract`` gets a block of numbered pieces and returns items with ``place``, ``doc_market`` and an
     item's fields, a piece with a market and no review as an item without evidence; without it the run
-    is dry: no rows, and the counters that need no call. ``store`` should write and read back the
-    gate's rows and the answers, so that no call is made twice. A piece without a thread number is a
+    is dry: no rows, and the counters that need no call. Every step is stored, so no call is made twice, and
+    counters are observed as the steps are written: they cost no job. A piece without a thread number is a
     thread of its own; a comment without a number is context only, as its id would not be stable.
     Counters are long: (counter, n).
     """
+    notes = Notes()
     marks = incremental.watermarks(seen.where(F.col("source") == source), ["anchor"], "thread_no")
-    rows = incremental.above(pieces, marks, ["anchor"], F.col("thread_no").cast("long"), revisit)
-    rows = gate.verdicts(gate.signals(rows, "text"), platform, "text")
-    gated = store(gate.budget(rows, budget, rank=[F.desc("e_bucket"), F.desc("bias_hold"), F.desc("topic_score")]))
+    rows = incremental.above(notes.of(pieces, collected=F.count(F.lit(1))), marks, ["anchor"], F.col("thread_no").cast("long"), revisit)
+    rows = stored(gate.verdicts(gate.signals(rows, "text"), platform, "text"), "judged")
+    gated = gate.budget(rows, budget, rank=[F.desc("e_bucket"), F.desc("bias_hold"), F.desc("topic_score")])
+    gated = stored(notes.of(gated, above_mark=F.count(F.lit(1)), emitted=F.count_if("emitted"), gate_unprocessed=F.count_if("unprocessed")), "gated")
     is_post = F.col("type") == "post"
     number = F.when(~is_post, F.col("comment_no"))
     post_id = F.when(is_post | number.isNotNull(), dc_post_id(F.col("url"), number))
@@ -129,28 +133,32 @@ def ingest_threads(
         is_post.alias("is_post"), F.struct(~is_post, "ordinal", "comment_no", "batch", "pos").alias("place_key"), "text",
         source_ref(platform, F.col("url"), F.col("thread_no"), number, F.when(~is_post, F.col("ordinal"))).alias("source_ref"), "anchor",
     )
-    given = incremental.fresh_with_context(chosen, seen, ["source", "post_id"], "thread", "is_post").withColumnRenamed("is_context", "is_seen")
-    chunks = threads.thread_chunks(given, "thread", "place_key", "is_post")
-    calls = lambda df: threads.thread_groups(df, "thread", "is_post").agg(F.coalesce(F.sum("n_calls"), F.lit(0)).alias("n"))
-    every = F.lit(True)
-    counters = [
-        counted(pieces, collected=every), counted(gated, above_mark=every, emitted=F.col("emitted"), gate_unprocessed=F.col("unprocessed")),
-        counted(chosen.join(seen.select("source", "post_id").distinct(), ["source", "post_id"], "left_semi"), skipped_seen=every),
-        counted(given, context_posts=F.col("is_seen"), skipped_no_comment_no=F.col("post_id").isNull()),
-        calls(given).select(F.lit("calls").alias("counter"), "n"), calls(chosen).select(F.lit("calls_without_cut").alias("counter"), "n"),
-    ]
+    chosen = incremental.fresh_marked(chosen, seen, ["source", "post_id"])
+    chosen = stored(notes.of(chosen, skipped_seen=F.count_if("is_seen")), "chosen")
+    asked = chosen.groupBy("thread").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("is_seen")).alias("n_new"), F.count_if(F.col("is_seen") & F.col("is_post")).alias("n_posts")
+    )
+    calls = lambda n: F.coalesce(F.sum(F.ceil(n / THREAD_BATCH)), F.lit(0)).cast("long")
+    given_n = F.when(F.col("n_new") > 0, F.col("n_new") + F.col("n_posts")).otherwise(0)
+    asked = stored(notes.of(asked, calls=calls(given_n), calls_without_cut=calls(F.col("n"))), "threads").where("n_new > 0")
+    context = chosen.where("is_seen and is_post").join(asked.select("thread"), "thread", "left_semi").select(*chosen.columns)
+    given = chosen.where("not is_seen").unionByName(context)
+    given = stored(notes.of(given, context_posts=F.count_if("is_seen"), skipped_no_comment_no=F.count_if(F.col("post_id").isNull())), "given")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in item_type().fields)
     if extract is None:
         empty = pieces.sparkSession.createDataFrame([], f"post_id string, {fields}")
-        return Ingested(empty, gated, union(counters))
+        return Ingested(empty, gated, notes.table(pieces.sparkSession))
+    chunks = threads.thread_chunks(given, "thread", "place_key", "is_post")
     blocks = threads.prompt_blocks(chunks, "thread", "text").withColumn("at", F.struct("thread", "chunk"))
-    answers = store(hooks.extract_items(blocks, "at", "block", answered(extract), f"place long, doc_market string, {fields}"))
+    answers = hooks.extract_items(blocks, "at", "block", answered(extract), f"place long, doc_market string, {fields}")
+    answers = stored(notes.of(answers, failed_calls=F.count_if(F.col("place") == -1)), "answers")
     items = answers.select("id.thread", "id.chunk", *[c for c in answers.columns if c != "id"])
     items = items.join(chunks.where("not is_context"), ["thread", "chunk", "place"])
     items = threads.inherit_market(items, "thread", "is_post", "doc_market", "place_key")
     items = items.where("post_id is not null and not is_seen")
-    heirs = items.where("inherited").select("post_id").distinct()
-    counters += [counted(answers, failed_calls=F.col("place") == -1), counted(heirs, market_inherited=every)]
+    heir = F.row_number().over(Window.partitionBy("post_id").orderBy(F.desc("inherited"), "pos"))  # each heir once
+    items = items.withColumn("_heir", F.col("inherited") & (heir == 1))
+    items = stored(notes.of(items, market_inherited=F.count_if("_heir")), "items").drop("_heir")
     names = known if known is not None else pieces.sparkSession.createDataFrame([], "name string")
     items = keep_items(items, "text", names, vocabulary)
     held = [F.col(f.name) for f in item_type().fields if f.name != "mentioned_product"]
@@ -159,17 +167,24 @@ def ingest_threads(
     items = merge.fold_by_product(items, "post_id", "mentioned_product", "_print", "score", "pos").drop("_print")
     items = items.withColumns({"item_market": F.col("mentioned_market"), "product": F.col("mentioned_product")})
     linked = linking.link(items, kb, spec_owners(specs), registry)
-    return Ingested(rendered(linked).drop("place_key", "is_context", "is_seen"), gated, union(counters))
+    return Ingested(rendered(linked).drop("place_key", "is_context", "is_seen"), gated, notes.table(pieces.sparkSession))
+
 
+class Notes:
+    """Counters that are observed while the rows they count are written."""
 
-def counted(df: DataFrame, **of: Column) -> DataFrame:
-    """(counter, n): how many rows meet each condition, from one pass."""
-    one = df.agg(*[F.count_if(c).alias(k) for k, c in of.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("counter"), F.col(k).alias("n")) for k in of])).alias("c")).select("c.*")
+    def __init__(self) -> None:
+        self.taken: list[Observation] = []
 
+    def of(self, df: DataFrame, **counts: Column) -> DataFrame:
+        """``df``, whose aggregates ``counts`` are noted as it is written; it has to be written once."""
+        self.taken.append(Observation())
+        return df.observe(self.taken[-1], *[c.alias(k) for k, c in counts.items()])
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(counter, n) of what has been written."""
+        rows = [(k, n or 0) for o in self.taken for k, n in o.get.items()]
+        return spark.createDataFrame(rows, "counter string, n long")
 
 
 def seller_specs(posts: DataFrame, extract: Callable[[str], list[dict]], fields: list[str]) -> DataFrame:

@@ -812,7 +812,7 @@ def thread_run(spark: SparkSession, dry: bool = False) -> ingest.Ingested:
             out += [fields | at | {"mentioned_product": name, "firsthand_evidence": text}, fields | at | {"mentioned_product": name, "firsthand_evidence": text, "summary": "좋아요"}]
         return out
 
-    return ingest.ingest_threads(pieces, seen, knowledge(spark), spec_rows(spark), None if dry else extract, 10, store=DataFrame.persist)
+    return ingest.ingest_threads(pieces, seen, knowledge(spark), spec_rows(spark), None if dry else extract, 10)
 
 
 @query(stated("post_id VARCHAR, market VARCHAR, confidence DOUBLE, provenance VARCHAR, product VARCHAR, evidence VARCHAR, url VARCHAR, comment_no VARCHAR", [

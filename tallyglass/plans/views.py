@@ -171,7 +171,7 @@ def generate_summaries(reviews: DataFrame, market: str, products: bool, fn: Call
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("criterion", line.alias("line")))), lambda x: x["line"]), "\n").alias("prompt"),
         F.sum("n").alias("n_reviews"),
     )
-    return hooks.sectionize(prompts, [*keys, "n_reviews"], fn, fields)
+    return hooks.sectionize(prompts, [*keys, "n_reviews"], fn, fields).drop("n_asked")
 
 
 def review_queue(specs: DataFrame, overlay: DataFrame) -> DataFrame:

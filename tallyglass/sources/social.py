@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.rules import first_marker, is_low_quality
 from tallyglass.functions.text import hashtag_key, hashtags, owner_from_url
+from tallyglass.operators.merge import latest_items
+from tallyglass.storage import stored
 
 log = logging.getLogger(__name__)
 
@@ -26,9 +28,15 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_pieces(items: DataFrame, hashtag: str | None = None) -> DataFrame:
-    """Social items as pieces: text, url, platform, posted_at and the known meta keys; short captions go."""
+    """Social items as pieces: text, url, platform, posted_at and the known meta keys; short captions go.
+
+    An item is known by its shortCode, else by its address; of equal ones the newest stays (by time, then
+    caption and owner), and items with neither are all kept.
+    """
     marker = first_marker(F.col("caption"))
-    rows = items.where(~is_low_quality(F.col("caption"))).dropDuplicates(["shortCode"])
+    key = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("shortCode", "url")])
+    rows = items.where(~is_low_quality(F.col("caption"))).withColumn("_item", key)
+    rows = latest_items(rows, "_item", ["timestamp", "caption", "ownerUsername", "url", "likesCount", "commentsCount"])
     return rows.select(
         F.col("caption").alias("text"), "url", F.lit("instagram").alias("platform"), F.col("timestamp").alias("posted_at"),
         F.col("ownerUsername").alias("owner_username"), F.coalesce("hashtags", hashtags(F.col("caption"))).alias("hashtags"),
@@ -67,19 +75,29 @@ def seller_posts(items: DataFrame, handle: Column | None = None, per_handle: int
 def layer1_specs(fixture: DataFrame, kb: DataFrame) -> DataFrame:
     """Official products of a fixture (handle, products) joined to the market of its handle."""
     handles = kb.select("market_word", F.explode(F.array_compact(F.concat(F.array("handle"), F.coalesce("handles_alt", F.array())))).alias("_h"))
-    dim = handles.select(F.lower("_h").alias("_h"), F.col("market_word").alias("market")).dropDuplicates(["_h"])
+    dim = handles.groupBy(F.lower("_h").alias("_h")).agg(F.min("market_word").alias("market"))
     rows = fixture.select(F.lower("handle").alias("_h"), F.explode("products").alias("p")).join(dim, "_h")
     return rows.select("market", "p.*").withColumnRenamed("product_name", "product")
 
 
-def collect_all(sources: dict[str, Callable[[], DataFrame]]) -> DataFrame | None:
-    """The union of all sources; one that fails to start is logged and left out."""
+def collect_all(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, DataFrame]:
+    """The union of all sources, and a report (source, n_rows, error) with a row for each of them.
+
+    Each source runs as a job of its own into a stored part, so one that fails, as its plan is made or as a
+    task reads it, leaves nothing of itself behind and stops no other; its error is in the report. A
+    source that returns None is not written yet and is skipped without an error. No part gives None.
+    """
     out: DataFrame | None = None
+    report: list[tuple[str, int | None, str | None]] = []
     for name, make in sources.items():
         try:
-            df = make().withColumn("collected_from", F.lit(name))
+            made = make()
+            part = None if made is None else stored(made.withColumn("collected_from", F.lit(name)), "source")
         except Exception as error:  # noqa: BLE001  one source must not stop the others
             log.warning("source %s failed: %s", name, error)
+            report.append((name, None, str(error).strip().splitlines()[0][:300] if str(error).strip() else type(error).__name__))
             continue
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+        report.append((name, 0 if part is None else part.count(), None))
+        if part is not None:
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, spark.createDataFrame(report, "source string, n_rows long, error string")

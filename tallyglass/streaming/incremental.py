@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyglass.functions import lexicon as L
 from tallyglass.functions.rules import above_watermark
 from tallyglass.operators.merge import insert_ignore
+from tallyglass.storage import stored
+from tallyglass.streaming.sink import BatchTable
 
 
 def fresh(pieces: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
@@ -46,22 +49,36 @@ def above(pieces: DataFrame, marks: DataFrame, anchor: list[str], no: Column, re
     return rows.where("_above").drop("_above", "watermark")
 
 
+def fresh_marked(pieces: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
+    """``pieces`` with ``is_seen``: whether the key was seen; a key with a NULL never was."""
+    old = seen.select(*key).distinct().withColumn("_old", F.lit(True))
+    return pieces.join(old, key, "left").withColumn("is_seen", F.coalesce("_old", F.lit(False))).drop("_old")
+
+
+def with_context(marked: DataFrame, thread: str, is_post: str) -> DataFrame:
+    """J10b over marked pieces: the fresh ones, and the seen posts of threads that have fresh ones."""
+    new = marked.where(~F.col("is_seen"))
+    posts = marked.where(F.col("is_seen") & F.col(is_post))
+    return new.unionByName(posts.join(new.select(thread).distinct(), thread, "left_semi").select(*new.columns))
+
+
 def ingest_stream(stream: DataFrame, table: str, key: list[str], order: list[str], checkpoint: str,
                   prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Append what is new of each micro-batch to the table at ``table``; a repeated batch adds nothing.
+    """What is new of each micro-batch becomes a batch of the ``BatchTable`` at ``table``, exactly once.
 
-    One micro-batch is one commit: after a crash, batches that were committed are not paid for again.
+    A batch is named by the checkpoint and its number. ``prepare`` may cost money: its rows are stored before
+    they are used, and a batch that is committed already is not prepared again. A batch that is replayed
+    because it was not committed is compared with the other batches, not with itself, and takes its own
+    place: rows with a NULL in the key, which are always new, come once.
     """
-
-    def commit(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = prepare(batch)
-        try:
-            old = spark.read.schema(rows.schema).parquet(table)
-        except Exception as error:  # noqa: BLE001  the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            old = rows.limit(0)
-        insert_ignore(old, rows, key, order).write.mode("append").parquet(table)
+    stem = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def commit(batch: DataFrame, n: int) -> None:
+        name = f"{stem}-{n}"
+        if name in BatchTable(batch.sparkSession, table, batch.schema).commits():
+            return
+        rows = stored(prepare(batch), "prepared")
+        into = BatchTable(batch.sparkSession, table, rows.schema)
+        into.write(insert_ignore(into.read(without=name), rows, key, order), name)
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

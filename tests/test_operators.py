@@ -312,8 +312,8 @@ def test_social(spark, kb, tmp_path):
     assert (p.shortcode, p.hashtags, p.review_class, p.likes) == ("S", ["연찌"], "genuine", 3)
     assert social.matching(items, ["#연 찌"]).count() == 2
     assert {r.owner_username for r in social.seller_posts(items).collect()} == {"yeonzzi"}
-    both = social.collect_all({"good": lambda: items.select("id"), "bad": lambda: 1 / 0, "more": lambda: items.select("url")})
-    assert both.count() == 6
+    both, report = social.collect_all(spark, {"good": lambda: items.select("id"), "bad": lambda: 1 / 0, "more": lambda: items.select("url")})
+    assert both.count() == 6 and {r.source for r in report.where("error is not null").collect()} == {"bad"}
 
 
 def test_incremental(spark, kb):
