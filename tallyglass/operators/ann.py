@@ -25,8 +25,10 @@ SAMPLE_ROWS = 20_000
 #: Cells at most, and sample rows that a cell should have.
 MOST_CELLS, CELL_ROWS = 1024, 16
 PARTS, CODES, ROUNDS = 8, 256, 12
-#: Cells that a search looks into, and candidates that it ranks again, for each query.
-PROBES, RERANKED = 16, 256
+#: Candidates that a search ranks again for each query.
+RERANKED = 512
+#: A search looks into as many cells as hold this share of the nearest rows of so many sample rows.
+TARGET, NEAREST, ASKED = 0.98, 8, 256
 #: Rows and queries of a cell that meet in one task.
 SLICE_ROWS, SLICE_QUERIES = 50_000, 4096
 
@@ -60,11 +62,12 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Cells and code words. The parts of a vector are of equal length; the last is filled up with zeros."""
+    """Cells, code words and how many cells to look into. A vector's parts are of equal length; the last is filled up with zeros."""
 
     cells: np.ndarray
     words: list[np.ndarray]
     width: int
+    probes: int = 1
 
     @property
     def d(self) -> int:
@@ -93,7 +96,9 @@ class Quantiser:
 def fit(rows: DataFrame, id: str = "id", vector: str = "embedding", cells: int | None = None, parts: int = PARTS, sample: int = SAMPLE_ROWS) -> Quantiser:
     """Cells and code words from at most ``sample`` rows, which reach the driver; the same rows give the same.
 
-    Vectors are scaled to length one; rows without a vector are left out. No vectors are an error.
+    The number of cells to look into is measured on the sample: vectors that lie in clusters need few, vectors
+    without any order most of them. Vectors are scaled to length one; rows without a vector are left out.
+    No vectors are an error.
     """
     own = rows.where(F.col(vector).isNotNull()).select(F.xxhash64(id).alias("h"), F.col(id).alias("i"), F.col(vector).cast("array<double>").alias("x"))
     got = own.orderBy("h", "i").limit(sample).select("x").collect()
@@ -102,10 +107,26 @@ def fit(rows: DataFrame, id: str = "id", vector: str = "embedding", cells: int |
     x = _unit(np.array([r.x for r in got]))
     centres = _kmeans(x, cells or max(1, min(MOST_CELLS, len(x) // CELL_ROWS)), 0)
     q = Quantiser(centres, [np.zeros((1, 1))] * parts, -(-x.shape[1] // parts))
-    q.words = [_kmeans(p, CODES, k) for k, p in enumerate(q.parts(x - centres[_nearest(x, centres)]), 1)]
+    own = _nearest(x, centres)
+    q.words = [_kmeans(p, CODES, k) for k, p in enumerate(q.parts(x - centres[own]), 1)]
+    q.probes = _probes(q, x, own)
     return q
 
 
+def _probes(q: Quantiser, x: np.ndarray, own: np.ndarray) -> int:
+    """The least number of cells, nearest first, that hold ``TARGET`` of the nearest other rows of the first ``ASKED``."""
+    asked = x[:ASKED]
+    place = np.argsort(q.near(asked, len(q.cells)), axis=1)  # of each cell in the order of each row
+    needed = []
+    for i, a in enumerate(asked):
+        score = x @ a
+        score[i] = -2
+        best = np.argsort(-score, kind="stable")[: min(NEAREST, len(x) - 1)]
+        needed.append(place[i][own[best]] + 1)
+    flat = np.sort(np.concatenate(needed))
+    return int(flat[int(np.ceil(TARGET * len(flat))) - 1]) if len(flat) else 1
+
+
 def index(rows: DataFrame, q: Quantiser, id: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, cell, codes) for every row with a vector; one scan, no shuffle."""
     own = rows.where(F.col(vector).isNotNull()).select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("x"))
@@ -138,7 +159,7 @@ def _compare(q: Quantiser, reranked: int):
 
 
 def search(
-    queries: DataFrame, rows: DataFrame, indexed: DataFrame, q: Quantiser, k: int, probes: int = PROBES, reranked: int = RERANKED,
+    queries: DataFrame, rows: DataFrame, indexed: DataFrame, q: Quantiser, k: int, probes: int | None = None, reranked: int = RERANKED,
     id: str = "id", vector: str = "embedding",
 ) -> DataFrame:
     """(query, id, score, rank, scanned): the ``k`` nearest rows of each query by cosine, as far as its cells hold them.
@@ -146,8 +167,10 @@ def search(
     ``queries`` has (query, vector), both unique. Scores are exact, ranks go from 0 by score and id, and
     ``scanned`` is how many codes the query was compared with. Cells are dealt out in slices of rows and
     of queries, so a cell that holds most rows is no single task; a task hands on the best ``reranked``
-    of each query only. Queries and rows without a vector are left out.
+    of each query only. Queries and rows without a vector are left out. ``probes`` is the quantiser's
+    own number unless it is given.
     """
+    probes = probes or q.probes
     own = queries.where(F.col(vector).isNotNull()).select("query", F.col(vector).cast("array<double>").alias("x"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

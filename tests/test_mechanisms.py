@@ -183,7 +183,7 @@ def test_latest_stream_equals_batch_and_forgets(spark, tmp_path):
 
 @pytest.fixture
 def grouped(tmp_path):
-    pages = pq.read_table(f"{SF}/pages.parquet").sort_by("page_id")
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").sort_by("page_id")
     os.makedirs(tmp_path / "pages")
     half = len(pages) // 2
     pq.write_table(pages.slice(0, half), tmp_path / "pages/a.parquet", row_group_size=20)
@@ -191,19 +191,36 @@ def grouped(tmp_path):
     return pages, str(tmp_path / "pages")
 
 
+def opened(path, *filters):
+    reader = rowgroups.RowGroupReader(path, None, "PERMISSIVE")
+    assert list(reader.pushFilters(list(filters))) == list(filters)  # Spark applies all of them to the rows
+    return [(os.path.basename(g.file), g.group) for g in reader.partitions()]
+
+
 def test_row_groups_that_cannot_match_are_not_opened(spark, grouped):
+    from pyspark.sql import datasource as ds
+
     pages, path = grouped
-    own = rowgroups.session(spark)
-    df = own.read.format(rowgroups.NAME).load(path)
-    assert df.rdd.getNumPartitions() == -(-(len(pages) // 2) // 20) + -(-(len(pages) - len(pages) // 2) // 20)
-    assert sorted(r.page_id for r in df.collect()) == pages["page_id"].to_pylist()
-    ids = pages["page_id"].to_pylist()
-    some = df.where(F.col("page_id") == ids[45])
-    assert some.rdd.getNumPartitions() == 1 and [r.page_id for r in some.collect()] == [ids[45]]
-    span = df.where(F.col("page_id").between(ids[15], ids[25]))
-    assert span.rdd.getNumPartitions() == 2 and span.count() == 11
-    assert df.where("page_id < -5").count() == 0 and df.where(F.col("page_id").isin(ids[0], ids[-1])).rdd.getNumPartitions() == 2
+    ids, half = pages["page_id"].to_pylist(), len(pages) // 2
+    every = [(f, g) for f, n in (("a.parquet", half), ("b.parquet", len(pages) - half)) for g in range(-(-n // 20))]
+    assert opened(path) == every
+    assert opened(path, ds.EqualTo(("page_id",), ids[45])) == [("a.parquet", 2)]
+    assert opened(path, ds.GreaterThanOrEqual(("page_id",), ids[15]), ds.LessThanOrEqual(("page_id",), ids[25])) == every[:2]
+    assert opened(path, ds.LessThan(("page_id",), -5)) == [] and opened(path, ds.StringContains(("url",), "x")) == every
+    df = rowgroups.session(spark).read.format(rowgroups.NAME).load(path)
+    assert sorted(r.page_id for r in df.collect()) == ids
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() == len(every)
     assert df.where("page_id is null").count() == 0 and df.where("url like 'http%'").count() > 0
+    chunk = pq.ParquetFile(f"{path}/a.parquet").metadata.row_group(0)  # damage the first row group's pages
+    low = min(chunk.column(c).dictionary_page_offset or chunk.column(c).data_page_offset for c in range(chunk.num_columns))
+    with open(f"{path}/a.parquet", "r+b") as f:
+        f.seek(low)
+        f.write(bytes(chunk.total_byte_size // 2))
+    df = rowgroups.session(spark).read.format(rowgroups.NAME).load(path)
+    (bad,) = df.where("_corrupt is not null").collect()
+    assert "a.parquet, row group 0" in bad._corrupt
+    span = df.where((F.col("page_id") >= ids[20]) & (F.col("page_id") <= ids[59])).collect()  # the filter reached the source
+    assert sorted(r.page_id for r in span) == ids[20:60] and all(r._corrupt is None for r in span)
 
 
 def test_damaged_files_are_reported_one_by_one(spark, grouped):
@@ -314,7 +331,7 @@ def test_probe_judges_each_fold_by_a_probe_that_has_not_seen_it(spark):
 
 
 def test_nearest_by_cells_reaches_the_exact_list(spark):
-    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
         got = {}
         scanned = set()
         for r in mechanisms.nearest_by_cells(spark, sf).collect():
@@ -332,7 +349,20 @@ def test_nearest_by_cells_reaches_the_exact_list(spark):
                 hits += sum(v >= bound - 1e-9 for v in got[vec_id].values())
                 n += 8
         assert hits >= 0.95 * n
-        assert max(scanned) <= len(ids)
+        assert max(scanned) < len(ids)
+
+
+def test_clustered_vectors_need_few_cells(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(20, 16))[np.arange(800) % 20] + 0.05 * r.normal(size=(800, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(800)], "id long, embedding array<double>")
+    q = ann.fit(df, cells=20)
+    assert q.probes <= 3
+    asked = df.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding")
+    got = ann.search(asked, df, ann.index(df, q), q, 8).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = sum(g.score >= np.sort(u @ u[g.query])[::-1][7] - 1e-9 for g in got)
+    assert hits >= 0.95 * 8 * 40 and max(g.scanned for g in got) < 300
 
 
 def test_nearest_by_cells_with_many_alike(spark):
