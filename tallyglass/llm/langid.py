@@ -53,7 +53,8 @@ LETTER = r"\p{L}"
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether the text has a character of a letter category, as ``LETTER`` says; number characters such as ½ or Ⅷ are none."""
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 def features(text: str) -> np.ndarray:
