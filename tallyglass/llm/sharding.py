@@ -19,6 +19,8 @@ from tallyglass.llm.common import own_dir, stored
 N_SHARDS = 16
 #: Slots are a parameter of the deployment, not of the data; the map and all that is per slot stay this small.
 N_SLOTS = 4096
+#: Rows alike that one task writes out.
+BLOCK_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -137,15 +139,27 @@ class SlotMap:
 
 
 def to_slots(docs: DataFrame, n_slots: int = N_SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1; NULL text: 1), text_crc32 (NULL text: of no bytes), virtual_slot."""
+    """doc_id, size (UTF-8 bytes plus 1; NULL text: 1), text_crc32 (NULL text: of no bytes), virtual_slot.
+
+    A slot is a hash of id and checksum; of rows that are alike in id, checksum and size the first keeps that
+    slot, and the others take hashes of their number besides, so repeated rows (copies without an id
+    above all) spread over all slots. Such rows are counted and then written out again, in blocks.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(t) + 1).cast("long").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
     )
-    slot = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int")
-    return out.withColumn("virtual_slot", slot)
+    alike = out.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_n"))
+    blocks = alike.where(F.col("_n") > BLOCK_ROWS).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / BLOCK_ROWS))))
+    many = blocks.repartition("doc_id", "text_crc32", "_b")  # a row that repeats without end is written out by many tasks
+    every = alike.where(F.col("_n") <= BLOCK_ROWS).withColumn("_b", F.lit(0).cast("long")).unionByName(many)
+    first = F.col("_b") * BLOCK_ROWS
+    every = every.withColumn("_k", F.explode(F.sequence(first, F.least(first + BLOCK_ROWS, F.col("_n")) - 1)))
+    own, more = F.xxhash64("doc_id", "text_crc32"), F.xxhash64("doc_id", "text_crc32", "_k")
+    slot = F.pmod(F.when(F.col("_k") == 0, own).otherwise(more), F.lit(n_slots)).cast("int")
+    return every.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_totals(slots: DataFrame, n_slots: int = N_SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +181,8 @@ def shard_documents(
     these documents, stored as the next version if the edit moved a slot, and joined to the rows. Its
     numbers of shards and slots hold for the rows; a path is for one set of documents as it grows.
 
-    NULL ids and texts are placed like others (size 1 for NULL text); repeated rows share a virtual
-    slot and take places of their own; rows that tie in id, checksum and size are alike in all that is
+    NULL ids and texts are placed like others (size 1 for NULL text); repeated rows spread over
+    the virtual slots and take places of their own; rows that tie in id, checksum and size are alike in all that is
     returned but the place. Very long texts stay in their task, only their size and checksum move. An
     empty table gives no rows. Only doc_id and text are read, so other columns cannot clash.
     """

@@ -158,7 +158,10 @@ def test_language_id_awkward(spark):
     assert langid.identify(empty(spark), model).count() == 0
     none = langid.fit(documents(spark).limit(0), F.lit(True))
     assert none.predict("some text") == ("und", 0.0)
-    assert model.predict("12 34 %%") == ("und", 0.0)
+    for text in ("12 34 %%", "①②③", "½ Ⅷ", "_ ٣ ²"):  # digits, number characters and signs are no letters
+        assert model.predict(text) == ("und", 0.0) and not langid.has_letter(text)
+        assert not df.limit(1).select(F.lit(text).rlike(langid.LETTER).alias("x")).first().x
+    assert langid.has_letter("① ª") and model.predict("½ ein kleiner Text")[0] != "und"
 
 
 def test_language_id_learns_every_language(spark):
@@ -618,6 +621,27 @@ def test_sharding_awkward(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
 
 
+def test_sharding_spreads_repeated_rows(spark, monkeypatch):
+    rows = [(None, "one text")] * 3000 + [(7, "x")] * 40 + [(i, f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    alone = {(o.doc_id, o.text_crc32): o.virtual_slot for o in sharding.to_slots(df.distinct(), 256).collect()}
+    for block in (sharding.BLOCK_ROWS, 64):  # counted rows are written out again by one task, or by many
+        monkeypatch.setattr(sharding, "BLOCK_ROWS", block)
+        out = sharding.shard_documents(df, n_shards=4, n_slots=256).collect()
+        assert len(out) == len(rows) and sum(o.doc_id is None for o in out) == 3000
+        slots = {}
+        for o in out:
+            slots.setdefault((o.doc_id, o.text_crc32), []).append(o.virtual_slot)
+        assert all(alone[k] in own for k, own in slots.items())  # the first of equal rows stays where it was
+        crowd = slots[None, zlib.crc32(b"one text")]
+        assert len(set(crowd)) > 250 and max(map(crowd.count, set(crowd))) < 40
+        load = [sum(o.size for o in out if o.shard == s) for s in range(4)]
+        assert max(load) - min(load) <= 0.02 * max(load)
+        for s in range(4):
+            own = sorted(o.slot for o in out if o.shard == s)
+            assert own == list(range(len(own)))
+
+
 # --- 9 sentence pieces
 
 
