@@ -7,8 +7,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyglass.functions.numbers import dc_post_id
 from tallyglass.operators import alignment, ann, extraction, maintenance, probe, running
 from tallyglass.operators.merge import latest_items
+from tallyglass.plans import ingest, summaries
 from tallyglass.sources import pieceslog, rowgroups, social
 from tallyglass.storage import new_path
 from tallyglass.streaming import incremental, latest
@@ -186,3 +188,46 @@ def pieces_log_stream(spark, sf):
     stream.writeStream.format("parquet").option("path", into).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema(rows.schema).parquet(into)
     return got.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"), "no")
+
+
+@query("""WITH c AS (SELECT conv_id, turn = 0 AS post, CASE WHEN turn > 0 AND turn % 4 <> 3 THEN turn END AS no, conv_id % 3 = 0 AND turn < 2 AS old FROM conversations WHERE trim(text) <> ''),
+  t AS (SELECT count(*) AS n, count(*) FILTER (NOT old) AS fresh, count(*) FILTER (old AND post) AS posts FROM c GROUP BY conv_id), every AS (SELECT count(*) AS n FROM conversations)
+  SELECT 'collected' AS counter, n FROM every UNION ALL SELECT 'above_mark', n FROM every UNION ALL SELECT 'gate_unprocessed', 0
+  UNION ALL SELECT 'emitted', count(*) FROM c UNION ALL SELECT 'skipped_seen', count(*) FROM c WHERE old
+  UNION ALL SELECT 'context_posts', coalesce(sum(posts) FILTER (fresh > 0), 0)::BIGINT FROM t UNION ALL SELECT 'skipped_no_comment_no', count(*) FROM c WHERE NOT post AND no IS NULL
+  UNION ALL SELECT 'calls', coalesce(sum(ceil((fresh + posts) / 12.0)) FILTER (fresh > 0), 0)::BIGINT FROM t UNION ALL SELECT 'calls_without_cut', coalesce(sum(ceil(n / 12.0)), 0)::BIGINT FROM t""")
+def thread_run_counters(spark, sf):
+    """A dry run over conversations as threads, a third of them seen in part; counters are observed while the steps are written."""
+    turn, conv = F.col("turn"), F.col("conv_id").cast("string")
+    url = F.concat(F.lit("https://g/?no="), conv)
+    pieces = table(spark, sf, "conversations").select(
+        (F.col("conv_id") % 5).cast("string").alias("anchor"), F.col("conv_id").alias("batch"), turn.alias("pos"), conv.alias("thread_no"),
+        F.when(turn == 0, "post").otherwise("comment").alias("type"), F.when((turn > 0) & (turn % 4 != 3), turn.cast("string")).alias("comment_no"),
+        turn.cast("int").alias("ordinal"), url.alias("url"), "text", F.lit(0.9).alias("topic_score"),
+    )
+    old = pieces.where("batch % 3 = 0 and pos < 2")
+    # seen under thread 0, so that the watermark cuts nothing
+    seen = old.select(F.lit("amos").alias("source"), dc_post_id(F.col("url"), F.when(F.col("type") != "post", F.col("comment_no"))).alias("post_id"), "anchor", F.lit("0").alias("thread_no"))
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    run = ingest.ingest_threads(pieces, seen, empty("market_word string"), empty("market string, product string"), None, 10**9)
+    return run.counters
+
+
+def values_said(prompt: str) -> dict:
+    """A stand-in for a model: how many values each line of the material has."""
+    if "\nb: " in prompt:
+        return {"p_name": "both"}
+    return {line.split(" (", 1)[0].split(":", 1)[0]: f"{line.count(' | ') + 1} values" for line in prompt.split("\n")}
+
+
+@query("""WITH p AS (SELECT p_brand, CASE WHEN p_size % 2 = 0 THEN 'a' ELSE 'b' END AS platform, p_retailprice > 1400 AS promo FROM part),
+  s AS (SELECT p_brand, platform AS card, count(*) AS n FROM p WHERE NOT promo GROUP BY ALL UNION ALL SELECT p_brand, 'supporter', count(*) FROM p WHERE promo GROUP BY ALL)
+  SELECT p_brand, card, n || ' values' AS p_name, n || ' values' AS p_type, 2 * n AS n_reviews, 1 AS n_asked FROM s
+  UNION ALL SELECT p_brand, 'integrated', 'both', NULL, 2 * sum(n)::BIGINT, 1 FROM s WHERE card <> 'supporter' GROUP BY p_brand HAVING count(*) = 2""")
+def axis_summaries(spark, sf):
+    """A summary of each brand's parts from two sources, one over both, and one of promoted parts."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_name", "p_type", "p_retailprice", F.when(F.col("p_size") % 2 == 0, "a").otherwise("b").alias("platform"))
+    promo = F.col("p_retailprice") > 1400
+    tone = F.when(F.col("p_retailprice") > 1000, "pos").otherwise("neg")
+    polarities = rows.where(~promo).select("p_brand", "platform", F.explode(F.array(F.lit("p_name"), F.lit("p_type"))).alias("criterion"), tone.alias("value"))
+    return summaries.axis_summaries(rows.where(~promo), rows.where(promo), ["p_name", "p_type"], ["p_brand"], values_said, ("a", "b"), polarities)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tallyglass.operators import alignment, ann, evaluate, extraction, gate, hooks, linking, maintenance, probe, running
 from tallyglass.operators.merge import latest_items
-from tallyglass.plans import mechanisms
+from tallyglass.plans import mechanisms, summaries
 from tallyglass.sources import pieceslog, rowgroups, social
 from tallyglass.streaming import incremental, latest
 from tallyglass.streaming.sink import BatchTable
@@ -474,6 +474,55 @@ def test_sections_that_offend_are_asked_for_once_more(spark, tmp_path):
     assert len(asked) == 5 and sum("소리 언급은 없어요" in a for a in asked) == 2
 
 
+def test_summaries_of_both_sources_and_their_refresh(spark, tmp_path):
+    log = str(tmp_path / "prompts")
+
+    def model(prompt):
+        with open(log, "a") as f:
+            f.write(json.dumps(prompt) + "\n")
+        return {"scent": "둘 다 말해요" if "counts:" in prompt else prompt.replace("\n", "; ")}
+
+    kind = "id int, market string, platform string, scent string, texture string"
+    rows = spark.createDataFrame([(1, "m", "instagram", "은은해요", "쫀득"), (2, "m", "instagram", "상큼", None), (3, "m", "dcinside", "강해요", " "),
+                                  (4, "one", "dcinside", "약해요", None), (5, "m", "elsewhere", "x", "y"), (6, "blank", "dcinside", None, "")], kind)
+    promo = spark.createDataFrame([(7, "m", "instagram", "협찬 향", None)], kind)
+    tones = spark.createDataFrame([("m", "instagram", "scent", "pos"), ("m", "dcinside", "scent", "neg"), ("m", "instagram", "scent", "pos")], "market string, platform string, criterion string, value string")
+    out = summaries.axis_summaries(rows, promo, ["scent", "texture"], ["market"], model, polarities=tones)
+    got = {(r.market, r.card): (r.scent, r.n_reviews) for r in out.collect()}
+    assert got["m", "instagram"] == ("scent (for 2, against 0): 은은해요 | 상큼; texture: 쫀득", 3)
+    assert got["m", "dcinside"] == ("scent (for 0, against 1): 강해요", 1) and got["m", "supporter"][0] == "scent: 협찬 향"
+    asked = [json.loads(line) for line in open(log)]
+    (both,) = [p for p in asked if "counts:" in p]
+    assert got["m", "integrated"] == ("둘 다 말해요", 4) and both.endswith("counts: scent 2:1") and "강해요" in both and "상큼" in both and len(asked) == 5
+    assert set(got) == {("m", c) for c in ("instagram", "dcinside", "integrated", "supporter")} | {("one", "dcinside")}
+    lines = spark.createDataFrame([("m", "p", "integrated", "향", None), ("m", "q", "integrated", " ", "제품 배송")], "market string, product string, card string, scent string, shipping string")
+    market = spark.createDataFrame([("m", "integrated", "빨라요"), ("m", "dcinside", "느려요")], "market string, card string, shipping string")
+    shown = sorted((r.product, r.card, r.criterion, r.scope, r.verdict) for r in summaries.cards(lines, market, ["market", "product"], ["scent", "shipping"], ["market"]).collect())
+    assert shown == sorted([("p", "integrated", "scent", "product", "향"), *[(p, c, "shipping", "market", v) for p in "pq" for c, v in (("integrated", "빨라요"), ("dcinside", "느려요"))]])
+    old = spark.createDataFrame([("a", 5, "x"), ("b", 5, "y"), ("gone", 9, "z")], "market string, n_reviews long, scent string")
+    now = spark.createDataFrame([("a", 6), ("b", 9), ("new", 4), ("few", 2)], "market string, n_reviews long")
+    made = []
+
+    def generate(keys):
+        made.append(sorted(r.market for r in keys.collect()))
+        return now.join(keys, "market").withColumn("scent", F.lit("made"))
+
+    dry = summaries.refresh(old, now, ["market"], generate, 0.0072)
+    assert (dry.n, dry.cost, dry.summaries, made) == (2, round(2 * 3.3 * 0.0072, 4), None, [])
+    done = summaries.refresh(old, now, ["market"], generate, 0.0072, dry_run=False)
+    assert sorted((r.market, r.n_reviews, r.scent) for r in done.summaries.collect()) == [("a", 5, "x"), ("b", 9, "made"), ("gone", 9, "z"), ("new", 4, "made")]
+    assert made == [["b", "new"]]
+
+
+def test_counters_cost_no_job(spark):
+    """Every job of a dry thread run writes or sizes a step; the counters are there when the last is written."""
+    run = mechanisms.thread_run_counters(spark, SF)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    got = {r.counter: r.n for r in run.collect()}
+    assert got["collected"] == got["above_mark"] > got["emitted"] - 1 and got["calls"] <= got["calls_without_cut"] and got["skipped_seen"] > 0
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before <= 1  # a local table
+
+
 def test_a_failing_source_is_reported_and_stops_nothing(spark):
     good = spark.createDataFrame([(1, "a")], "id long, text string")
 
