@@ -84,7 +84,7 @@ class PiecesReader(DataSourceStreamReader):
         kinds = to_arrow_schema(self.schema)
         system, _ = open_path(self.path)
         with system.open_input_file(partition.file) as source:
-            for batch in pq.ParquetFile(source).iter_batches(columns=kinds.names):
+            for batch in pq.ParquetFile(source).iter_batches(columns=kinds.names, use_threads=False):
                 at = batch.column(self.item)
                 kept = batch.filter(pc.and_(pc.greater(at, partition.low), pc.less_equal(at, partition.high)))
                 yield pa.RecordBatch.from_arrays([kept.column(n).cast(kinds.field(n).type) for n in kinds.names], schema=kinds)

@@ -116,7 +116,7 @@ class RowGroupReader(DataSourceReader):
             with system.open_input_file(partition.file) as source:
                 file = pq.ParquetFile(source)
                 try:
-                    for batch in file.iter_batches(row_groups=[partition.group], columns=names):
+                    for batch in file.iter_batches(row_groups=[partition.group], columns=names, use_threads=False):
                         columns = [batch.column(n).cast(kinds.field(n).type) for n in names]
                         yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, pa.string())], schema=kinds)
                     return
