@@ -195,13 +195,13 @@ def inversion_material(reviews: DataFrame, posts: DataFrame) -> DataFrame:
 
 def with_known(rows: DataFrame, product: str, known: DataFrame) -> tuple[DataFrame, bool]:
     """F16: ``rows`` with ``is_known``, whether the product's key is among the names, and whether there are any."""
-    keys = known.select(F.col("name").alias("_k"), F.lit(True).alias("_known")).where("_k is not null").distinct()
+    keys = known.where("name is not null").select(tag_key(F.col("name")).alias("_k"), F.lit(True).alias("_known")).distinct()
     out = rows.withColumn("_k", tag_key(squeezed(F.col(product)))).join(linking.lookup(keys), "_k", "left")
     return out.withColumn("is_known", F.coalesce("_known", F.lit(False))).drop("_k", "_known"), bool(keys.limit(1).count())
 
 
 def plan_non_products(reviews: DataFrame, known: DataFrame) -> DataFrame:
-    """U16: sale labels out of product names; the row stays. ``known`` has one row per known product name's key (name)."""
+    """U16: sale labels out of product names; the row stays. ``known`` has the known product names (name)."""
     rows, some = with_known(reviews.where("product is not null"), "product", known)
     hit = is_sale_label(F.col("product"), F.col("is_known"), F.lit(some))
     return rows.where(hit).select("id", F.lit(None).cast("string").alias("new_product"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import numbers, rules, text
 from tallyglass.operators import consolidate, evaluate, gate, linking, merge, registry, retrieval, threads
-from tallyglass.plans import literals, mechanisms
+from tallyglass.plans import mechanisms, tables
 from tallyglass.sources import pages
 from tallyglass.streaming import incremental, windows
 
@@ -787,5 +787,5 @@ def list_products(spark, sf):
     return table(spark, sf, "part").where("p_brand = 'Brand#12'").select("p_partkey", "p_name").orderBy("p_name", "p_partkey")
 
 
-QUERIES |= literals.QUERIES | mechanisms.QUERIES
-ORACLES |= literals.ORACLES | mechanisms.ORACLES
+QUERIES |= tables.QUERIES | mechanisms.QUERIES
+ORACLES |= tables.ORACLES | mechanisms.ORACLES

@@ -1,7 +1,6 @@
-"""Queries over literal rows, for operators whose rules are about Korean text or about review rows.
+"""Rules over literal rows: each case brings its own small table, and its SQL states the rows that the rule gives for it.
 
-The driver's tables hold neither, so each query brings its own small table, and its SQL states the rows
-that the rule gives for it. A changed word list, pattern or rule changes a row.
+A changed word list, pattern or rule changes a row. The registered queries over the driver's tables are in the library.
 """
 
 from __future__ import annotations
