@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +9,10 @@ from pyspark.sql.window import Window
 from tallyglass.functions import lexicon as L
 from tallyglass.functions.text import alias_key, squeezed, tag_key
 
-#: Vocabulary forms that are matched in one pass over the texts.
-BLOCK_FORMS = 200_000
+#: Characters of a text whose places one row holds.
+WINDOW = 512
+#: Longest gram that forms are looked up by.
+GRAM = 16
 #: Parts of a tag's posts that look for their first links on their own.
 PARTS = 64
 
@@ -139,45 +138,45 @@ def containment_pairs(rows: DataFrame, piece: str, name: str) -> DataFrame:
     return inside.groupBy("inner", "outer").agg(F.count("*").alias("n_pieces"))
 
 
-def vocabulary_hits(texts: DataFrame, vocabulary: DataFrame, id: str, text: str, block: int = BLOCK_FORMS) -> DataFrame:
-    """(id, canonical) for every vocabulary form that a text contains.
+def vocabulary_hits(texts: DataFrame, vocabulary: DataFrame, id: str, text: str, window: int = WINDOW) -> DataFrame:
+    """(id, canonical) for every vocabulary form that a text contains; NULL and empty forms and NULL texts have none.
 
-    Texts are read once per block of at most about ``block`` forms and matched by an automaton over
-    all forms of the block, in time proportional to the text; no text is compared with single forms.
+    Equalities only, and nothing goes through the driver but the few gram lengths. A form of 2q - 1 characters
+    or more holds, wherever it lies, a whole gram of q characters at a multiple of q of the text. So each form offers
+    its first q grams of the largest q (a power of two up to ``GRAM``), a text is looked up only at multiples
+    of q, and where a gram is known the piece around it is looked up among the forms by its hash and compared.
+    Texts are read in overlapping windows (``window``: a multiple of ``GRAM``), so a long one is not searched from its
+    start at each place. Grams and forms are broadcast up to ``LOOKUP_ROWS``, which are counted.
     """
-    src = texts.select(F.col(id).alias("id"), F.col(text).alias("text")).where("text is not null")
-    forms = vocabulary.select("canonical", "form").where("form <> ''").distinct()
-    blocks = max(1, -(-forms.count() // block))
-    kinds = f"id {dict(src.dtypes)['id']}, canonical {dict(forms.dtypes)['canonical']}"
-    found: DataFrame | None = None
-    for k in range(blocks):
-        own = forms.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == k).collect() if blocks > 1 else forms.collect()
-        by_form: dict[str, list] = {}
-        for r in own:
-            by_form.setdefault(r["form"], []).append(r["canonical"])
-        hits = src.mapInPandas(_matcher(by_form), kinds)
-        found = hits if found is None else found.unionByName(hits)
-    return found.distinct()
-
-
-def _matcher(by_form: dict[str, list]):
-    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for form, names in by_form.items():
-            automaton.add_word(form, names)
-        if by_form:
-            automaton.make_automaton()
-        for f in frames:
-            ids, names = [], []
-            for i, t in zip(f["id"], f["text"]):
-                for name in {n for _, own in automaton.iter(t) for n in own} if by_form else ():
-                    ids.append(i)
-                    names.append(name)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "canonical": pd.Series(names, dtype=object)})
-
-    return match
+    from tallyglass.operators.linking import lookup
+
+    src = texts.select(F.col(id).alias("id"), F.col(text).alias("text")).where("text <> ''")
+    forms = vocabulary.select("canonical", "form").where("form <> ''").distinct().withColumn("n", F.length("form"))
+    q = F.least(F.pow(F.lit(2), F.floor(F.log2((F.col("n") + 1) / 2))).cast("int"), F.lit(GRAM))
+    forms = forms.withColumn("q", q)
+    # one row a gram length, with the longest form of each
+    sizes = sorted((r["q"], r["most"]) for r in forms.groupBy("q").agg(F.max("n").alias("most")).collect())
+    if not sizes:
+        return src.select("id").join(forms.select("canonical"), F.lit(False))
+    grams = forms.select("form", "q", "n", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("o"))
+    grams = grams.select("q", F.substr("form", F.col("o") + 1, F.col("q")).alias("gram"), F.struct("o", "n").alias("lies")).distinct()
+    grams = grams.groupBy("q", "gram").agg(F.collect_list("lies").alias("lies"))
+
+    most, lead = max(m for _, m in sizes), GRAM - 1
+    begin = lambda k: F.greatest(k * window - lead, F.lit(0))  # noqa: E731  a form may begin before the window
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor((F.length("text") - 1) / window).cast("int")),
+        lambda k: F.struct(F.substr("text", begin(k) + 1, F.lit(window + lead + most)).alias("w"), (k * window - begin(k) + 1).alias("first")),
+    )
+    rows = src.select("id", F.explode(cut).alias("c")).select("id", "c.*", F.explode(F.array(*[F.lit(n) for n, _ in sizes])).alias("q"))
+    last = F.least(F.col("first") + window - 1, F.length("w") - F.col("q") + 1)
+    rows = rows.where(last >= F.col("first")).select("id", "w", "q", F.explode(F.sequence("first", last, "q")).alias("at"))
+    rows = rows.withColumn("gram", F.substr("w", F.col("at"), F.col("q")))
+    found = rows.join(lookup(grams), ["q", "gram"]).select("id", "w", "at", F.explode("lies").alias("l"))
+    start, n = F.col("at") - F.col("l.o"), F.col("l.n")
+    found = found.where((start >= 1) & (start + n - 1 <= F.length("w"))).select("id", F.substr("w", start, n).alias("form"))
+    known = lookup(forms.select("canonical", "form", F.xxhash64("form").alias("_h")))
+    return found.withColumn("_h", F.xxhash64("form")).join(known, ["_h", "form"]).select("id", "canonical").distinct()
 
 
 def capped_vocabulary(names: DataFrame, key: str, name: str, cap: int = L.VOCABULARY_CAP) -> DataFrame:

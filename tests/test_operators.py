@@ -268,7 +268,26 @@ def test_registry(spark):
     texts = spark.createDataFrame([(1, "a cookie dough"), (2, "cookies"), (3, None)], "id int, text string")
     want = {(1, "C"), (1, "D"), (2, "C")}
     assert {tuple(r) for r in registry.vocabulary_hits(texts, vocab, "id", "text").collect()} == want
-    assert {tuple(r) for r in registry.vocabulary_hits(texts, vocab, "id", "text", block=1).collect()} == want
+    assert {tuple(r) for r in registry.vocabulary_hits(texts, vocab, "id", "text", window=registry.GRAM).collect()} == want
+
+
+def test_vocabulary_hits_brute_force(spark, monkeypatch):
+    import random
+
+    from tallyglass.operators import linking
+
+    rng = random.Random(1)
+    said = lambda sizes: "".join(rng.choice("ab가😀 ") for _ in range(rng.choice(sizes)))
+    docs = [(i, said([0, 1, 5, 40, 700])) for i in range(40)] + [(98, None), (99, "가" * 300)]
+    forms = [(k, said([1, 2, 3, 4, 6, 7, 9])) for k in range(40)] + [(50, ""), (51, None), (52, "가" * 31)]
+    forms += [(60 + k, docs[k % 40][1][5 : 5 + n]) for k, n in enumerate([14, 15, 30, 31, 200] * 6)]
+    texts, vocab = spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(forms, "canonical int, form string")
+    want = {(i, k) for i, t in docs if t for k, f in forms if f and f in t}
+    assert {tuple(r) for r in registry.vocabulary_hits(texts, vocab, "id", "text").collect()} == want
+    assert {tuple(r) for r in registry.vocabulary_hits(texts, vocab, "id", "text", window=registry.GRAM).collect()} == want
+    monkeypatch.setattr(linking, "LOOKUP_ROWS", 5)  # joined by key instead of broadcast
+    assert {tuple(r) for r in registry.vocabulary_hits(texts, vocab, "id", "text").collect()} == want
+    assert registry.vocabulary_hits(texts, vocab.limit(0), "id", "text").count() == 0
 
 
 def test_threads(spark):
