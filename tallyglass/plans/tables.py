@@ -399,16 +399,11 @@ def order_posts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'c.' || o_custkey AS owner FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
-    ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, CASE WHEN o_orderkey % 3 > 0 THEN 'S' || o_orderkey % 1000 END NULLS FIRST) AS r,
-    count(*) OVER (PARTITION BY o_custkey, strftime(o_orderdate, '%Y-%m-%d')) AS same FROM orders WHERE o_orderkey % 7 > 0) WHERE r <= 2 AND same = 1""")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, 'c.' || o_custkey AS owner FROM orders WHERE o_orderkey % 7 > 0 QUALIFY row_number() OVER (PARTITION BY o_custkey
+    ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, CASE WHEN o_orderkey % 3 > 0 THEN 'S' || o_orderkey % 1000 END NULLS FIRST, CAST(o_orderkey AS VARCHAR)) <= 2""")
 def order_seller_posts(spark, sf):
-    """The newest two posts of each owner, who is the item's or the input address's. Days with two posts of an owner are left to the tests."""
-    rows = order_posts(spark, sf)
-    day = social.seller_posts(rows).groupBy(F.col("owner_username").alias("_o"), F.col("timestamp").alias("_t")).agg(F.count("*").alias("_n")).where("_n > 1")
-    out = social.seller_posts(rows, per_handle=2)
-    out = out.join(day, (F.col("owner_username") == F.col("_o")) & (F.col("timestamp") == F.col("_t")), "left_anti")
-    return out.select("id", F.col("owner_username").alias("owner"))
+    """The newest two posts of each owner, who is the item's or the input address's; ties by code, address and id."""
+    return social.seller_posts(order_posts(spark, sf), per_handle=2).select("id", F.col("owner_username").alias("owner"))
 
 
 @query("""WITH o AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS t, 'an order of priority #' || split_part(o_orderpriority, '-', 2) || ' no ' || o_orderkey AS caption FROM orders WHERE o_orderkey % 7 > 0),

@@ -67,7 +67,7 @@ def seller_posts(items: DataFrame, handle: Column | None = None, per_handle: int
     if per_handle is not None:
         from pyspark.sql.window import Window
 
-        r = F.row_number().over(Window.partitionBy("owner_username").orderBy(F.desc("timestamp"), "shortCode"))
+        r = F.row_number().over(Window.partitionBy("owner_username").orderBy(F.desc("timestamp"), "shortCode", "url", "id"))
         rows = rows.withColumn("_r", r).where(F.col("_r") <= per_handle).drop("_r")
     return rows
 
