@@ -28,8 +28,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Groups of the large lengths. A length is large if it is above CAPACITY / part; each part is tried and the
 #: plan of the fewest sequences is taken: fewer large lengths round up less, more of them are optimised together.
-#: With part 2 a configuration holds one piece, which is best fit alone; on a tie the finer part is taken.
-GROUPS, SMALL_PARTS = 128, (5, 3, 2)
+#: On a tie the finer part is taken.
+GROUPS, SMALL_PARTS = 128, (5, 3)
 #: Pieces of one length that are ranked in one task, about; and the most salts.
 RANKED_TOGETHER, MOST_SALTS = 500_000, 256
 
@@ -157,25 +157,32 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, par
 
 
 def _plan(counts: np.ndarray, capacity: int, groups: int, small_part: int) -> list[Bins]:
+    """The configurations with actual lengths in their slots, those of the longest sizes first, and best fit for the rest.
+
+    A slot is given the longest length that is left of those up to its group's size; what rounding up
+    has lost gathers in the last slot, which takes the longest large length that fits the real room.
+    A slot for which nothing is left stays empty.
+    """
     large = capacity // small_part + 1
     own = grouped(counts, large, groups)
+    sizes = [s for s, _ in own]
     bins = [Bins(int(counts[capacity]), 0, [capacity])] if counts[capacity] else []
     left = np.array(counts, dtype=np.int64)
     left[capacity] = 0
-    queues = [[list(x) for x in lengths] for _, lengths in own]
-    demand = [sum(c for _, c in q) for q in queues]
-    for number, pattern in configurations([s for s, _ in own], demand, capacity):
-        slots = [g for g, k in enumerate(pattern) for _ in range(k)]
-        number = min([number, *(sum(c for _, c in queues[g]) // int(pattern[g]) for g in set(slots))])
+    found = configurations(sizes, [sum(c for _, c in lengths) for _, lengths in own], capacity)
+    for number, pattern in sorted(found, key=lambda c: (int(np.flatnonzero(c[1])[0]), *(-c[1]).tolist())):
+        slots = [s for s, k in zip(sizes, pattern) for _ in range(k)]
         while number:
-            heads = []
-            run = min([number, *(max(1, queues[g][0][1] // int(pattern[g])) for g in set(slots))])
-            for g in slots:  # the longest that is left of each slot's group
-                take = queues[g][0]
-                heads.append(take[0])
-                take[1] -= run
-                if not take[1]:
-                    queues[g].pop(0)
+            heads: list[int] = []
+            for k, size in enumerate(slots):
+                n = min(size if k < len(slots) - 1 else capacity - sum(heads), capacity - 1)
+                while n >= large and left[n] <= heads.count(n):
+                    n -= 1
+                if n >= large:
+                    heads.append(n)
+            if not heads:
+                break
+            run = min([number, *(int(left[n]) // heads.count(n) for n in heads)])
             bins.append(Bins(run, capacity - sum(heads), heads))
             for n in heads:
                 left[n] -= run

@@ -329,6 +329,18 @@ def test_configurations_beat_best_fit():
     assert sum(b.count for b in packing.plan(counts)) == 360 < alone
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_configurations_reach_best_fit_on_many_lengths(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text").repartition(8)
+    counts = np.zeros(1025, dtype=np.int64)
+    for r in packing.pieces(docs).groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    alone = sum(b.count for b in packing.best_fit(counts.copy(), [], 1024))
+    assert min(packing.SMALL_PARTS) >= 3  # a configuration can hold several pieces
+    for part in packing.SMALL_PARTS:
+        assert sum(b.count for b in packing._plan(counts, 1024, packing.GROUPS, part)) <= alone
+
+
 def check_packed(out, texts):
     bpe = byte_bpe()
     by_sequence = {}
