@@ -12,7 +12,8 @@
   confirmed on full sets, and what is linked gets one label. Only regions that still hold several
   labels, and like pairs that no edge stands for, are looked at again: a row outside a region's main
   label is compared with the rows of other labels that it is like, and where these are many, with all
-  of their label, so that the label's sets move once and not once a pair.
+  of their label, so that the label's sets move once and not once a pair. Where rows of many labels
+  are like each other, as in a crowd just below the threshold, their sets move once for the region.
 * So near copies in any number become one label from a few edges a row, unlike documents in any
   number part by depth, and a pair that is like is never left out for being one of many.
 """
@@ -42,6 +43,8 @@ REGION = 512
 RUN, RUN_ORDERS = 256, 4
 #: Rows of one label that a row is compared with one by one; if it is like more of them it asks for the whole label.
 FEW = 4
+#: Like pairs a row from which on a cell's rows are compared on full sets together, if these have up to CELL_SHINGLES.
+DENSE, CELL_SHINGLES = 4, 4_000_000
 #: Askers, and rows of a label, that meet in one task.
 ASKERS = 2048
 #: Tasks over which the rows of one region are spread where its numbers are joined to them.
@@ -365,40 +368,55 @@ def cells(mixed: DataFrame, last: bool) -> DataFrame:
     return rows.select(cell.alias("cell"), "cid", "label", "asked")
 
 
-def pairs_of_cell(ids: np.ndarray, label: np.ndarray, asked: np.ndarray, alike: Alike) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def pairs_of_cell(ids: np.ndarray, label: np.ndarray, asked: np.ndarray, alike: Alike) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Like pairs of the asked rows with rows of other labels; a label with more than FEW of them is asked for instead."""
-    pairs, asks = [], []
+    pairs, asks = [np.zeros((0, 2), np.int64)], []
     at = np.arange(len(ids))
     for i in np.flatnonzero(asked).tolist():
         others = at[(label != label[i]) & (~asked | (at < i))]
         others = others[alike(others, i)[0]]
-        for name in np.unique(label[others]).tolist():
-            found = ids[others[label[others] == name]].tolist()
-            if len(found) > FEW:
-                asks.append((int(ids[i]), name))
-            else:
-                pairs += [(min(x, int(ids[i])), max(x, int(ids[i]))) for x in found]
-    return pairs, asks
+        names, which, many = np.unique(label[others], return_inverse=True, return_counts=True)
+        asks += [(int(ids[i]), name) for name in names[many > FEW].tolist()]
+        found = ids[others[many[which] <= FEW]]
+        pairs.append(np.stack([np.minimum(found, ids[i]), np.maximum(found, ids[i])], axis=1))
+    return np.concatenate(pairs), asks
+
+
+_PAIRED = "a long, b long, left long, cell long, asked boolean"
 
 
 def pairs_of_cells(cells: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Like pairs (a, b) between labels of each cell, and asks (a, left) of a row for a label."""
+    """Of each cell: like pairs (a, b) between labels, asks (a, left) of a row for a label, and if pairs
+    are more than DENSE a row, instead of them the rows (a, left, cell, asked) that are in one."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, ids, label, asked, size, words in whole_regions(batches):
             edge = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            rows: set[tuple] = set()
+            pairs, asks, dense = [np.zeros((0, 2), np.int64)], set(), [np.zeros(0, np.int64)]
             for lo, hi in zip(edge, edge[1:]):
                 own = slice(lo, hi)
-                pairs, asks = pairs_of_cell(ids[own], label[own], asked[own], Alike(size[own], words[own], percent))
-                rows.update((a, b, None) for a, b in pairs)
-                rows.update((a, None, name) for a, name in asks)
-            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "left"])
+                found, asking = pairs_of_cell(ids[own], label[own], asked[own], Alike(size[own], words[own], percent))
+                asks.update(asking)
+                members = lo + np.flatnonzero(np.isin(ids[own], found))
+                if len(found) > DENSE * len(members) and size[members].sum() <= CELL_SHINGLES:
+                    dense.append(members)
+                else:
+                    pairs.append(found)
+            two, rows, asks = np.unique(np.concatenate(pairs), axis=0), np.concatenate(dense), sorted(asks)
+            none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
+            n = len(two), len(asks), len(rows)
+            columns = [
+                [pa.array(two[:, 0]), pa.array([x for x, _ in asks], pa.int64()), pa.array(ids[rows])],
+                [pa.array(two[:, 1]), none(n[1]), none(n[2])],
+                [none(n[0]), pa.array([x for _, x in asks], pa.int64()), pa.array(label[rows])],
+                [none(n[0]), none(n[1]), pa.array(key[rows])],
+                [none(n[0], pa.bool_()), none(n[1], pa.bool_()), pa.array(asked[rows].astype(bool))],
+            ]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "left", "cell", "asked"])
 
     rows = with_halves(cells, classes).select("cell", "cid", "label", "asked", "size", "halves")
     rows = rows.repartition("cell").sortWithinPartitions("cell", "cid")
-    return map_batches(rows, compare, _FOUND, rows=8192)
+    return map_batches(rows, compare, _PAIRED, rows=8192)
 
 
 # --- confirmation on full sets
@@ -469,6 +487,47 @@ class Postings:
         return np.bincount(self.owner[at], minlength=len(self.sizes))
 
 
+def links_of_sets(ids: np.ndarray, label: np.ndarray, asked: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) on full sets that join all labels of a cell which a link of an asked row joins: one less than labels at most."""
+    index, group, links = Postings(sets), label.copy(), []
+    for i in np.flatnonzero(asked).tolist():
+        if (group == group[i]).all():
+            continue
+        common = index.common(sets[i])
+        fine = 100 * common >= percent * (len(sets[i]) + index.sizes - common)
+        for name in np.unique(group[fine & (group != group[i])]).tolist():
+            links.append((int(ids[i]), int(ids[int((fine & (group == name)).argmax())])))
+            group[group == name] = group[i]
+    return links
+
+
+def links_of_cells(rows: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between labels of each cell of ``rows`` (cell, cid, label, asked); a set moves once a cell."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def links() -> pa.RecordBatch:
+            found = []
+            if held:
+                ids, label, asked = (np.array([r[k] for r in held]) for k in range(3))
+                found = links_of_sets(ids, label, asked, [np.frombuffer(r[3], dtype=np.uint64) for r in held], percent)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for c, *row in zip(*(x.to_pylist() for x in batch.columns)):
+                if c != cell:
+                    yield links()
+                    cell, held = c, []
+                held.append(row)
+        yield links()
+
+    members = rows.select("cid").distinct().join(classes.select("cid", "id", "h1", "h2"), "cid")
+    sets = stored(full_sets(docs, stored(members, "members"), words), "sets")
+    rows = rows.join(sets.hint("merge"), "cid").select("cell", "cid", "label", "asked", "own")
+    return map_batches(rows.repartition("cell").sortWithinPartitions("cell", "cid"), compare, "a long, b long", rows=64)
+
+
 def answered(asks: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b): of each ask (cid, label), one with a row of the label, if there is any, on full sets.
 
@@ -542,8 +601,11 @@ def linked_labels(classes: DataFrame, docs: DataFrame, words: int, percent: int)
         if not new.isEmpty():
             labels = joined(confirmed(new, classes, docs, words, percent))
             tried = tried.unionByName(new)
+        dense = found.where("cell is not null").select("cell", F.col("a").alias("cid"), F.col("left").alias("label"), "asked")
+        if not dense.isEmpty():
+            labels = joined(links_of_cells(dense, classes, docs, words, percent))
         now = labels.select(F.col("id").alias("cid"), F.col("label").alias("own"))
-        asks = found.where("b is null").select(F.col("a").alias("cid"), F.col("left").alias("was")).distinct().join(now, "cid", "left")
+        asks = found.where("b is null and cell is null").select(F.col("a").alias("cid"), F.col("left").alias("was")).distinct().join(now, "cid", "left")
         asks = asks.join(labels.withColumnRenamed("id", "was"), "was", "left").select("cid", "own", F.coalesce("label", "was").alias("label"))
         asks = stored(asks.where(~F.col("own").eqNullSafe(F.col("label"))).select("cid", "label").distinct(), "asks")
         if not asks.isEmpty():

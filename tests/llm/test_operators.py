@@ -455,7 +455,9 @@ def crowd(seed, n, pairs, length=120):
     return [(i, " ".join(w)) for i, w in rows]
 
 
-def test_crowded_regions_part_by_depth(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 4, 1000])
+def test_crowded_regions_part_by_depth(spark, monkeypatch, dense):
+    monkeypatch.setattr(neardup, "DENSE", dense)  # all like pairs by cells, some, none
     monkeypatch.setattr(neardup, "REGION", 32)  # most orders of the first level hold larger regions
     rows = crowd(3, 260, 40)
     want = brute_components(rows, 1)
@@ -523,6 +525,29 @@ def test_cells_give_all_pairs_between_labels(seed, monkeypatch):
         assert (int(ids[i]), label[j]) in asks or (int(ids[j]), label[i]) in asks
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_links_of_a_cell_join_what_its_sets_join(seed):
+    r = np.random.default_rng(seed)
+    base = [np.unique(r.integers(0, 1 << 40, 40)) for _ in range(6)]
+    sets = [np.unique(np.concatenate([base[r.integers(0, 6)][r.integers(0, 8) :], r.integers(0, 99, r.integers(0, 3))])).astype(np.uint64) for _ in range(40)]
+    ids, label, asked = r.permutation(1000)[:40], r.integers(0, 25, 40), r.random(40) < 0.7
+    links = neardup.links_of_sets(ids, label, asked, sets, 80)
+    at = {int(x): k for k, x in enumerate(ids)}
+
+    def joined(pairs):
+        group = label.copy()
+        for i, j in pairs:
+            group[group == group[i]] = group[j]
+        return {tuple(np.flatnonzero(group == g).tolist()) for g in group}
+
+    def linked(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)
+
+    assert all(linked(at[a], at[b]) for a, b in links) and len(links) < len(set(label.tolist()))
+    assert joined([(at[a], at[b]) for a, b in links]) == joined([(i, j) for i in range(40) for j in range(40) if asked[i] and linked(i, j)])
+
+
 def test_postings_count_what_is_common():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 30))).astype(np.uint64) for _ in range(25)]
