@@ -450,8 +450,18 @@ def full_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     return map_batches(texts, to_sets, "cid long, own binary").dropDuplicates(["cid"])
 
 
-def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The edges (a, b) whose full sets have ``percent`` of their union in common. Two sets meet at a time."""
+def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(cid, own): the whole sets of the classes ``ids`` (cid), each once."""
+    members = stored(ids.distinct().join(classes.select("cid", "id", "h1", "h2"), "cid"), "members")
+    return stored(full_sets(docs, members, words), "sets")
+
+
+def ends_of(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("cid")).union(edges.select("b"))
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) whose full sets (cid, own) have ``percent`` of their union in common. Two sets meet at a time."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -462,9 +472,6 @@ def confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 fine.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    ends = edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct()
-    members = stored(ends.join(classes.select("cid", "id", "h1", "h2"), "cid"), "members")
-    sets = stored(full_sets(docs, members, words), "sets")
     x, y = (sets.select(F.col("cid").alias(end), F.col("own").alias(f"own_{end}")).hint("merge") for end in ("a", "b"))
     both = edges.join(x, "a").join(y, "b").select("a", "b", "own_a", "own_b")
     return map_batches(both, check, "a long, b long", rows=64)
@@ -501,7 +508,7 @@ def links_of_sets(ids: np.ndarray, label: np.ndarray, asked: np.ndarray, sets: l
     return links
 
 
-def links_of_cells(rows: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def links_of_cells(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between labels of each cell of ``rows`` (cell, cid, label, asked); a set moves once a cell."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -522,8 +529,6 @@ def links_of_cells(rows: DataFrame, classes: DataFrame, docs: DataFrame, words:
                 held.append(row)
         yield links()
 
-    members = rows.select("cid").distinct().join(classes.select("cid", "id", "h1", "h2"), "cid")
-    sets = stored(full_sets(docs, stored(members, "members"), words), "sets")
     rows = rows.join(sets.hint("merge"), "cid").select("cell", "cid", "label", "asked", "own")
     return map_batches(rows.repartition("cell").sortWithinPartitions("cell", "cid"), compare, "a long, b long", rows=64)
 
@@ -567,7 +572,7 @@ def answered(asks: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataF
         return rows.select(F.xxhash64("label", "block", "lot").alias("cell"), F.lit(asker).alias("asker"), "cid")
 
     rows = stored(dealt(members, False).unionByName(dealt(asks, True)), "cells")
-    sets = stored(full_sets(docs, rows.select("cid").distinct().join(classes.select("cid", "id", "h1", "h2"), "cid"), words), "sets")
+    sets = sets_of(rows.select("cid"), classes, docs, words)
     rows = rows.join(sets.hint("merge"), "cid").select("cell", "asker", "cid", "own").repartition("cell")
     return map_batches(rows.sortWithinPartitions("cell", "asker"), answer, "a long, b long", rows=64)
 
@@ -587,7 +592,7 @@ def linked_labels(classes: DataFrame, docs: DataFrame, words: int, percent: int)
         found = found.unionByName(edges_of_runs(company, classes, percent))
     found = stored(found, "first")
     tried = stored(found.where("b is not null").select("a", "b").distinct(), "edges")
-    labels = components(confirmed(tried, classes, docs, words, percent))
+    labels = components(confirmed(tried, sets_of(ends_of(tried), classes, docs, words), percent))
     again = found.where("left is not null").select(F.col("left").alias("key")).distinct()
     left = company.join(again, "key", "left_semi").unionByName(company.where(F.col("rows") > REGION))
     for k in range(len(LEVELS)):
@@ -598,12 +603,11 @@ def linked_labels(classes: DataFrame, docs: DataFrame, words: int, percent: int)
         found = stored(pairs_of_cells(cells(mixed, last), classes, percent), "pairs")
         new = found.where("b is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
         new = stored(new, "edges")
-        if not new.isEmpty():
-            labels = joined(confirmed(new, classes, docs, words, percent))
-            tried = tried.unionByName(new)
         dense = found.where("cell is not null").select("cell", F.col("a").alias("cid"), F.col("left").alias("label"), "asked")
-        if not dense.isEmpty():
-            labels = joined(links_of_cells(dense, classes, docs, words, percent))
+        if not (new.isEmpty() and dense.isEmpty()):  # the sets of both move together, and their links are joined together
+            sets = sets_of(ends_of(new).union(dense.select("cid")), classes, docs, words)
+            labels = joined(confirmed(new, sets, percent).unionByName(links_of_cells(dense, sets, percent)))
+            tried = tried.unionByName(new)
         now = labels.select(F.col("id").alias("cid"), F.col("label").alias("own"))
         asks = found.where("b is null and cell is null").select(F.col("a").alias("cid"), F.col("left").alias("was")).distinct().join(now, "cid", "left")
         asks = asks.join(labels.withColumnRenamed("id", "was"), "was", "left").select("cid", "own", F.coalesce("label", "was").alias("label"))

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tallyglass.llm import chat, fingerprints, graph, langid, neardup, packing, quality, queries, rules, sharding, spiece, tokencounts
@@ -592,6 +593,30 @@ def test_components(spark):
     assert all(out[i] == 0 for i in range(41)) and out[101] == 100 and out[300] == 299 and 200 not in out
 
 
+def test_components_of_one_block_need_no_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "stored", lambda df, name, put=graph.stored: tables.append(name) or put(df, name))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long").repartition(8)
+    assert {tuple(r) for r in graph.components(chain).collect()} == {(i, 0) for i in range(201)} and len(tables) == 2
+
+
+@pytest.mark.parametrize("block", [7, 40, 1000])
+def test_components_over_blocks_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    r = random.Random(block)
+    edges = [(r.randrange(150), r.randrange(150)) for _ in range(110)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, 5000 + i) for i in range(60)]
+    want = {}
+    for a, b in edges:
+        if a != b:
+            a, b = (want.setdefault(x, x) for x in (a, b))
+            want = {x: min(a, b) if y in (a, b) else y for x, y in want.items()}
+    got = graph.components(spark.createDataFrame(edges * 2 + [(None, 3), (3, None)], "a long, b long").repartition(5)).collect()
+    assert sorted(tuple(x) for x in got) == sorted(want.items())
+    blocks = [pa.record_batch([pa.array([max(e) for e in edges[i : i + 9]]), pa.array([min(e) for e in edges[i : i + 9]])], ["u", "v"]) for i in range(0, len(edges), 9)]
+    stars = [x for b in graph.contracted(iter(blocks)) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert all(u > v and want[u] == want[v] for u, v in stars) and (block < 1000 or sorted(stars) == sorted((x, y) for x, y in want.items() if x != y))
+
+
 # --- 8 sharding
 
 
