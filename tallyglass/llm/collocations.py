@@ -11,6 +11,7 @@ than the texts, while a count of first words, which says how to deal them out, i
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from urllib.parse import quote, unquote
 from zlib import crc32
@@ -28,8 +29,8 @@ MAX_N, MIN_COUNT, INSIDE_PERCENT, TOP = 3, 10, 50, 2000
 #: Pieces end at these, words at blanks and tabs besides.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
-#: Words that a task numbers, and different suffixes that it holds, before it hands on what it has counted.
-MOST_WORDS, MOST_HELD = 1 << 19, 1 << 21
+#: Words that a task numbers or counts, and suffixes that it holds, before it hands on what it has counted.
+MOST_WORDS, MOST_HELD = 1 << 19, 1 << 22
 #: Bytes of a text that are split into words at once, and words that are counted at once.
 SLICE_BYTES, BLOCK_WORDS = 1 << 18, 1 << 19
 OUT_ROWS = 1 << 16
@@ -50,14 +51,24 @@ class _Numbers(dict):
         return n
 
 
+def _slices(data: bytes, size: int) -> Iterator[bytes]:
+    """Folded text in slices of about ``size`` bytes that cut no word."""
+    at = 0
+    while at < len(data):
+        gap = _GAP.search(data, at + size)
+        end = gap.start() if gap else len(data)
+        yield data[at:end]
+        at = end
+
+
 class _Counter:
     """Counts suffixes of up to ``max_n`` words by language, in bounded memory.
 
-    What it hands on goes through ``rows``: the language, the numbers of the suffixes' words by place
-    (0 where a suffix has ended), their counts, and the words' bytes, heads and hashes by number.
+    What it hands on for a language goes through ``rows``: the numbers of the suffixes' words by place (0 where
+    a suffix has ended), their counts, and by number the words with a blank, the heads of first words, and hashes.
     """
 
-    def __init__(self, max_n: int, rows: Callable[..., pa.RecordBatch]) -> None:
+    def __init__(self, max_n: int, rows: Callable[..., Iterator[pa.RecordBatch]]) -> None:
         self.max_n, self.bits, self.rows = max_n, 63 // max_n, rows
         self.slice = min(SLICE_BYTES, 1 << (self.bits - 1))
         self.most = min(MOST_WORDS, 1 << self.bits) - self.slice // 2 - 3
@@ -68,23 +79,19 @@ class _Counter:
         self.held = self.waiting = 0
 
     def add(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
-        data, at = text.translate(_FOLD), 0
-        while at < len(data):
-            gap = _GAP.search(data, at + self.slice)
-            end = gap.start() if gap else len(data)
-            words = data[at:end].replace(b"\n", b" . ").split()  # no word holds a full stop
+        for data in _slices(text.translate(_FOLD), self.slice):
+            words = data.replace(b"\n", b" . ").split()  # no word holds a full stop
             if len(self.numbers) > self.most or self.held > MOST_HELD:
                 yield from self.drain(lang)
             self.open.setdefault(lang, []).extend(map(self.numbers.__getitem__, words))
             self.waiting += len(words)
             if self.waiting > BLOCK_WORDS:
                 for name in self.open:
-                    self.count(name)
+                    self.take(name)
                 self.waiting = 0
-            at = end
         self.open.setdefault(lang, []).append(0)
 
-    def count(self, lang: str, last: bool = False) -> None:
+    def take(self, lang: str, last: bool = False) -> None:
         """Suffixes of the open words; the last ``max_n`` - 1 words wait for what follows, unless ``last``."""
         wait = self.max_n - 1
         words = np.array(self.open[lang] + [0] * (wait if last else 0), dtype=np.int64)
@@ -96,90 +103,103 @@ class _Counter:
             word = words[k : k + n]
             alive &= word > 0
             key = (key << self.bits) | np.where(alive, word, 0)
-        keys, counts = np.unique(key[key > 0], return_counts=True)
+        key = key[key > 0]
         self.open[lang] = [] if last else self.open[lang][n:]
-        parts = self.done.setdefault(lang, [])
-        parts.append((keys, counts))
-        self.held += len(keys)
-        if len(parts) > 1 and sum(len(p[0]) for p in parts[1:]) > len(parts[0][0]):
-            self.merge(lang)
-
-    def merge(self, lang: str) -> None:
-        parts = self.done[lang]
-        self.held -= sum(len(k) for k, _ in parts)
-        keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-        self.done[lang] = [(keys[first], np.add.reduceat(counts, first) if len(keys) else counts)]
-        self.held += len(first)
+        self.done.setdefault(lang, []).append(key)
+        self.held += len(key)
 
     def drain(self, going_on: str | None = None) -> Iterator[pa.RecordBatch]:
         """Hand on all counts and start afresh; the open words of the text ``going_on`` stay open."""
         for lang in list(self.open):
-            self.count(lang, last=lang != going_on)
+            self.take(lang, last=lang != going_on)
         words = list(self.numbers)  # in the order of their numbers
         words[0] = b""
         left = [words[n] or b"." for n in self.open.get(going_on, [])]
         low = (1 << self.bits) - 1
-        for lang in self.done:
-            self.merge(lang)
-            keys, counts = self.done[lang][0]
-            heads = [_head(lang, w) for w in words]
-            hashes = np.fromiter(map(crc32, heads), dtype=np.int64, count=len(heads))
-            for lo in range(0, len(keys), OUT_ROWS):
-                own = keys[lo : lo + OUT_ROWS]
-                ids = [(own >> (self.bits * (self.max_n - 1 - k))) & low for k in range(self.max_n)]
-                yield self.rows(lang, ids, counts[lo : lo + OUT_ROWS], words, heads, hashes)
+        table = pa.array([w and w + b" " for w in words], pa.binary())
+        for lang in list(self.done):
+            keys, counts = np.unique(np.concatenate(self.done.pop(lang)), return_counts=True)
+            place = [(keys >> (self.bits * (self.max_n - 1 - k))) & low for k in range(self.max_n)]
+            first, used = (np.zeros(len(words), dtype=bool) for _ in range(2))
+            first[place[0]] = True
+            for word in place:
+                used[word] = True
+            end = _end(lang)
+            heads = pa.array([w + end if u else b"" for w, u in zip(words, first.tolist())], pa.binary())
+            hashes = np.fromiter((crc32(w + end) if u else 0 for w, u in zip(words, used.tolist())), dtype=np.int64, count=len(words))
+            yield from self.rows(place, counts, table, heads, hashes)
         self.reset()
         if left:
             self.open[going_on] = [self.numbers[w] for w in left]
 
 
-def _head(lang: str, word: bytes) -> bytes:
-    """First word and language as one word without blanks, which ends with one."""
-    return word + b"\n" + quote(lang, safe="").encode() + b" "
+def _end(lang: str) -> bytes:
+    return b"\n" + quote(lang, safe="").encode() + b" "
 
 
-def _slots(lang, ids, counts, words, heads, hashes) -> pa.RecordBatch:
-    columns = [pa.array([lang] * len(counts), pa.string()), pa.array(hashes[ids[0]]), pa.array(counts, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "slot", "n"])
+def _head(lang: str, word: bytes) -> bytes:
+    """First word and language as one word without blanks, which ends with one."""
+    return word + _end(lang)
 
 
-def _suffixes(hot: frozenset[int]) -> Callable[..., pa.RecordBatch]:
+def _suffixes(hot: frozenset[int]) -> Callable[..., Iterator[pa.RecordBatch]]:
     spread = np.array(sorted(hot), dtype=np.int64)
 
-    def rows(lang, ids, counts, words, heads, hashes) -> pa.RecordBatch:
-        key, table = pa.array(heads, pa.binary()).take(pa.array(ids[0])), pa.array(words, pa.binary())
-        slot, salt = hashes[ids[0]], np.zeros(len(counts), dtype=np.int64)
-        for word in ids[1:]:
-            salt = (salt * 31 + np.where(word > 0, hashes[word], 0)) % 1_000_003
-            longer = pc.binary_join_element_wise(key, table.take(pa.array(word)), pa.scalar(b" "), pa.scalar(b""))
-            key = pc.if_else(pa.array(word > 0), longer, key)
-        slot = np.where(np.isin(slot, spread), slot | ((salt % SALTS + 1) << 32), slot)
-        return pa.RecordBatch.from_arrays([pa.array(slot), key, pa.array(counts, pa.int64())], ["slot", "key", "n"])
+    def rows(place, counts, table: pa.Array, heads: pa.Array, hashes) -> Iterator[pa.RecordBatch]:
+        is_hot = np.isin(hashes, spread)
+        for lo in range(0, len(counts), OUT_ROWS):
+            ids = [word[lo : lo + OUT_ROWS] for word in place]
+            parts = [heads.take(pa.array(ids[0])), *(table.take(pa.array(word)) for word in ids[1:])]
+            key, slot = pc.binary_join_element_wise(*parts, pa.scalar(b"")), hashes[ids[0]]
+            salted = np.flatnonzero(is_hot[ids[0]])
+            salt = np.zeros(len(salted), dtype=np.int64)
+            for word in ids[1:]:
+                salt = (salt * 31 + np.where(word[salted] > 0, hashes[word[salted]], 0)) % 1_000_003
+            slot[salted] |= (salt % SALTS + 1) << 32
+            yield pa.RecordBatch.from_arrays([pa.array(slot), key, pa.array(counts[lo : lo + OUT_ROWS], pa.int64())], ["slot", "key", "n"])
 
     return rows
 
 
-def _counted(docs: DataFrame, text: str, lang: str, max_n: int, rows: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(max_n, rows)
-        for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from counter.add(name, t.as_py())
-        yield from counter.drain()
-
-    own = docs.select(
+def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"),
     )
-    return map_batches(own, count, schema)
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, slot, n): how often a task has met each word, in bounded memory."""
+    found: dict[str, Counter[bytes]] = defaultdict(Counter)
+    held = 0
+
+    def drain() -> Iterator[pa.RecordBatch]:
+        for lang, words in found.items():
+            end, n = _end(lang), len(words)
+            slot = np.fromiter((crc32(w + end) for w in words), dtype=np.int64, count=n)
+            counts = np.fromiter(words.values(), dtype=np.int64, count=n)
+            for lo in range(0, n, OUT_ROWS):
+                own = slice(lo, lo + OUT_ROWS)
+                columns = [pa.array([lang] * len(slot[own]), pa.string()), pa.array(slot[own]), pa.array(counts[own])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "slot", "n"])
+
+    for batch in batches:
+        for lang, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = found[lang]
+            for data in _slices(t.as_py().translate(_FOLD), SLICE_BYTES):
+                before = len(own)
+                own.update(data.split())  # ends of pieces are line feeds here
+                held += len(own) - before
+                if held > MOST_WORDS:
+                    yield from drain()
+                    found.clear()
+                    own, held = found[lang], 0
+    yield from drain()
 
 
 def word_totals(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, slot, n): words by language and a 32-bit hash of both; words that share one are told apart later."""
-    counted = _counted(docs, text, lang, 1, _slots, "lang string, slot long, n long")
+    counted = map_batches(_texts(docs, text, lang), _total, "lang string, slot long, n long")
     return counted.groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
@@ -190,7 +210,15 @@ def suffixes(docs: DataFrame, text: str = "text", lang: str = "lang", max_n: int
     what begins alike sorts together. Suffixes of one slot meet in one task: those of one first word, or,
     if its hash is in ``hot``, those of one salt, which is a hash of the other words.
     """
-    return _counted(docs, text, lang, max_n, _suffixes(hot), "slot long, key binary, n long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter(max_n, _suffixes(hot))
+        for batch in batches:
+            for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from counter.add(name, t.as_py())
+        yield from counter.drain()
+
+    return map_batches(_texts(docs, text, lang), count, "slot long, key binary, n long")
 
 
 def _prefixes(min_count: int, max_n: int, hot: frozenset[int]):

@@ -188,6 +188,28 @@ def test_counter_hands_on_in_small_memory(monkeypatch):
     assert {k for k, own in by_first.items() if len(own) > 1} == {b"the\nen", b"of\nen"}
 
 
+def test_words_are_totalled_in_small_memory(monkeypatch):
+    for name, value in (("SLICE_BYTES", 16), ("MOST_WORDS", 40), ("OUT_ROWS", 5)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = [(lang or "und", (t or "").encode()) for _, t, lang, _ in chatter(9)] + [("en", b""), ("x y", b" a\tB.b\x0b;")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part])], ["lang", "text"]) for part in (rows[:50], rows[50:])]
+    out, got, want = list(collocations._total(iter(batches))), Counter(), Counter()
+    for lang, slot, n in (x for b in out for x in zip(*[c.to_pylist() for c in b.columns])):
+        got[lang, slot] += n
+    for lang, t in rows:
+        want.update((lang, crc32(collocations._head(lang, w))) for w in re.split(rb"[ \t.,;:!?\x0A-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), t)) if w)
+    assert got == want and len(out) > 20 and max(b.num_rows for b in out) <= 5
+
+
+def test_languages_are_quoted_once_and_not_for_each_word(monkeypatch):
+    quoted = []
+    monkeypatch.setattr(collocations, "quote", lambda x, put=collocations.quote, **k: quoted.append(x) or put(x, **k))
+    counter = collocations._Counter(3, collocations._suffixes(frozenset()))
+    for lang in ("en", "x y"):
+        assert list(counter.add(lang, b" ".join(b"w%d" % i for i in range(500)))) == []
+    assert sum(b.num_rows for b in counter.drain()) == 1000 and sorted(quoted) == ["en", "x y"]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
 def test_prefixes_go_on_over_batches(size):
     r = random.Random(size)
