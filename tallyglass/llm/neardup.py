@@ -53,7 +53,8 @@ SALTS = 16
 SPREADS = 4.5
 #: Bits of the filter on ids that keeps most texts out of the shuffle; at most 1/64 of them are rows of a broadcast.
 FILTER_BITS = 1 << 26
-CACHED_WORDS = 500_000
+#: Words whose hashes a worker keeps; a worker lives on after its task, and so does what it keeps.
+CACHED_WORDS = 1 << 16
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

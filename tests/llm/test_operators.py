@@ -587,6 +587,15 @@ def test_near_duplicates_awkward(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_a_worker_keeps_few_words():
+    texts = [" ".join(f"w{i + k}" for i in range(90_000)) for k in (0, 50_000, 0)]
+    sets = []
+    for t in texts:
+        sets.append(neardup.shingles(t, 2))
+        assert len(neardup._words) <= 1 << 16
+    assert len(sets[0]) == 89_999 and (sets[0] == sets[2]).all() and len(np.intersect1d(sets[0], sets[1])) == 39_999
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200), (300, 299)]
     out = {r.id: r.label for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
