@@ -12,7 +12,7 @@ from tallyglass.operators import alignment, ann, extraction, maintenance, probe,
 from tallyglass.operators.merge import latest_items
 from tallyglass.plans import ingest, summaries
 from tallyglass.sources import pieceslog, rowgroups, social
-from tallyglass.storage import new_path
+from tallyglass.storage import new_path, stored
 from tallyglass.streaming import incremental, latest
 
 QUERIES: dict = {}
@@ -87,7 +87,7 @@ def nearest_by_cells(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = ann.fit(rows)
     asked = rows.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding")
-    return ann.search(asked, rows, ann.index(rows, q), q, 8)
+    return ann.search(asked, rows, stored(ann.index(rows, q), "index"), q, 8)
 
 
 @query()

@@ -390,6 +390,47 @@ def test_nearest_by_cells_with_many_alike(spark):
         ann.fit(df.limit(0))
 
 
+def test_a_slice_hands_on_the_k_best_of_a_query_only(spark, tmp_path, monkeypatch):
+    """Not the candidates of each cell, which are as many as all rows times all queries where vectors have no clusters."""
+    log, real = str(tmp_path / "bytes"), ann._compare
+
+    def counted(*args):
+        run = real(*args)
+
+        def told(key, asked, held):
+            out = run(key, asked, held)
+            with open(log, "a") as f:
+                f.write(f"{out.nbytes}\n")
+            return out
+
+        return told
+
+    monkeypatch.setattr(ann, "_compare", counted)
+    monkeypatch.setattr(ann, "SLICE_ROWS", 500)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(2000)], "id long, embedding array<float>")
+    q = ann.fit(df, parts=4)
+    asked = df.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding")
+    got = ann.search(asked, df, ann.index(df, q), q, 8, probes=len(q.cells)).collect()
+    assert sum(int(line) for line in open(log)) < 100 * 4 * 8 * 16 * 2  # queries, slices, rows, bytes of an id and a score
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 800 and {g.scanned for g in got} == {2000}
+    assert sum(g.score >= np.sort(u @ u[g.query])[::-1][7] - 1e-6 for g in got) >= 0.95 * 800
+
+
+def test_nearest_of_more_copies_than_are_ranked_again_are_those_of_the_smallest_ids(spark):
+    r = np.random.default_rng(2)
+    x = np.r_[np.tile(r.normal(size=6), (400, 1)), r.normal(size=(100, 6)), np.zeros((1, 6))]
+    order = r.permutation(len(x))
+    df = spark.createDataFrame([(f"{i:03}", [float(v) for v in x[i]]) for i in order], "id string, embedding array<double>")
+    q = ann.fit(df, cells=5, parts=4)
+    asked = df.where("id < '010' or id = '500'").select(F.col("id").alias("query"), "embedding")
+    got = ann.search(asked, df, ann.index(df, q), q, 4, probes=5, reranked=20).orderBy("query", "rank").collect()
+    assert [(g.query, g.id, g.rank) for g in got if g.query < "010"] == [(f"{i:03}", f"{k:03}", k) for i in range(10) for k in range(4)]
+    assert [g.score for g in got if g.query == "500"] == [0.0] * 4  # a vector of zeros is like nothing
+
+
 # --- extraction as a table function
 
 
